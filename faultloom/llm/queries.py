@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import language_id, mixing, quality_rules, token_counts, url_filter
+from faultloom.llm import language_id, mixing, quality_rules, simhash, token_counts, url_filter
 from faultloom.llm._common import table
 
 
@@ -32,6 +32,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op4_mixing": op4_mixing,
         "op5_language_id": op5_language_id,
+        "op7_simhash": op7_simhash,
         "op10_quality_rules": op10_quality_rules,
     }
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import language_id, mixing, quality_rules, simhash, token_counts, url_filter
+from faultloom.llm import decontaminate, language_id, mixing, quality_rules, simhash, token_counts, url_filter
 from faultloom.llm._common import table
 
 
@@ -36,6 +36,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_language_id": op5_language_id,
         "op7_simhash": op7_simhash,
+        "op8_decontamination": op8_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }
 
@@ -54,5 +61,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.ORACLE_SQL,
+        "op8_decontamination": decontaminate.ORACLE_SQL,
         "op10_quality_rules": quality_rules.ORACLE_SQL,
     }

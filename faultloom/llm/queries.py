@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import decontaminate, language_id, mixing, quality_rules, simhash, token_counts, url_filter
+from faultloom.llm import decontaminate, language_id, mixing, pii, quality_rules, simhash, token_counts, url_filter
 from faultloom.llm._common import table
 
 
@@ -42,6 +42,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs).select("doc_id", "text", "n_entities")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op7_simhash": op7_simhash,
         "op8_decontamination": op8_decontamination,
+        "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,
     }
 

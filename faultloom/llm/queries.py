@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import decontaminate, language_id, mixing, pii, quality_rules, simhash, token_counts, url_filter
+from faultloom.llm import decontaminate, language_id, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, url_filter
 from faultloom.llm._common import table
 
 
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op2_token_counts": op2_token_counts,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_mixing": op4_mixing,
         "op5_language_id": op5_language_id,
         "op7_simhash": op7_simhash,

@@ -30,6 +30,11 @@ REACH = WINDOW - GRAM
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart; equal rows share results."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def item_words(text: Column) -> Column:
     """Words of lower-cased letters, digits and everything beyond ASCII."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), "")
@@ -129,15 +134,15 @@ def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str =
     ), lengths
 
 
-def decontaminate(
+def find(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (their ids, sorted as strings), contaminated."""
+    """key, doc_id, n_words, n_hit, n_items, items (their ids, sorted as strings), contaminated."""
     fingerprints, short = item_fingerprints(items, item_id_col, item_text_col)
     fingerprints = written(fingerprints, "items")
     kinds = [(GRAM, False)] + [(size, True) for size in short]
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    key = F.xxhash64("doc_id", "text")
+    key = _key("doc_id", "text")
 
     # Which rows share which kept hashes.
     w = base.select(key.alias("key"), item_words(F.col("text")).alias("w"))
@@ -168,6 +173,7 @@ def decontaminate(
     result = counted.select("doc_id", "key", "n_words").join(found, "key", "left")
     none = F.array().cast("array<string>")
     return result.select(
+        "key",
         "doc_id",
         "n_words",
         F.coalesce(_covered(F.col("ranges")), F.lit(0).cast("long")).alias("n_hit"),
@@ -177,6 +183,19 @@ def decontaminate(
     )
 
 
+def decontaminate(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (their ids, sorted as strings), contaminated."""
+    return find(docs, items, id_col, text_col, item_id_col, item_text_col).drop("key")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose text shares no window with an item."""
+    hit = find(docs, items, id_col, text_col).filter("contaminated").select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", _key(id_col, text_col)).join(hit, "_key", "left_anti").drop("_key")
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id,

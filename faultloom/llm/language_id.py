@@ -154,23 +154,18 @@ def train(
     return net
 
 
-def identify(
-    docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20
-) -> DataFrame:
-    """doc_id, lang_pred, score (mean probability of lang_pred) for every row, over whole texts."""
-    kind = dict(docs.dtypes)[id_col]
-    letters = F.col(text_col).rlike(r"\p{L}")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.when(letters, F.col(text_col)).alias("text"))
-    schema = f"doc_id {kind}, lang_pred string, score double"
+def judge(text: Column, net: ByteConvNet | None, docs: DataFrame, batch_bytes: int = 1 << 20) -> Column:
+    """A struct (lang, score) for each text: its language and that language's mean probability."""
+    letters = F.when(text.rlike(r"\p{L}"), text)
     if net is None:
-        return d.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
     model = docs.sparkSession.sparkContext.broadcast((net, net.tables()))
 
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         network, tables = model.value
-        for batch in rows:
+        for column in columns:
             # A text's bytes are judged in blocks, so a very long text needs no more memory than others.
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
             sums, weight = np.zeros((len(texts), len(network.labels))), np.zeros(len(texts))
             blocks, owners, size = [], [], 0
             pieces = ((k, t[at : at + batch_bytes]) for k, t in enumerate(texts) for at in range(0, len(t), batch_bytes))
@@ -185,11 +180,21 @@ def identify(
                     np.add.at(sums, np.asarray(owners)[owner], p)
                     np.add.at(weight, np.asarray(owners)[owner], n)
                     blocks, owners, size = [], [], 0
-            best = sums.argmax(axis=1)
+            best = sums.argmax(axis=1) if len(texts) else np.zeros(0, np.int64)
             score = np.where(weight > 0, sums[np.arange(len(texts)), best] / np.maximum(weight, 1), 0.0)
             named = [network.labels[b] if w else "und" for b, w in zip(best, weight, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(named, pa.string()), pa.array(np.clip(score, 0.0, 1.0))], ["doc_id", "lang_pred", "score"]
-            )
+            yield pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(np.clip(score, 0.0, 1.0))], ["lang", "score"])
+
+    return F.arrow_udf(batches, "lang string, score double")(letters)
+
+
+def identify(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score (mean probability of lang_pred) for every row, over whole texts."""
+    judged = docs.select(F.col(id_col).alias("doc_id"), judge(F.col(text_col), net, docs).alias("_judged"))
+    return judged.select("doc_id", F.col("_judged.lang").alias("lang_pred"), F.col("_judged.score").alias("score"))
+
 
-    return d.mapInArrow(batches, schema)
+def keep_known(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text", min_score: float = 0.35) -> DataFrame:
+    """The rows whose text is in a learned language with at least ``min_score``; und goes."""
+    judged = docs.withColumn("_judged", judge(F.col(text_col), net, docs))
+    return judged.filter((F.col("_judged.lang") != "und") & (F.col("_judged.score") >= min_score)).drop("_judged")

@@ -70,12 +70,13 @@ def mix(
     max_repeats: int = 3,
     seed: str = "mix",
 ) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies, taken (words taken, repeats counted)."""
+    """Per document: doc_id, row (hash of the text), size, source_size, target, copies, taken (words taken, repeats counted)."""
     sized = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.size(words(F.col(text_col))).cast("long").alias("size"),
+            F.xxhash64(F.col(text_col)).alias("row"),
         ),
         "mix",
     )
@@ -109,7 +110,14 @@ def mix(
     begins = (F.col("upto") - F.col("size")).cast("double") < F.col("rest")
     more = F.when(F.col("q").isNotNull() & begins & fits, 1).otherwise(0)
     d = d.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + more).otherwise(0).cast("long"))
-    return d.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.select("doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the mix with copies, how often each is taken; rows that aren't taken go."""
+    mixed = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0")
+    mixed = mixed.groupBy(F.xxhash64("doc_id", "row").alias("_seat")).agg(F.max("copies").alias("copies"))
+    return docs.withColumn("_seat", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))).join(mixed, "_seat").drop("_seat")
 
 
 ORACLE_SQL = r"""

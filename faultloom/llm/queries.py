@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import decontaminate, language_id, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, url_filter
+from faultloom.llm import decontaminate, language_id, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filter
 from faultloom.llm._common import table
 
 
@@ -36,6 +36,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~toxicity.learned_rows(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_mixing": op4_mixing,
         "op5_language_id": op5_language_id,
+        "op6_toxicity": op6_toxicity,
         "op7_simhash": op7_simhash,
         "op8_decontamination": op8_decontamination,
         "op9_pii": op9_pii,

@@ -197,17 +197,36 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
-) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that a chain of links reaches)."""
-    made = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def _components_of(made: DataFrame, radius: int) -> DataFrame:
+    """made (doc_id, fp, ...) -> (fp, component_id) for every distinct fingerprint."""
     classes = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
     tree = components(links(classes.select("fp"), radius))
     named = classes.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     # Classes outside the tree are their own roots; both joins are on unique keys of the right side.
-    of_class = named.join(smallest, "root").select("fp", "component_id")
-    return made.join(of_class, "fp").select(
+    return named.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that a chain of links reaches)."""
+    made = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return made.join(_components_of(made, radius), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """One row of each component: the smallest (id, hash of the text); of equal rows one."""
+    seat = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"))
+    kind = dict(docs.dtypes)[id_col]
+    made = fingerprints(docs.select(seat.alias("seat"), F.col(text_col).alias("text")), "seat", "text", shingle)
+    made = written(made.select(F.col("doc_id").alias("seat"), "fp", F.col("doc_id.id").cast(kind).alias("doc_id")), "fingerprints")
+    of_class = _components_of(made, radius)
+    best = made.groupBy("fp").agg(F.min("seat").alias("seat")).join(of_class, "fp").groupBy("root").agg(F.min("seat").alias("seat"))
+    best = best.select(F.xxhash64("seat.id", "seat.row").alias("_seat"))
+    kept = docs.withColumn("_seat", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))).join(best, "_seat", "left_semi")
+    return kept.dropDuplicates(["_seat"]).drop("_seat")

@@ -1,0 +1,200 @@
+"""Temporal walks: bounded enumeration, features, search for causes, and random walks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from faultloom.schema import WALK_EDGES
+
+
+def _later(now: Column, before: Column) -> Column:
+    """Times that may follow: negative ones are unknown and fit anywhere."""
+    return (now < 0) | (before < 0) | (now >= before)
+
+
+def enumerate_walks(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(start, hop, node, t, ways): how many walks of each length end at a node with a last edge at t.
+
+    Walks that agree on start, end and last time have equal futures, so they are merged with a count:
+    the rows are bounded by nodes and times, not by the number of walks.
+    """
+    step = edges.select(F.col("s").alias("node"), F.col("o").alias("next"), F.col("t").alias("at"))
+    step = step.groupBy("node", "next", "at").agg(F.count(F.lit(1)).alias("n"))
+    level = starts.select(F.col("id").alias("start"), F.lit(0).alias("hop"), F.col("id").alias("node"), F.lit(-1).cast("long").alias("t"), F.lit(1).cast("long").alias("ways"))
+    out = level
+    for hop in range(1, hops + 1):
+        level = level.join(step, "node").filter(_later(F.col("at"), F.col("t")))
+        level = level.groupBy("start", F.col("next").alias("node"), F.col("at").cast("long").alias("t")).agg(F.sum(F.col("ways") * F.col("n")).alias("ways"))
+        level = level.select("start", F.lit(hop).alias("hop"), "node", "t", "ways")
+        out = out.unionByName(level)
+    return out
+
+
+def walk_features(edges: DataFrame, starts: DataFrame, services: DataFrame, hops: int = 3) -> DataFrame:
+    """Per start: path_count, unique_reach, last_ts_span, service_reachability, avg_path_length."""
+    walks = enumerate_walks(edges, starts, hops)
+    n_services = max(1, services.select("id").distinct().count())
+    marked = walks.join(services.select(F.col("id").alias("node"), F.lit(True).alias("is_service")).distinct(), "node", "left")
+    moved = F.when(F.col("hop") > 0, F.col("ways")).otherwise(0)
+    f = marked.groupBy("start").agg(
+        F.sum(moved).cast("double").alias("path_count"),
+        F.countDistinct("node").cast("double").alias("unique_reach"),
+        F.greatest(F.max("t"), F.lit(0)).cast("double").alias("last_ts_span"),
+        (F.countDistinct(F.when(F.col("is_service"), F.col("node"))) / n_services).alias("service_reachability"),
+        F.coalesce(F.sum(moved * F.col("hop")) / F.nullif(F.sum(moved), F.lit(0)), F.lit(0.0)).alias("avg_path_length"),
+    )
+    return f.withColumnRenamed("start", "id")
+
+
+def reach_of_services(edges: DataFrame, starts: DataFrame, services: DataFrame, calls: DataFrame, hops: int = 3) -> DataFrame:
+    """Per service: starts that reach it in fewer than ``hops`` steps, their share, the mean of the least
+    steps, and the services it calls."""
+    n_starts = max(1, starts.select("id").distinct().count())
+    walks = enumerate_walks(edges, starts, hops - 1).groupBy("start", "node").agg(F.min("hop").alias("depth"))
+    per = walks.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.avg("depth").alias("depth"))
+    called = calls.join(services.select(F.col("id").alias("o")).distinct(), "o", "left_semi").groupBy(F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    joined = services.select("id").distinct().join(per, "id", "left").join(called, "id", "left")
+    n = F.coalesce("n", F.lit(0)).cast("double")
+    return joined.select(
+        "id", n.alias("path_count"), n.alias("unique_reach"), (n / n_starts).alias("service_reachability"),
+        F.coalesce("depth", F.lit(0.0)).alias("avg_path_length"), F.coalesce("c", F.lit(0)).cast("double").alias("service_connections"),
+    )
+
+
+def causes_back_in_time(edges: DataFrame, seeds: DataFrame, causes: DataFrame, hops: int = 3, causal_first: bool = False) -> DataFrame:
+    """(seed, cause, hop, confidence): root-cause nodes met first at a hop, walking edges from their
+    object to their subject at times not after the last one (0: unknown).
+
+    Each node counts at its least hop, with its latest arrival there. Confidence is 1 / (hop + 1); with
+    ``causal_first``, edges (column causal) that aren't causal cost a factor: 0.5 if the last edge isn't
+    causal, 0.7 if any isn't.
+    """
+    step = edges.select(F.col("o").alias("node"), F.col("s").alias("prev"), F.col("t").alias("at"), (F.col("causal") if causal_first else F.lit(True)).alias("causal"))
+    level = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.coalesce("t", F.lit(0)).cast("long").alias("t"), F.lit(True).alias("last"), F.lit(True).alias("all"))
+    seen, out = level.select("seed", "node"), None
+    for hop in range(1, hops + 1):
+        level = level.join(step, "node").filter((F.col("t") == 0) | (F.col("at") <= F.col("t")))
+        order = F.struct(F.col("causal").cast("int").alias("c"), (F.col("all") & F.col("causal")).cast("int").alias("a"), F.col("at").cast("long").alias("t"))
+        level = level.groupBy("seed", F.col("prev").alias("node")).agg(F.max(order).alias("x"))
+        level = level.select("seed", "node", F.col("x.t").alias("t"), (F.col("x.c") == 1).alias("last"), (F.col("x.a") == 1).alias("all"))
+        level = level.join(seen, ["seed", "node"], "left_anti")
+        factor = F.when(F.col("last"), 1.0).otherwise(0.5) * F.when(F.col("all"), 1.0).otherwise(0.7) if causal_first else F.lit(1.0)
+        found = level.join(causes.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+        found = found.select("seed", F.col("node").alias("cause"), F.lit(hop).alias("hop"), (factor / (hop + 1)).alias("confidence"))
+        out = found if out is None else out.unionByName(found)
+        seen = seen.unionByName(level.select("seed", "node"))
+    return out
+
+
+def best_cause(found: DataFrame) -> DataFrame:
+    """Per seed: the cause with the largest sum of confidences; ties by id."""
+    total = found.groupBy("seed", "cause").agg(F.sum("confidence").alias("total"), F.count(F.lit(1)).alias("paths"))
+    order = Window.partitionBy("seed").orderBy(F.desc(F.round("total", 9)), "cause")
+    return total.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+
+
+def cached_causes(found: DataFrame) -> DataFrame:
+    return found.groupBy("seed").agg(F.max("confidence").alias("confidence"), F.sort_array(F.collect_set("cause")).alias("causes"))
+
+
+def upstream(calls: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(seed, service, hop): callers of callers, at their least hop."""
+    level = seeds.select(F.col("service").alias("seed"), "service")
+    seen, out = level, None
+    for hop in range(1, hops + 1):
+        level = level.join(calls.select(F.col("dst").alias("service"), F.col("src").alias("up")), "service").select("seed", F.col("up").alias("service")).distinct()
+        level = level.join(seen, ["seed", "service"], "left_anti")
+        seen = seen.unionByName(level)
+        out = level.withColumn("hop", F.lit(hop)) if out is None else out.unionByName(level.withColumn("hop", F.lit(hop)))
+    return out
+
+
+def path_confidence(times: Column, length: Column) -> Column:
+    """1 / length, halved for each step that goes back in time."""
+    start = F.struct(F.lit(None).cast("long").alias("before"), F.lit(1.0).alias("c"))
+    fold = F.aggregate(
+        times,
+        start,
+        lambda acc, t: F.struct(t.cast("long").alias("before"), F.when(t < acc["before"], acc["c"] / 2).otherwise(acc["c"]).alias("c")),
+        lambda acc: acc["c"],
+    )
+    return fold / length
+
+
+def _uniform(*keys: Column) -> Column:
+    """A number in (0, 1) fixed by the keys, so that a retried task draws the same."""
+    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def edge_weight(base: Column, bias: Column, gap: Column, rate: float) -> Column:
+    return base * bias * F.exp(-F.lit(rate) * gap)
+
+
+def type_fits(hop: int, types: Column, sequence: tuple[str, ...]) -> Column:
+    return F.lit(True) if hop >= len(sequence) else types == F.lit(sequence[hop])
+
+
+def random_walks(
+    edges: DataFrame, starts: DataFrame, n_walks: int = 200, max_len: int = 4, rate: float = 0.2, no_return: int = 2, seed: int = 12,
+    bias: DataFrame | None = None, allowed: tuple[str, ...] = WALK_EDGES,
+) -> DataFrame:
+    """(start, walk, path, times): walks of at most max_len nodes, each step weighted by
+    weight * bias * exp(-rate * gap), to strictly later times, never to one of the last no_return nodes.
+
+    edges (src, dst, edge_type, weight, src_ts, dst_ts[, src_type, dst_type]); nodes without time are
+    reached and left at any time. A step is drawn by the largest log(weight) - log(-log(u)), which
+    picks in proportion to the weights; u is a hash of walk, step and edge.
+    """
+    e = edges.filter(F.col("edge_type").isin(*allowed))
+    if bias is not None:
+        e = e.join(bias, ["src_type", "edge_type", "dst_type"], "left")
+    e = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "src_ts", "dst_ts", F.coalesce("weight", F.lit(1.0)).alias("w"), (F.coalesce("bias", F.lit(1.0)) if bias is not None else F.lit(1.0)).alias("bias"))
+    walks = starts.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"))
+    walks = walks.select("start", "walk", F.array("start").alias("path"), F.lit(None).cast("double").alias("now"))
+    for hop in range(max_len - 1):
+        last = F.element_at("path", -1)
+        can = walks.withColumn("at", last).join(e, "at")
+        now = F.coalesce("now", "src_ts")
+        can = can.filter(now.isNull() | F.col("dst_ts").isNull() | (F.col("dst_ts") > now))
+        can = can.filter(~F.array_contains(F.slice("path", F.greatest(F.size("path") - no_return + 1, F.lit(1)), no_return), F.col("to")))
+        gap = F.coalesce(F.col("dst_ts") - now, F.lit(0.0))
+        draw = F.log(edge_weight(F.col("w"), F.col("bias"), gap, rate)) - F.log(-F.log(_uniform(F.lit(seed), F.col("start"), F.col("walk"), F.lit(hop), F.col("to"))))
+        chosen = can.groupBy("start", "walk").agg(F.max_by(F.struct("to", F.coalesce(F.col("dst_ts").cast("double"), now.cast("double")).alias("ts")), draw).alias("x"))
+        walks = walks.join(chosen, ["start", "walk"], "left").select(
+            "start", "walk",
+            F.when(F.col("x").isNull(), F.col("path")).otherwise(F.concat("path", F.array("x.to"))).alias("path"),
+            F.coalesce("x.ts", "now").alias("now"),
+        )
+    return walks.filter(F.size("path") > 1).dropDuplicates(["path"]).select("start", "walk", "path")
+
+
+def cyclic_walks(quads: DataFrame, n_relations: int, length: int, max_gap: int) -> DataFrame:
+    """(entities, relations, times) of all cyclic walks: hop 1 strictly back in time, then not later, no
+    step undone by its exact inverse, the last hop back at the start. All walks, not a sample."""
+    step = quads.select(F.col("s").alias("at"), F.col("r").alias("rel"), F.col("o").alias("to"), F.col("t").alias("ts"))
+    w = quads.select(F.array("s", "o").alias("entities"), F.array("r").alias("relations"), F.array("t").alias("times"))
+    for hop in range(1, length + 1):
+        last, now = F.element_at("entities", -1), F.element_at("times", -1)
+        w = w.withColumn("at", last).withColumn("now", now).join(step, "at")
+        w = w.filter((F.col("ts") < F.col("now")) if hop == 1 else (F.col("ts") <= F.col("now"))).filter(F.col("now") - F.col("ts") <= max_gap)
+        back = F.element_at("relations", -1)
+        undone = (F.col("rel") == F.when(back < n_relations, back + n_relations).otherwise(back - n_relations)) & (F.col("ts") == F.col("now")) & (F.col("to") == F.element_at("entities", -2))
+        w = w.filter(~undone)
+        if hop == length:
+            w = w.filter(F.col("to") == F.get("entities", F.lit(0)))
+        w = w.select(F.concat("entities", F.array("to")).alias("entities"), F.concat("relations", F.array("rel")).alias("relations"), F.concat("times", F.array("ts")).alias("times"))
+    return w
+
+
+def sample_start(quads: DataFrame, per_relation: int, seed: int = 12) -> DataFrame:
+    """Facts drawn uniformly, ``per_relation`` for each relation."""
+    w = Window.partitionBy("r").orderBy(_uniform(F.lit(seed), F.col("s"), F.col("r"), F.col("o"), F.col("t")), "s", "o", "t")
+    return quads.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_relation).drop("place")
+
+
+def sample_by_time(quads: DataFrame, seed: int = 12) -> DataFrame:
+    """Facts kept with a probability that grows linearly from the first to the last time."""
+    ends = quads.groupBy().agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    p = F.when(F.col("hi") > F.col("lo"), (F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
+    return quads.join(F.broadcast(ends)).filter(_uniform(F.lit(seed), F.col("s"), F.col("r"), F.col("o"), F.col("t")) <= p).drop("lo", "hi")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultloom.plans import telemetry
+from faultloom.plans import links, telemetry
 
-_ALL = telemetry.QUERIES
+_ALL = telemetry.QUERIES | links.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,27 +34,33 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 3
 TILE = 1024
-#: Cells (block, value, low bits of the count) are the unit of distribution.
+#: Wide fingerprints for a similarity of shingle sets: LANES x 64 bits, of which texts with Jaccard 0.8
+#: differ in 15 % on the average (arccos(2 * 0.8 / 1.8) / pi), 78 +- 8 of 512; WIDE_RADIUS lies above that.
+LANES, WIDE_RADIUS = 8, 88
+#: Cells for them: BANDS of ROWS minimum hashes; texts with Jaccard 0.8 share one with a chance of 0.999.
+BANDS, ROWS = 10, 3
 HASHES_AT_ONCE = 1 << 16
 
-_GAPS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BITS = np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one UTF-8 text."""
-    words = text.translate(_LOWER).translate(_GAPS).split(b" ")
-    words = [w for w in words if w]
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a UTF-8 text's words, lower-cased (A-Z); of all words if there are fewer."""
+    words = text.translate(_LOWER).split()  # bytes: parts at the six gap bytes and nothing else
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(begins[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - size + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - size + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), HASHES_AT_ONCE):
         block = hashes[at : at + HASHES_AT_ONCE].astype("<u8").view(np.uint8)
@@ -62,6 +68,33 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.bitwise_or.reduce(np.left_shift((2 * ones > len(hashes)).astype(np.uint64), _BITS)))
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one UTF-8 text."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def sketch(text: bytes, shingle: int) -> tuple[list[int], list[int]]:
+    """A wide fingerprint (LANES of 64 bits) of the set of shingles, and the hashes of its BANDS."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    lanes = [majority(_mixed(hashes ^ np.uint64(k))) for k in _LANE_SALTS]
+    if not len(hashes):
+        return lanes, [0] * BANDS
+    least = np.array([_mixed(hashes * m).min() for m in _ROW_FACTORS], np.uint64).reshape(BANDS, ROWS)
+    bands = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(ROWS):
+        bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, j])
+    return lanes, bands.view(np.int64).tolist()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
+
+
+_SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, LANES + BANDS * ROWS, dtype=np.uint64)
+_LANE_SALTS, _ROW_FACTORS = _SALTS[:LANES].tolist(), _SALTS[LANES:] * np.uint64(2) + np.uint64(1)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
     kind = dict(docs.dtypes)[id_col]
@@ -89,13 +122,19 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[max(x, y)] = min(x, y)
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits between rows of lanes."""
+    return sum(np.bitwise_count(x[..., k] ^ y[..., k]).astype(np.uint16) for k in range(x.shape[-1]))
+
+
 def forest(cell: np.ndarray, fps: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest: pairs of positions within equal cells that reach each other over links.
 
-    Rows are sorted by cell. Small cells are compared all together, one distance in the order at a
-    time; large ones tile by tile, in the order of bit counts. Only pairs with a home row count.
+    fps: (rows, lanes). Rows are sorted by cell. Small cells are compared all together, one distance in
+    the order at a time; large ones tile by tile, in the order of bit counts. Only pairs with a home row
+    count.
     """
-    ones = np.bitwise_count(fps).astype(np.int16)
+    ones = np.bitwise_count(fps).astype(np.int32).sum(axis=1)
     order = np.lexsort((ones, cell))
     cell, fps, ones, home = cell[order], fps[order], ones[order], home[order]
     parent = np.arange(len(fps))
@@ -108,7 +147,7 @@ def forest(cell: np.ndarray, fps: np.ndarray, home: np.ndarray, radius: int = RA
         left = left[left + far < len(cell)]
         left = left[cell[left] == cell[left + far]]
         left = left[ones[left + far] - ones[left] <= radius]  # later rows have more bits still
-        near = left[np.bitwise_count(fps[left] ^ fps[left + far]) <= radius]
+        near = left[_apart(fps[left], fps[left + far]) <= radius]
         near = near[home[near] | home[near + far]]
         _join(parent, near, near + far)
         far += 1
@@ -118,15 +157,29 @@ def forest(cell: np.ndarray, fps: np.ndarray, home: np.ndarray, radius: int = RA
             for c, d in tiles[i:]:
                 if ones[c] - ones[b - 1] > radius:
                     break
-                close = np.bitwise_count(fps[a:b, None] ^ fps[None, c:d]) <= radius
+                close = _apart(fps[a:b, None], fps[None, c:d]) <= radius
                 x, y = np.nonzero(close)
                 keep = (x + a < y + c) & (home[x + a] | home[y + c])
-                _join(parent, x[keep] + a, y[keep] + c)
+                _join(parent, *_spanning(x[keep] + a, y[keep] + c))
     root = np.fromiter((_find(parent, k) for k in range(len(parent))), np.int64, len(parent))
     linked = np.flatnonzero(root != np.arange(len(root)))
     return order[linked], order[root[linked]]
 
 
+def _spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer pairs that connect the same rows: a row's pairs with those already tied to one anchor go."""
+    if len(x) < 4096:
+        return x, y
+    first: dict[int, int] = {}
+    keep = np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        ra, rb = first.get(a, a), first.get(b, b)
+        if ra != rb:
+            keep[k] = True
+            first.setdefault(b, ra)
+    return x[keep], y[keep]
+
+
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links of a spanning forest within each block value, between distinct fingerprints ``fp``.
 
@@ -143,35 +196,43 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     cells = (
         classes.select("fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*blocks)).alias("block"))
         .select("fp", "ones", "block", F.explode(steps).alias("up"))
-        .select("fp", (F.col("up") == 0).alias("home"), F.xxhash64("block.k", "block.v", F.col("ones") + F.col("up")).alias("cell"))
+        .select(
+            F.xxhash64("block.k", "block.v", F.col("ones") + F.col("up")).alias("cell"), F.col("fp").alias("node"), (F.col("up") == 0).alias("home"), F.array("fp").alias("lanes")
+        )
     )
+    return cell_links(cells, radius)
+
+
+def cell_links(cells: DataFrame, radius: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each cell; cells (cell, node, home, lanes)."""
 
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells come sorted; whole cells are gathered until they are many rows."""
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def flush(part: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = forest(part[0], part[1].view(np.uint64), part[2], radius)
-            return pa.RecordBatch.from_arrays([pa.array(part[1][a]), pa.array(part[1][b])], ["a", "b"])
+        def flush(cell: np.ndarray, node: np.ndarray, home: np.ndarray, lanes: np.ndarray) -> pa.RecordBatch:
+            a, b = forest(cell, lanes.view(np.uint64), home, radius)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         for batch in rows:
-            held.append(
-                (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False))
-            )
+            if not batch.num_rows:
+                continue
+            lanes = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), lanes))
             size += batch.num_rows
             if size < 100_000:
                 continue
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last cell may go on
             if cut:
-                yield flush([x[:cut] for x in whole])
+                yield flush(*[x[:cut] for x in whole])
             held, size = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
         if held:
-            yield flush([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield flush(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
-    found = cells.select("cell", "fp", "home").repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
-    return found.filter("a <> b").distinct()
+    spread = cells.select("cell", "node", "home", "lanes").repartition("cell").sortWithinPartitions("cell")
+    return spread.mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -217,16 +278,32 @@ def near_duplicates(
     )
 
 
-def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
-) -> DataFrame:
-    """One row of each component: the smallest (id, hash of the text); of equal rows one."""
-    seat = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"))
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates: the smallest (id, hash of the text); of equal rows one.
+
+    Texts are near-duplicates at a similarity (Jaccard, sets of shingles) of 0.8 or more, as far as wide
+    fingerprints can tell: each text goes to one cell for each band, and in a cell fingerprints are
+    compared exactly, tile by tile. Groups are the components of those links.
+    """
     kind = dict(docs.dtypes)[id_col]
-    made = fingerprints(docs.select(seat.alias("seat"), F.col(text_col).alias("text")), "seat", "text", shingle)
-    made = written(made.select(F.col("doc_id").alias("seat"), "fp", F.col("doc_id.id").cast(kind).alias("doc_id")), "fingerprints")
-    of_class = _components_of(made, radius)
-    best = made.groupBy("fp").agg(F.min("seat").alias("seat")).join(of_class, "fp").groupBy("root").agg(F.min("seat").alias("seat"))
+
+    def sketches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            made = [sketch(t or b"", shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            lanes = pa.array([np.array(x, np.uint64).view(np.int64) for x, _ in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), lanes, pa.array([b for _, b in made], pa.list_(pa.int64()))], ["id", "row", "lanes", "bands"]
+            )
+
+    text = F.col(text_col)
+    made = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    made = made.mapInArrow(sketches, f"id {kind}, row long, lanes array<long>, bands array<long>")
+    made = written(made.withColumn("node", F.xxhash64(*[F.get("lanes", F.lit(k)) for k in range(LANES)])), "sketches")
+    seat = F.struct("id", "row")
+    classes = made.groupBy("node").agg(F.min(seat).alias("seat"), F.min(F.struct("lanes", "bands")).alias("x"))
+    cells = classes.select("node", F.lit(True).alias("home"), F.col("x.lanes").alias("lanes"), F.explode("x.bands").alias("cell"))
+    tree = components(cell_links(cells, radius))
+    best = classes.select("node", "seat").join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("seat").alias("seat"))
     best = best.select(F.xxhash64("seat.id", "seat.row").alias("_seat"))
-    kept = docs.withColumn("_seat", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))).join(best, "_seat", "left_semi")
+    kept = docs.withColumn("_seat", F.xxhash64(F.col(id_col), F.xxhash64(text))).join(best, "_seat", "left_semi")
     return kept.dropDuplicates(["_seat"]).drop("_seat")

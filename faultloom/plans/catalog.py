@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultloom.plans import causes, links, telemetry
+from faultloom.plans import causes, links, scalars, telemetry
 
-_ALL = telemetry.QUERIES | links.QUERIES | causes.QUERIES
+_ALL = telemetry.QUERIES | links.QUERIES | causes.QUERIES | scalars.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,20 @@ def repeated_groups(values: Column) -> Column:
     distinct = F.array_distinct(values)
     places = F.transform(distinct, lambda v: F.filter(F.transform(values, lambda x, i: F.when(x == v, i)), lambda i: i.isNotNull()))
     return F.filter(places, lambda p: F.size(p) > 1)
+
+
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a one-row DataFrame in every row, as scalar subqueries (no join)."""
+    return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
+
+
+def nearest(queries: DataFrame, rows: DataFrame, blocks: int = 16) -> DataFrame:
+    """(a, b, sim): cosine of every query (a, va) with every other row (b, vb).
+
+    The stated queries are dealt to blocks, and each row meets every block: an equality join in parts
+    of bounded size, whichever side is large.
+    """
+    q = queries.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
+    r = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = q.join(r, "block").filter("a <> b")
+    return met.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("sim"))

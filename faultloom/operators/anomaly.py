@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultloom.functions.attrs import beside
+
 MIN_BASELINE_ROWS = 5
 
 
@@ -47,7 +49,7 @@ def top_anomaly(scored_rows: DataFrame) -> DataFrame:
     """One row: the largest abs(zscore); on ties the earliest time, then service and metric."""
     rank = F.struct(F.abs("zscore").alias("z"), (-F.col("t")).alias("t"))
     best = scored_rows.groupBy().agg(F.max(rank).alias("best"))
-    tied = scored_rows.join(F.broadcast(best), (F.abs("zscore") == F.col("best.z")) & (-F.col("t") == F.col("best.t")))
+    tied = beside(scored_rows, best).filter((F.abs("zscore") == F.col("best.z")) & (-F.col("t") == F.col("best.t")))
     row = F.min(F.struct("service", "metric", "t", "value", "zscore")).alias("row")
     return tied.groupBy().agg(row).filter("row is not null").select("row.*").withColumn("abs_z", F.abs("zscore"))
 

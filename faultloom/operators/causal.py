@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultloom.functions.attrs import beside
+
 
 def column_name(service: Column, metric: Column) -> Column:
     return F.concat_ws("|", service, metric)
@@ -28,7 +30,7 @@ def resampled(means: DataFrame, step: int) -> DataFrame:
     bucket = (F.col("t") - F.pmod(F.col("t"), F.lit(step))).alias("t")
     filled = means.groupBy(bucket, "series").agg(F.avg("value").alias("value"))
     ends = filled.groupBy().agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    grid = filled.select("series").distinct().join(F.broadcast(ends)).select("series", F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias("t"))
+    grid = beside(filled.select("series").distinct(), ends).select("series", F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias("t"))
     return grid.join(filled, ["series", "t"], "left").select("t", "series", "value")
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultloom.functions.attrs import beside
 from faultloom.functions.times import minute_bucket
 from faultloom.schema import ALLOWED_EDGES, EDGE_COLUMNS, NODE_COLUMNS
 
@@ -127,7 +128,7 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("event_ts").isNotNull()).alias("timed_nodes"), F.count_if((F.col("node_type") == "service") & F.col("event_ts").isNotNull()).alias("timed_services"))
     p = edge_times(nodes, edges.filter("edge_type = 'precedes'"))
     p = p.agg(F.count(F.lit(1)).alias("precedes"), F.count_if(F.col("src_ts") < F.col("dst_ts")).alias("forward"), F.count_if(F.col("src_ts") <= F.col("dst_ts")).alias("not_backward"))
-    return n.join(F.broadcast(p))
+    return beside(n, p)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
     m = edges.agg(F.count(F.lit(1)).alias("m"))
     d = F.when(F.col("n") > 1, F.col("m") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
-    return n.join(F.broadcast(m)).withColumn("density", d)
+    return beside(n, m).withColumn("density", d)
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:

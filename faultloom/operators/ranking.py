@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultloom.functions.attrs import beside
+
 # The weights of the component score and of the fusion.
 COMPONENTS = {"self": 0.4, "impact": 0.3, "spread": 0.2, "latency": 0.1}
 FUSION = {"twist": 0.6, "reach": 0.2, "density": 0.2, "connections": 0.3}
@@ -37,7 +39,7 @@ def fuse(scores: DataFrame, features: DataFrame) -> DataFrame:
     walk = FUSION["reach"] * F.col("service_reachability") + FUSION["density"] * F.least(density, F.lit(1.0)) + FUSION["connections"] * F.least(F.coalesce("service_connections", F.lit(0.0)) / 5.0, F.lit(1.0))
     joined = joined.withColumn("walk", F.coalesce(walk, F.lit(0.0)))
     ends = joined.groupBy().agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.max("walk").alias("top"))
-    j = joined.join(F.broadcast(ends))
+    j = beside(joined, ends)
     twist = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
     part = F.when(F.col("top") > 0, F.col("walk") / F.col("top")).otherwise(F.col("walk"))
     return j.select("id", (FUSION["twist"] * twist + (1 - FUSION["twist"]) * part).alias("fusion_score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultloom.functions.attrs import beside
 from faultloom.schema import WALK_EDGES
 
 
@@ -197,4 +198,4 @@ def sample_by_time(quads: DataFrame, seed: int = 12) -> DataFrame:
     """Facts kept with a probability that grows linearly from the first to the last time."""
     ends = quads.groupBy().agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     p = F.when(F.col("hi") > F.col("lo"), (F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-    return quads.join(F.broadcast(ends)).filter(_uniform(F.lit(seed), F.col("s"), F.col("r"), F.col("o"), F.col("t")) <= p).drop("lo", "hi")
+    return beside(quads, ends).filter(_uniform(F.lit(seed), F.col("s"), F.col("r"), F.col("o"), F.col("t")) <= p).drop("lo", "hi")

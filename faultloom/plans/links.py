@@ -142,8 +142,7 @@ def _cyclic(s: SparkSession, d: str) -> DataFrame:
 def _cosine(s: SparkSession, d: str) -> DataFrame:
     v = b.read(s, d, "embeddings").select("vec_id", "embedding")
     stated = v.filter("vec_id % 100 = 0")  # the query set, against all rows
-    pairs = v.toDF("b", "vb").join(F.broadcast(stated.toDF("a", "va")), F.col("a") != F.col("b"))
-    scored = pairs.select("a", "b", F.round(attrs.cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
+    scored = attrs.nearest(stated.toDF("a", "va"), v.toDF("b", "vb"))
     order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     return scored.withColumn("place", F.row_number().over(order)).filter("place <= 5")
 

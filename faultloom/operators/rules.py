@@ -174,3 +174,55 @@ def all_bodies(relations: DataFrame, length: int) -> DataFrame:
     for k in range(1, length):
         out = out.withColumn(f"b{k}", F.explode(F.array(*[F.lit(v) for v in values])))
     return out
+
+
+def ids_in_text(rules: DataFrame, names: DataFrame, column: str = "rule") -> DataFrame:
+    """(rule, head, body): relation ids of a rule text's atoms in order; a rule with an unknown relation goes.
+
+    names (name, id) is a dimension; atoms are matched to it by a join, so any number of relations will do.
+    """
+    from faultloom.functions.text import rule_atoms
+
+    keyed = rules.select(F.col(column).alias("rule")).distinct()
+    atoms = keyed.select("rule", F.posexplode(rule_atoms(F.col("rule"))).alias("at", "a")).select("rule", "at", F.col("a.rel").alias("name"))
+    coded = atoms.join(names, "name", "left").groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("x"), F.count_if(F.col("id").isNull()).alias("unknown"))
+    ids = F.transform("x", lambda v: v["id"])
+    return coded.filter("unknown = 0").select("rule", F.get(ids, F.lit(0)).alias("head"), F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))).alias("body"))
+
+
+def walk_of_rule(head: Column, body: Column, n_relations: int) -> Column:
+    """Struct (entities, relations) of the cyclic walk that makes the chain rule: the head, then the body
+    reversed and inverted."""
+    relations = F.concat(F.array(head), F.transform(F.reverse(body), lambda r: inverse(r, n_relations)))
+    n = F.size(body)
+    entities = F.concat(F.array(F.lit(0)), F.reverse(F.sequence(F.lit(0), n)))
+    return F.struct(entities.alias("entities"), relations.alias("relations"))
+
+
+def body_code(body: Column) -> Column:
+    """A body of relation ids as one text, and back with body_of."""
+    return F.array_join(F.transform(body, lambda r: r.cast("string")), "|")
+
+
+def body_of(code: Column) -> Column:
+    return F.transform(F.split(code, r"\|"), lambda x: x.cast("int"))
+
+
+def with_similar(relations: DataFrame, similar: DataFrame) -> DataFrame:
+    """Distinct relations (rel) and those similar to them (rel, other)."""
+    return relations.select("rel").union(relations.join(similar, "rel").select(F.col("other").alias("rel"))).distinct()
+
+
+def difference_statistics(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: rules in both, only before, only after."""
+    b, a = (x.select(*keys).distinct().withColumn(f"in_{n}", F.lit(True)) for x, n in ((before, "b"), (after, "a")))
+    both = b.join(a, list(keys), "full_outer")
+    in_b, in_a = F.col("in_b").isNotNull(), F.col("in_a").isNotNull()
+    return both.agg(F.count_if(in_b & in_a).alias("both"), F.count_if(in_b & ~in_a).alias("only_before"), F.count_if(in_a & ~in_b).alias("only_after"))
+
+
+def by_head(rules: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, rules): rule texts (head, rule) of each known head, sorted; an unknown head is an error."""
+    joined = rules.join(names.select("name", F.col("id").alias("head")), "head", "left")
+    known = F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("unknown head "), F.col("head").cast("string")))).otherwise(F.col("name"))
+    return joined.groupBy(known.alias("name")).agg(F.sort_array(F.collect_set("rule")).alias("rules"))

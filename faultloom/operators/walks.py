@@ -199,3 +199,47 @@ def sample_by_time(quads: DataFrame, seed: int = 12) -> DataFrame:
     ends = quads.groupBy().agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     p = F.when(F.col("hi") > F.col("lo"), (F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
     return beside(quads, ends).filter(_uniform(F.lit(seed), F.col("s"), F.col("r"), F.col("o"), F.col("t")) <= p).drop("lo", "hi")
+
+
+def seed_event(nodes: DataFrame, service: str, kind: str = "metric") -> DataFrame:
+    """The event to start from: a metric event with abs(zscore) > 2, or a log event at ERROR, of the
+    service; the largest abs(zscore), ties by id."""
+    own = nodes.filter(F.col("service") == service)
+    if kind == "metric":
+        found = own.filter((F.col("node_type") == "metric_event") & (F.abs("zscore") > 2))
+    else:
+        found = own.filter((F.col("node_type") == "log_event") & (F.col("severity") == "ERROR"))
+    return found.orderBy(F.desc_nulls_last(F.abs("zscore")), "id").limit(1)
+
+
+def first_events(nodes: DataFrame) -> DataFrame:
+    """(service, id): the first event of each service by time, then id."""
+    events = nodes.filter("node_type <> 'service'")
+    return events.groupBy("service").agg(F.min_by("id", F.struct("event_ts", "id")).alias("id"))
+
+
+def causal_part(edges: DataFrame, kinds: tuple[str, ...] = ("causes",)) -> DataFrame:
+    return edges.filter(F.col("edge_type").isin(*kinds))
+
+
+def path_services(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path_id, services, share, confidence): service nodes of each path in order; their share of the
+    path; 1 / (steps + 1) times the share."""
+    kind = nodes.groupBy("id").agg(F.min("node_type").alias("node_type"))
+    v = paths.select("path_id", F.posexplode("path").alias("step", "id")).join(kind, "id", "left")
+    s = v.groupBy("path_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("node_type") == "service", F.struct("step", "id")))).alias("x"), F.count(F.lit(1)).alias("n")
+    )
+    share = F.size("x") / F.col("n")
+    return s.select("path_id", F.transform("x", lambda v: v["id"]).alias("services"), share.alias("share"), (share / F.col("n")).alias("confidence"))
+
+
+def sample_anchors(quads: DataFrame, n: int, seed: int = 12) -> DataFrame:
+    """n facts, drawn by a hash of the fact and the seed."""
+    return quads.orderBy(_uniform(F.lit(seed), F.col("s"), F.col("r"), F.col("o"), F.col("t")), "s", "r", "o", "t").limit(n)
+
+
+def walk_text(entities: Column, relations: Column, times: Column) -> Column:
+    """entity, relation, time and entity of each step, tab by tab."""
+    steps = F.transform(relations, lambda r, i: F.concat_ws("\t", F.get(entities, i).cast("string"), r.cast("string"), F.get(entities, i + 1).cast("string"), F.get(times, i).cast("string")))
+    return F.array_join(steps, "\t")

@@ -148,6 +148,10 @@ def _loop(s: SparkSession, d: str) -> DataFrame:
     return rca.find_root_cause(n, e, start["minute_ts"], f"svc:{start['service']}", minutes=600, n_walks=40, n_biased=60)
 
 
+_W2 = ", v_u AS (SELECT s, o, t FROM v_r UNION ALL SELECT o, s, t FROM v_r), v_w2 AS (SELECT id AS start, 0 AS hop, id AS node FROM v_start UNION ALL SELECT id, 1, a.o FROM v_start JOIN v_u a ON a.s = id UNION ALL SELECT id, 2, b.o FROM v_start JOIN v_u a ON a.s = id JOIN v_u b ON b.s = a.o AND b.t >= a.t)"
+_FUSE = _SCORES + _REL[len(_SMALL):] + ", v_start AS (SELECT DISTINCT id FROM v_nodes WHERE node_type = 'metric_event')" + _W2
+
+
 def r6(*cs):
     return [F.round(c, 6).alias(c) for c in cs]
 
@@ -172,12 +176,15 @@ QUERIES: dict = {
         lambda s, d: service_reach(s, d).select("id", "path_count", *r6("service_reachability", "avg_path_length"), "service_connections"),
         sql(
             "SELECT x.id, coalesce(n, 0)::DOUBLE AS path_count, round(coalesce(n, 0) / (SELECT count(*) FROM v_start), 6) AS service_reachability, round(coalesce(depth, 0.0), 6) AS avg_path_length, coalesce(c, 0)::DOUBLE AS service_connections FROM (SELECT DISTINCT id FROM v_nodes WHERE node_type = 'service') x LEFT JOIN (SELECT node AS id, count(*) AS n, avg(depth) AS depth FROM (SELECT start, node, min(hop) AS depth FROM v_w2 GROUP BY 1, 2) GROUP BY 1) y ON y.id = x.id LEFT JOIN (SELECT src AS id, count(*) AS c FROM v_sc WHERE dst IN (SELECT id FROM v_nodes WHERE node_type = 'service') GROUP BY 1) z ON z.id = x.id",
-            *V, more=_WALKS + ", " + _CALLS + ", v_u AS (SELECT s, o, t FROM v_r UNION ALL SELECT o, s, t FROM v_r), v_w2 AS (SELECT id AS start, 0 AS hop, id AS node FROM v_start UNION ALL SELECT id, 1, a.o FROM v_start JOIN v_u a ON a.s = id UNION ALL SELECT id, 2, b.o FROM v_start JOIN v_u a ON a.s = id JOIN v_u b ON b.s = a.o AND b.t >= a.t)",
+            *V, more=_WALKS + ", " + _CALLS + _W2,
         ),
     ),
     "grf40_fusion": (
         lambda s, d: ranking.fuse(scored(s, d).withColumn("score", F.round("score", 6)), service_reach(s, d)).select("id", *r6("fusion_score")),
-        None,
+        sql(
+            "SELECT id, round(0.6 * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END + 0.4 * CASE WHEN top > 0 THEN walk / top ELSE walk END, 6) AS fusion_score FROM (SELECT *, min(score) OVER () AS lo, max(score) OVER () AS hi, max(walk) OVER () AS top FROM (SELECT x.id, round(x.score, 6) AS score, 0.2 * coalesce(y.n, 0) / (SELECT count(*) FROM v_start) + 0.2 * CASE WHEN coalesce(y.n, 0) > 0 THEN 1.0 ELSE 0.0 END + 0.3 * least(coalesce(z.c, 0) / 5.0, 1.0) AS walk FROM v_scored x LEFT JOIN (SELECT node AS id, count(DISTINCT start) AS n FROM v_w2 GROUP BY 1) y ON y.id = x.id LEFT JOIN (SELECT src AS id, count(*) AS c FROM v_sc WHERE dst IN (SELECT id FROM v_sn) GROUP BY 1) z ON z.id = x.id))",
+            *V, more=_FUSE,
+        ),
     ),
     "grf11_causes_back_in_time": (lambda s, d: backwards(s, d).select("seed", "cause", "hop", *r6("confidence")), sql("SELECT seed, cause, CAST(hop AS INTEGER) AS hop, round(confidence, 6) AS confidence FROM v_found", *V, more=_BACK)),
     "grf12_causal_first": (lambda s, d: backwards(s, d, True).select("seed", "cause", "hop", *r6("confidence")), None),
@@ -221,4 +228,14 @@ QUERIES: dict = {
         lambda s, d: paths(s, d)[0].select("path_id", F.round(walks.path_confidence(F.transform("path", lambda x: F.length(x).cast("long")), F.size("path")), 6).alias("confidence")),
         sql("SELECT path_id, round(1.0 / 3 * CASE WHEN length(n1) < length(n0) THEN 0.5 ELSE 1 END * CASE WHEN length(n2) < length(n1) THEN 0.5 ELSE 1 END, 6) AS confidence FROM v_p", *V, more=_PATHS),
     ),
+    "flt10_seed_event": (
+        lambda s, d: s.createDataFrame([("svc3",), ("svc7",)], "service string").join(small(s, d)[0].filter("node_type = 'metric_event' and abs(zscore) > 2").groupBy("service").agg(F.max_by("id", F.struct(F.round(F.abs("zscore"), 9), "id")).alias("id")), "service"),
+        sql("SELECT service, arg_max(id, (round(abs(zscore), 9), id)) AS id FROM v_nodes WHERE node_type = 'metric_event' AND abs(zscore) > 2 AND service IN ('svc3', 'svc7') GROUP BY 1", *V, more=QUIET),
+    ),
+    "flt11_first_events": (lambda s, d: walks.first_events(small(s, d)[0]), sql("SELECT service, arg_min(id, (event_ts, id)) AS id FROM v_events GROUP BY 1", *V)),
+    "grf38_causal_part": (lambda s, d: walks.causal_part(small(s, d)[1], ("precedes",)).select("src", "dst"), sql("SELECT src, dst FROM v_se WHERE edge_type = 'precedes'", *V, more=_SMALL)),
+    "grf39_path_services": (
+        lambda s, d: (lambda x: walks.path_services(x[0], x[1]).select("path_id", F.array_join("services", ",").alias("services"), *r6("share", "confidence")))(paths(s, d)),
+        sql("SELECT path_id, n0 AS services, round(1.0 / 3, 6) AS share, round(1.0 / 9, 6) AS confidence FROM v_p", *V, more=_PATHS),
+    ),
 }

@@ -122,4 +122,28 @@ QUERIES: dict = {
         lambda s, d: events.drain(events.service_states(streamed(s, d)), ["service"], "states"),
         f"SELECT service, count(*) FILTER (WHERE type = 'error') AS error_count, max(CAST(floor(epoch(ts)) AS BIGINT)) FILTER (WHERE type = 'error') AS last_error, count(*) FILTER (WHERE type = 'error') > 5 AS anomalous FROM ({_E}) GROUP BY 1",
     ),
+    "st7_rule_ids": (
+        lambda s, d: rules.ids_in_text(rule_texts(s, d).select(F.regexp_replace("rule", r"^.*\d  ", "").alias("rule")), s.createDataFrame(list(enumerate(RULE_NAMES)), "id int, name string")).select("rule", "head", rules.body_code(F.col("body")).alias("body")),
+        sql(r"SELECT regexp_replace(rule, '^.*\d  ', '') AS rule, CAST(head_rel AS INTEGER) AS head, b0 || '|' || b1 AS body FROM v_text", "v_train", more=_TEXT),
+    ),
+    "st11_walks_of_rules": (
+        lambda s, d: links.found_rules(s, d).select("head_rel", "b0", "b1", rules.walk_of_rule(F.col("head_rel"), F.array("b0", "b1"), 5).alias("w")).select("head_rel", "b0", "b1", F.array_join("w.relations", ",").alias("relations"), F.array_join("w.entities", ",").alias("entities")),
+        sql("SELECT head_rel, b0, b1, head_rel || ',' || (b1 + 5) % 10 || ',' || (b0 + 5) % 10 AS relations, '0,2,1,0' AS entities FROM v_rules", "v_train", more=links._RULES),
+    ),
+    "st14_body_codes": (
+        lambda s, d: links.found_rules(s, d).select(rules.body_of(rules.body_code(F.array("b0", "b1"))).alias("b")).groupBy(F.get("b", F.lit(1)).alias("b1")).agg(F.count(F.lit(1)).alias("n")),
+        sql("SELECT b1, count(*) AS n FROM v_rules GROUP BY 1", "v_train", more=links._RULES),
+    ),
+    "st16_similar_relations": (
+        lambda s, d: rules.with_similar(links.found_rules(s, d).filter("conf > 0.05").select(F.col("b0").alias("rel")).distinct(), s.range(10).select(F.col("id").cast("int").alias("rel"), ((F.col("id") + 5) % 10).cast("int").alias("other"))),
+        sql("SELECT b0 AS rel FROM v_rules WHERE conf > 0.05 UNION SELECT (b0 + 5) % 10 FROM v_rules WHERE conf > 0.05", "v_train", more=links._RULES),
+    ),
+    "ag28_rule_differences": (
+        lambda s, d: rules.difference_statistics(links.found_rules(s, d).filter("b0 < 4"), links.found_rules(s, d).filter("b1 < 6"), ["head_rel", "b0", "b1"]),
+        sql("SELECT count(*) FILTER (WHERE b0 < 4 AND b1 < 6) AS both, count(*) FILTER (WHERE b0 < 4 AND NOT b1 < 6) AS only_before, count(*) FILTER (WHERE b1 < 6 AND NOT b0 < 4) AS only_after FROM v_rules", "v_train", more=links._RULES),
+    ),
+    "h3_rules_by_head": (
+        lambda s, d: rules.by_head(rule_texts(s, d).select(F.col("head_rel").alias("head"), "rule"), s.createDataFrame(list(enumerate(RULE_NAMES)), "id int, name string")).select("name", F.size("rules").alias("n")),
+        sql("SELECT 'rel_' || head_rel AS name, CAST(count(DISTINCT rule) AS INTEGER) AS n FROM v_text GROUP BY 1", "v_train", more=_TEXT),
+    ),
 }

@@ -32,8 +32,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 CHUNK = 256
 BATCH_CHARS = 1 << 20
@@ -54,24 +56,27 @@ BEGINS_HERE, BEGINS_BEFORE = 1, 2  # a piece begins at this code point; at the o
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point. Those too new for this Python's Unicode tables, but letters, numbers
+    or spaces in newer ones, are as the tokenizer library's own tables have them."""
     table = np.full(0x110000, OTHER, np.uint8)
-    for k in range(0x110000):
-        if k in (0x85, 0xA0) or 0x1C <= k <= 0x1F or k > 0xFF or chr(k).isspace():
-            category = unicodedata.category(chr(k))
-            if category[0] == "L":
-                table[k] = LETTER
-            elif category[0] == "N":
-                table[k] = NUMBER
-            elif category[0] == "Z" or k in (0x85,) or 9 <= k <= 13:
-                table[k] = GAP
-        elif (category := unicodedata.category(chr(k)))[0] in "LN":
-            table[k] = LETTER if category[0] == "L" else NUMBER
+    points = "".join(chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (GAP, r"\p{White_Space}")):
+        found = regex.findall(pattern, points)
+        new = [c for c in found if unicodedata.category(c) == "Cn"]
+        known = _joins("a" if kind == LETTER else "1", new) if kind != GAP else []
+        table[[ord(c) for c in found if unicodedata.category(c) != "Cn"] + [ord(c) for c in known]] = kind
     for c, kind in _NAMED.items():
         table[ord(c)] = kind
     return table
 
 
+def _joins(front: str, points: list[str]) -> list[str]:
+    """The code points that the library keeps in one piece with ``front``."""
+    splitter = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    starts = {begin for _, (begin, _) in splitter.pre_tokenize_str("".join(f"{front}{c} " for c in points))}
+    return [c for k, c in enumerate(points) if 3 * k + 1 not in starts]
+
+
 def _step(state: int, kind: int) -> tuple[int, int]:
     """Next state and marks of the splitter for pieces 's 't 're 've 'm 'll 'd, letters, numbers and
     others with one space before them, and runs of space without the last one before other text."""

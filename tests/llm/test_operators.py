@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from faultloom.llm import decontaminate, language_id, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filter
 
@@ -86,6 +86,16 @@ def test_token_counts_long_text_is_cut_safely(monkeypatch):
     assert compiled.counts([text, "", text])[0] == len(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_splitter_over_all_code_points():
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    points = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    for at in range(0, len(points), 5000):
+        text = "".join(f"a{c}1{c}!{c} " for c in points[at : at + 5000])
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        starts = np.flatnonzero(token_counts.piece_starts(codes, np.array([], np.int64)))
+        assert starts.tolist() == [begin for _, (begin, _) in library.pre_tokenize_str(text)]
+
+
 def test_splitter_maps_compose():
     rng = np.random.default_rng(0)
     kinds = rng.integers(0, token_counts.N_CLASSES, (7, 40)).astype(np.uint8)

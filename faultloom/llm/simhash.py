@@ -153,31 +153,40 @@ def forest(cell: np.ndarray, fps: np.ndarray, home: np.ndarray, radius: int = RA
         far += 1
     for begin, size in zip(begins[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
         tiles = [(a, min(a + TILE, begin + size)) for a in range(begin, begin + size, TILE)]
-        for i, (a, b) in enumerate(tiles):
-            for c, d in tiles[i:]:
+        for step in range(len(tiles)):  # near tiles first: what they tie together needs no further comparison
+            for (a, b), (c, d) in zip(tiles, tiles[step:], strict=False):
                 if ones[c] - ones[b - 1] > radius:
-                    break
-                close = _apart(fps[a:b, None], fps[None, c:d]) <= radius
-                x, y = np.nonzero(close)
-                keep = (x + a < y + c) & (home[x + a] | home[y + c])
-                _join(parent, *_spanning(x[keep] + a, y[keep] + c))
+                    continue
+                known = _roots(parent, np.concatenate((np.arange(a, b), np.arange(c, d))))
+                if known.min() == known.max():
+                    continue
+                close = (_apart(fps[a:b, None], fps[None, c:d]) <= radius) & (home[a:b, None] | home[None, c:d])
+                _join(parent, *_tied(close, np.arange(a, b), np.arange(c, d)))
     root = np.fromiter((_find(parent, k) for k in range(len(parent))), np.int64, len(parent))
     linked = np.flatnonzero(root != np.arange(len(root)))
     return order[linked], order[root[linked]]
 
 
-def _spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer pairs that connect the same rows: a row's pairs with those already tied to one anchor go."""
-    if len(x) < 4096:
-        return x, y
-    first: dict[int, int] = {}
-    keep = np.zeros(len(x), bool)
-    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
-        ra, rb = first.get(a, a), first.get(b, b)
-        if ra != rb:
-            keep[k] = True
-            first.setdefault(b, ra)
-    return x[keep], y[keep]
+def _roots(parent: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    found = parent[rows]
+    while (up := parent[found]).tolist() != found.tolist():
+        found = up
+    return found
+
+
+def _tied(close: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, smallest row it reaches) within one pair of tiles, by passing the smallest along links."""
+    none = np.iinfo(np.int64).max
+    at_x, at_y = x.copy(), y.copy()
+    while True:
+        new_y = np.minimum(at_y, np.where(close, at_x[:, None], none).min(axis=0))
+        new_x = np.minimum(at_x, np.where(close, new_y[None, :], none).min(axis=1))
+        if (new_x == at_x).all() and (new_y == at_y).all():
+            break
+        at_x, at_y = new_x, new_y
+    rows, least = np.concatenate((x, y)), np.concatenate((at_x, at_y))
+    moved = rows != least
+    return rows[moved], least[moved]
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:

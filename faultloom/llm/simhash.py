@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultloom.llm._common import written
@@ -34,11 +34,13 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 3
 TILE = 1024
-#: Wide fingerprints for a similarity of shingle sets: LANES x 64 bits, of which texts with Jaccard 0.8
-#: differ in 15 % on the average (arccos(2 * 0.8 / 1.8) / pi), 78 +- 8 of 512; WIDE_RADIUS lies above that.
-LANES, WIDE_RADIUS = 8, 88
-#: Cells for them: BANDS of ROWS minimum hashes; texts with Jaccard 0.8 share one with a chance of 0.999.
-BANDS, ROWS = 10, 3
+#: Sets of shingles are near-duplicates at a Jaccard similarity of at least NEAR = p / q (see ``keep_first``).
+NEAR = (4, 5)
+#: Parity bits of a set of shingles: LANES x 64, in the wide form as many more (a power of two) as it has shingles.
+LANES = 8
+#: Shingles in HOT_DOCS of one in HOT_SAMPLE documents come last in the order, HOT_MOST at most.
+HOT_SAMPLE, HOT_DOCS, HOT_MOST = 64, 4, 50_000
+MOST_SEEN = 1_000_000
 HASHES_AT_ONCE = 1 << 16
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -73,26 +75,32 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def sketch(text: bytes, shingle: int) -> tuple[list[int], list[int]]:
-    """A wide fingerprint (LANES of 64 bits) of the set of shingles, and the hashes of its BANDS."""
-    hashes = np.unique(shingle_hashes(text, shingle))
-    lanes = [majority(_mixed(hashes ^ np.uint64(k))) for k in _LANE_SALTS]
-    if not len(hashes):
-        return lanes, [0] * BANDS
-    least = np.array([_mixed(hashes * m).min() for m in _ROW_FACTORS], np.uint64).reshape(BANDS, ROWS)
-    bands = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
-        bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, j])
-    return lanes, bands.view(np.int64).tolist()
+def parities(hashes: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """lanes x 64 bits, each the parity of the hashes that fall on it: two sets differ in no fewer hashes
+    than their parities in bits. The halves of twice as many lanes make these by exclusive-or."""
+    ones = np.bincount((hashes % np.uint64(64 * lanes)).astype(np.int64), minlength=64 * lanes) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
+
 
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """Parities in a bit a hash or more."""
+    lanes = LANES
+    while 64 * lanes < len(hashes):
+        lanes *= 2
+    return parities(hashes, lanes)
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
 
+def leading(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first hashes of an ordered set, as many as two sets at a similarity of NEAR can't avoid sharing one of.
 
-_SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, LANES + BANDS * ROWS, dtype=np.uint64)
-_LANE_SALTS, _ROW_FACTORS = _SALTS[:LANES].tolist(), _SALTS[LANES:] * np.uint64(2) + np.uint64(1)
+    Such sets share at least p / q of the larger, so all but that many and one more suffice, in any order
+    that is the same for all sets: here hot hashes come last (both arrays are sorted).
+    """
+    if not len(hashes):
+        return hashes
+    late = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes if len(hot) else np.zeros(len(hashes), bool)
+    p, q = NEAR
+    return hashes[np.argsort(late, kind="stable")[: len(hashes) - -(-len(hashes) * p // q) + 1]]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -287,31 +295,140 @@ def near_duplicates(
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """One row of each group of near-duplicates: the smallest (id, hash of the text); of equal rows one.
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.array(values.view(np.int64)))
 
-    Texts are near-duplicates at a similarity (Jaccard, sets of shingles) of 0.8 or more, as far as wide
-    fingerprints can tell: each text goes to one cell for each band, and in a cell fingerprints are
-    compared exactly, tile by tile. Groups are the components of those links.
-    """
-    kind = dict(docs.dtypes)[id_col]
 
-    def sketches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hot(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many documents, from a sample; which these are decides how fast candidates are found, not what is found."""
+
+    def hashes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            made = [sketch(t or b"", shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            lanes = pa.array([np.array(x, np.uint64).view(np.int64) for x, _ in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lanes, pa.array([b for _, b in made], pa.list_(pa.int64()))], ["id", "row", "lanes", "bands"]
-            )
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t or b"", shingle)).view(np.int64))], ["h"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(hashes, "h long")
+    many = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "h").limit(HOT_MOST)
+    return np.sort(np.array([r.h for r in many.collect()], np.int64).view(np.uint64))
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a similarity of NEAR: by size and parities as far as these
+    rule it out, then by the sets themselves, which are made again from the texts of one row a node."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _texts(batch, 0, shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(part)), _lists(part)], ["node", "hashes"])
+
+    p, q = NEAR
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("wide").alias(f"{side}_wide")), side)
+    half = {s: F.when(F.size(f"{s}_wide") > F.size(f"{o}_wide"), _folded(f"{s}_wide")).otherwise(F.col(f"{s}_wide")) for s, o in ("ab", "ba")}
+    apart = F.aggregate(F.zip_with(half["a"], half["b"], lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+    pairs = pairs.filter(_sized("a_size", "b_size")).filter(_within(apart, "a_size", "b_size"))
+    close = written(pairs.select("a", "b"), "candidates")
+    used = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
+    used = used.join(classes.select("node", "seat"), "node").select(F.xxhash64("seat.id", "seat.row").alias("seat"))
+    used = written(used, "used")  # a table's size is known before the texts move
+    texts = rows.withColumn("seat", F.xxhash64("id", "row")).join(used, "seat", "left_semi").select("text")
+    made = written(texts.mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    for side in "ab":
+        close = close.join(made.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set")), side)
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return written(close.filter(shared * (p + q) >= p * (F.size("a_set") + F.size("b_set"))).select("a", "b"), "similar")
+
+
+def _texts(batch: pa.RecordBatch, column: int, shingle: int) -> Iterator[list[np.ndarray]]:
+    """The sets of a batch's texts, in lists of bounded size."""
+    found: list[np.ndarray] = []
+    held = 0
+    for t in batch.column(column).cast(pa.binary()):
+        found.append(np.unique(shingle_hashes(t.as_py() or b"", shingle)))
+        held += len(found[-1])
+        if held >= 16 * HASHES_AT_ONCE:
+            yield found
+            found, held = [], 0
+    if found:
+        yield found
 
+
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+
+
+def _folded(lanes: str) -> Column:
+    half = (F.size(lanes) / 2).cast("int")
+    return F.zip_with(F.slice(lanes, F.lit(1), half), F.slice(lanes, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+
+def _sized(a: str, b: str) -> Column:
+    """Sizes that allow a similarity of NEAR; their wide parities are of equal length or one has twice the other's."""
+    return NEAR[1] * F.least(a, b) >= NEAR[0] * F.greatest(a, b)
+
+
+def _within(apart: Column, a: str, b: str) -> Column:
+    """Sets of a similarity of NEAR differ in so few elements."""
+    p, q = NEAR
+    return apart * (p + q) <= (q - p) * (F.col(a) + F.col(b))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """One row of each group of near-duplicates: the smallest (id, hash of the text); of equal rows one.
+
+    Texts are near-duplicates at a similarity (Jaccard, sets of shingles) of 0.8 or more; groups are the
+    components of those links, each of them decided by the sets. Equal sets are one node. Each set goes to
+    the cells of its leading shingles, so similar sets meet in one. Each node is compared first with the
+    one that it follows in most cells; of the other pairs in cells only those that this has not tied
+    together are, so that a group of very many copies need not give all its pairs.
+    """
+    kind = dict(docs.dtypes)[id_col]
     text = F.col(text_col)
-    made = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    made = made.mapInArrow(sketches, f"id {kind}, row long, lanes array<long>, bands array<long>")
-    made = written(made.withColumn("node", F.xxhash64(*[F.get("lanes", F.lit(k)) for k in range(LANES)])), "sketches")
-    seat = F.struct("id", "row")
-    classes = made.groupBy("node").agg(F.min(seat).alias("seat"), F.min(F.struct("lanes", "bands")).alias("x"))
-    cells = classes.select("node", F.lit(True).alias("home"), F.col("x.lanes").alias("lanes"), F.explode("x.bands").alias("cell"))
-    tree = components(cell_links(cells, radius))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    hot = _hot(rows, shingle)
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # the leading shingles of copies go out once a task
+        for batch in batches:
+            begin = 0
+            for found in _texts(batch, 2, shingle):
+                nodes, first = _nodes(found), []
+                for node, x in zip(nodes.tolist(), found, strict=True):
+                    first.append(x[:0] if node in seen else leading(x, hot))
+                    if len(seen) < MOST_SEEN:
+                        seen.add(node)
+                size, lanes, wider = pa.array([len(x) for x in found], pa.int64()), _lists([parities(x) for x in found]), _lists([wide(x) for x in found])
+                part = batch.slice(begin, len(found))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(nodes), size, lanes, wider, _lists(first)], ["id", "row", "node", "size", "lanes", "wide", "first"]
+                )
+                begin += len(found)
+
+    made = rows.mapInArrow(sketches, f"id {kind}, row long, node long, size long, lanes array<long>, wide array<long>, first array<long>")
+    made = written(made, "sketches")
+    seat, what = F.struct("id", "row"), F.struct("size", "lanes", "wide")
+    classes = written(made.groupBy("node").agg(F.min(seat).alias("seat"), F.min(what).alias("x")).select("node", "seat", "x.*"), "classes")
+
+    along, all_of = Window.partitionBy("cell").orderBy("node"), Window.partitionBy("cell")
+    cells = made.select("node", F.explode("first").alias("cell")).repartition("cell").distinct()
+    cells = cells.withColumn("before", F.lag("node").over(along)).withColumn("after", F.lead("node").over(along))
+    shared = written(cells.filter("before IS NOT NULL OR after IS NOT NULL").select("cell", "node", "before"), "cells")
+    pairs = shared.filter("before IS NOT NULL").groupBy(F.col("node").alias("b"), F.col("before").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    tree = components(_similar(pairs, classes, rows, shingle))
+
+    roots = classes.select("node", "size", "lanes").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = shared.select("cell", "node").join(roots.select("node", "root"), "node")
+    left = left.withColumn("lo", F.min("root").over(all_of)).withColumn("hi", F.max("root").over(all_of)).filter("lo <> hi").select("cell", "node")
+    left = written(left.join(roots, "node"), "open")
+    x, y = (left.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "size", "lanes")]) for side in "ab")
+    meet = x.join(y, "cell").filter("a_node < b_node AND a_root <> b_root").filter(_sized("a_size", "b_size"))
+    apart = sum((F.bit_count(F.get("a_lanes", F.lit(k)).bitwiseXOR(F.get("b_lanes", F.lit(k)))) for k in range(LANES)), F.lit(0))
+    meet = meet.filter(_within(apart, "a_size", "b_size"))
+    more = _similar(meet.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), classes, rows, shingle)
+    tree = components(more.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
     best = classes.select("node", "seat").join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("seat").alias("seat"))
     best = best.select(F.xxhash64("seat.id", "seat.row").alias("_seat"))
     kept = docs.withColumn("_seat", F.xxhash64(F.col(id_col), F.xxhash64(text))).join(best, "_seat", "left_semi")

@@ -312,6 +312,53 @@ def test_keep_first(spark):
     assert simhash.keep_first(odd_docs(spark)).count() > 25
 
 
+def brute_groups(rows, shingle=5):
+    """Smallest id of each group: components of the links with an exact Jaccard similarity of 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(t.translate(LOWER))
+        n = min(shingle, len(w))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) > 0:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if x == hi else x for x in root]
+    least = {}
+    for (k, _), r in zip(rows, root, strict=True):
+        least[r] = min(k, least.get(r, k))
+    return sorted(least.values())
+
+
+def test_keep_first_equals_exact_jaccard(spark):
+    rng = __import__("random").Random(11)
+    rows = []
+    for k in range(60):  # 200 shingles and a copy with another tail: 173 to 190 in common, Jaccard 0.76 to 0.90
+        w, cut = sentence(rng, 204).split(), 10 + k * 18 // 60
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:-cut] + sentence(rng, cut).split()))]
+    for k in range(60):  # 1 to 24 shingles and up to 6 words more: 4 of 5, 5 of 6, 20 of 25
+        w = sentence(rng, 28 if k % 3 == 2 else 8 + k % 2).split()
+        rows += [(len(rows), " ".join(w[: 24 if k % 3 == 2 else None])), (len(rows) + 1, " ".join(w + sentence(rng, 1 + k % 3).split()))]
+    shared = sentence(rng, 60)
+    for _ in range(40):  # unlike texts that share a passage, and chains of texts that grow
+        rows.append((len(rows), shared + " " + sentence(rng, rng.randint(5, 60))))
+    grown = sentence(rng, 30).split()
+    for _ in range(12):
+        grown += sentence(rng, 5).split()
+        rows.append((len(rows), " ".join(grown)))
+    for k in range(6):  # around the step from 512 to 1,024 parity bits, and beyond
+        w = sentence(rng, 504 + 400 * (k // 3)).split()
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w + sentence(rng, 100 + 25 * k).split()))]
+    for t in ("", " ", "one", "One", "one two", "a b c d", "a b c d e"):
+        rows.append((len(rows), t))
+    expected = brute_groups(rows)
+    assert 150 < len(expected) < len(rows)
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in kept) == expected
+
+
 # op8
 
 

@@ -26,6 +26,16 @@ def pattern_rules(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return counted.withColumn("confidence", F.col("support") / F.sum("support").over(Window.partitionBy()))
 
 
+def ranked_patterns(rules: DataFrame, by: str = "support") -> DataFrame:
+    """Rules with their place from 1: by (support, confidence), or by their product; ties by pattern.
+
+    There are as many rows as combinations of types, so one task orders them."""
+    if by not in ("support", "product"):
+        raise ValueError(f"patterns are ranked by support or product, not {by!r}")
+    keys = [F.desc("support"), F.desc("confidence")] if by == "support" else [F.desc(F.col("support") * F.col("confidence"))]
+    return rules.withColumn("place", F.row_number().over(Window.orderBy(*keys, "src_type", "edge_type", "dst_type")))
+
+
 def rules_to_bias(rules: DataFrame, cap: float = 1.3) -> DataFrame:
     """(src_type, edge_type, dst_type, bias): 1 + (cap - 1) / 2 * (share of the largest support + confidence), in 0.7 .. cap."""
     share = F.col("support") / F.max("support").over(Window.partitionBy())
@@ -86,39 +96,62 @@ def readable(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def with_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with both ends' types and times."""
-    one = nodes.groupBy("id").agg(F.min("node_type").alias("type"), F.min("event_ts").alias("ts"))
-    e = edges.select("src", "dst", "edge_type", "weight").distinct()
+    """Edges with both ends' types and times: of the event, or else of the minute."""
+    one = nodes.groupBy("id").agg(F.min("node_type").alias("type"), F.min(graph.node_time()).alias("ts"))
+    e = edges.select("src", "dst", "edge_type", "weight")
     return e.join(one.toDF("src", "src_type", "src_ts"), "src").join(one.toDF("dst", "dst_type", "dst_ts"), "dst")
 
 
+#: How many paths and rules a result carries as evidence.
+EVIDENCE_PATHS, EVIDENCE_RULES = 10, 5
+
+
 def find_root_cause(
     nodes: DataFrame, edges: DataFrame, center: int, start: str, minutes: int = 5, rounds: int = 4, n_walks: int = 200, n_biased: int = 300, seed: int = 12, tolerance: float = 1e-3
 ) -> DataFrame:
-    """Walk, learn patterns, bias, walk again, score; the centre moves to the earliest evidence; ends when
-    the confidence settles. Per round one row reaches the driver; paths stay tables in the shared folder."""
+    """(service, reason, time, confidence, evidence_paths, rules_used), one row.
+
+    Walk, learn patterns, bias, walk again, score; the centre moves to the earliest node of all paths;
+    ends when there are no paths or the confidence settles. Evidence is the first paths by walk number of
+    the last round, and the first patterns by round and rank. A round brings one row of scores, one time
+    and whether there are paths to the driver; paths stay tables in the shared folder.
+    """
     spark = nodes.sparkSession
     starts = spark.createDataFrame([(start,)], "id string")
-    bias, before, best = None, None, None
+    pattern = ["src_type", "edge_type", "dst_type"]
+    bias, used, best, paths = None, None, None, None
     for k in range(rounds):
         n, e = graph.window_subgraph(nodes, edges, center, minutes)
-        typed = with_types(n, e)
+        typed = cut(with_types(n, e), "typed")
         paths = _numbered(walks.random_walks(typed, starts, n_walks, seed=seed + k, bias=bias), f"walks{k}")
-        new = rules_to_bias(pattern_rules(paths, n, e))
+        if paths.isEmpty():
+            break
+        learned = cut(pattern_rules(paths, n, e), "patterns")
+        new = rules_to_bias(learned)
         bias = cut(accumulate_bias(bias if bias is not None else new.limit(0), new), "bias")
+        ranked = ranked_patterns(learned).select(*pattern, F.struct(F.lit(k).alias("round"), "place").alias("at"))
+        used = cut((ranked if used is None else used.unionByName(ranked)).groupBy(*pattern).agg(F.min("at").alias("at")), "used")
         if k < rounds - 1:
-            paths = _numbered(walks.random_walks(typed, starts, n_biased, seed=seed + 100 + k, bias=bias), f"biased{k}")
+            biased = _numbered(walks.random_walks(typed, starts, n_biased, seed=seed + 100 + k, bias=bias), f"biased{k}")
+            paths = paths if biased.isEmpty() else biased
         found = best_root_cause(score_services(paths, n)).first()
-        if found is None:
+        if found is None or (best is not None and abs(found["confidence"] - best["confidence"]) < tolerance):
             break
         best = found
-        if before is not None and abs(found["confidence"] - before) < tolerance:
+        on_path = n.join(paths.select(F.explode("path").alias("id")).distinct(), "id", "left_semi")
+        earliest = on_path.agg(F.min(graph.node_time()).alias("t")).first()["t"]
+        if earliest is None:
             break
-        before = found["confidence"]
-        center = found["time"] - found["time"] % 60 if found["time"] is not None else center
+        center = int(earliest - earliest % 60)
+    shown, rules = [], []
+    if paths is not None:
+        shown = [r["path"] for r in paths.orderBy("walk", "path_id").limit(EVIDENCE_PATHS).select("path").collect()]
+    if used is not None:
+        rules = [">".join(r[c] or "" for c in pattern) for r in used.orderBy("at").limit(EVIDENCE_RULES).collect()]
     row = tuple(best) if best else ("unknown", "no_evidence", None, 0.0)
-    return spark.createDataFrame([row], "service string, reason string, time long, confidence double")
+    return spark.createDataFrame([(*row, shown, rules)], f"service string, reason string, time {dict(nodes.dtypes)['event_ts']}, confidence double, evidence_paths array<array<string>>, rules_used array<string>")
 
 
 def _numbered(paths: DataFrame, name: str) -> DataFrame:
-    return cut(paths.select(F.col("walk").cast("long").alias("path_id"), "path"), name)
+    """Paths under a path_id that is unique over all starts."""
+    return cut(paths.select(F.concat_ws("#", "start", F.col("walk").cast("string")).alias("path_id"), "walk", "path"), name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,62 +134,144 @@ def edge_weight(base: Column, bias: Column, gap: Column, rate: float) -> Column:
     return base * bias * F.exp(-F.lit(rate) * gap)
 
 
-def type_fits(hop: int, types: Column, sequence: tuple[str, ...]) -> Column:
-    return F.lit(True) if hop >= len(sequence) else types == F.lit(sequence[hop])
+def type_fits(place: int, types: Column, sequence: tuple[str, ...]) -> Column:
+    """A node at a place of the path has the type that the sequence asks for; beyond its end any."""
+    return F.lit(True) if place >= len(sequence) else F.coalesce(types == F.lit(sequence[place]), F.lit(False))
+
+
+#: Base weights of the edge types that walks take.
+BASE_WEIGHTS = {"precedes": 1.0, "has_metric": 1.0, "has_log": 1.0, "calls": 0.6, "depends_on": 0.6}
 
 
 def random_walks(
-    edges: DataFrame, starts: DataFrame, n_walks: int = 200, max_len: int = 4, rate: float = 0.2, no_return: int = 2, seed: int = 12,
-    bias: DataFrame | None = None, allowed: tuple[str, ...] = WALK_EDGES,
+    edges: DataFrame, starts: DataFrame, n_walks: int = 200, max_len: int = 4, rate: float = 0.2, no_return: int = 4, seed: int = 12,
+    bias: DataFrame | None = None, allowed: tuple[str, ...] = WALK_EDGES, base: dict[str, float] | None = None,
+    types: tuple[str, ...] = (), monotonic: bool = True,
 ) -> DataFrame:
-    """(start, walk, path, times): walks of at most max_len nodes, each step weighted by
-    weight * bias * exp(-rate * gap), to strictly later times, never to one of the last no_return nodes.
+    """(start, walk, path): distinct walks of at most max_len nodes, each under the least of its numbers.
+
+    A step has the weight base(edge type) * bias(pattern) * exp(-rate * gap), leads to a strictly later
+    node (both times known; with ``monotonic`` off times don't matter), never to one of the last
+    no_return nodes, and, where ``types`` has a type for a place, to a node of it.
 
-    edges (src, dst, edge_type, weight, src_ts, dst_ts[, src_type, dst_type]); nodes without time are
-    reached and left at any time. A step is drawn by the largest log(weight) - log(-log(u)), which
-    picks in proportion to the weights; u is a hash of walk, step and edge.
+    edges (src, dst, edge_type, src_ts, dst_ts, src_type, dst_type), as of ``rca.with_types``. Parallel
+    edges of a pair add their weights. A step is drawn by the largest log(weight) - log(-log(u)), which
+    picks in proportion to the weights; u is a hash of seed, walk, step and target, so that reruns agree
+    whatever the partitions are.
     """
+    weights = BASE_WEIGHTS if base is None else base
     e = edges.filter(F.col("edge_type").isin(*allowed))
     if bias is not None:
         e = e.join(bias, ["src_type", "edge_type", "dst_type"], "left")
-    e = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "src_ts", "dst_ts", F.coalesce("weight", F.lit(1.0)).alias("w"), (F.coalesce("bias", F.lit(1.0)) if bias is not None else F.lit(1.0)).alias("bias"))
-    walks = starts.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"))
-    walks = walks.select("start", "walk", F.array("start").alias("path"), F.lit(None).cast("double").alias("now"))
+    of_type = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("edge_type")), F.lit(1.0)) if weights else F.lit(1.0)
+    weight = of_type * (F.coalesce("bias", F.lit(1.0)) if bias is not None else F.lit(1.0))
+    to_type = F.col("dst_type") if "dst_type" in edges.columns else F.lit(None).cast("string")
+    e = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "src_ts", "dst_ts", to_type.alias("to_type"), weight.alias("w"))
+    if monotonic:
+        e = e.filter(F.col("dst_ts") > F.col("src_ts"))
+    # Exact sums, so that the order in which rows meet can't show.
+    total = F.sum(F.col("w").cast("decimal(30,12)")).cast("double")
+    e = e.groupBy("at", "to").agg(F.min("src_ts").alias("src_ts"), F.min("dst_ts").alias("dst_ts"), F.min("to_type").alias("to_type"), total.alias("w"))
+    gap = (F.col("dst_ts") - F.col("src_ts")).cast("double") if monotonic else F.lit(0.0)
+    e = e.select("at", "to", "to_type", F.log(edge_weight(F.col("w"), F.lit(1.0), gap, 0.0)).alias("log_w"), (F.lit(rate) * gap).alias("decay")).filter("log_w is not null")
+    walks = starts.select(F.col("id").alias("start")).distinct().select("start", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"))
+    walks = walks.select("start", "walk", F.array("start").alias("path"))
+    if types:
+        own = edges.select(F.col("src").alias("start"), F.col("src_type").alias("own_type")).distinct()
+        walks = walks.join(own.filter(type_fits(0, F.col("own_type"), types)), "start", "left_semi")
     for hop in range(max_len - 1):
-        last = F.element_at("path", -1)
-        can = walks.withColumn("at", last).join(e, "at")
-        now = F.coalesce("now", "src_ts")
-        can = can.filter(now.isNull() | F.col("dst_ts").isNull() | (F.col("dst_ts") > now))
+        can = walks.filter(F.size("path") == hop + 1).withColumn("at", F.element_at("path", -1)).join(e, "at")  # others have ended
         can = can.filter(~F.array_contains(F.slice("path", F.greatest(F.size("path") - no_return + 1, F.lit(1)), no_return), F.col("to")))
-        gap = F.coalesce(F.col("dst_ts") - now, F.lit(0.0))
-        draw = F.log(edge_weight(F.col("w"), F.col("bias"), gap, rate)) - F.log(-F.log(_uniform(F.lit(seed), F.col("start"), F.col("walk"), F.lit(hop), F.col("to"))))
-        chosen = can.groupBy("start", "walk").agg(F.max_by(F.struct("to", F.coalesce(F.col("dst_ts").cast("double"), now.cast("double")).alias("ts")), draw).alias("x"))
+        can = can.filter(type_fits(hop + 1, F.col("to_type"), types))
+        u = _uniform(F.lit(seed), F.col("start"), F.col("walk"), F.lit(hop), F.col("to"))
+        draw = F.struct((F.col("log_w") - F.col("decay") - F.log(-F.log(u))).alias("draw"), "to")
+        chosen = can.groupBy("start", "walk").agg(F.max_by("to", draw).alias("to"))
         walks = walks.join(chosen, ["start", "walk"], "left").select(
-            "start", "walk",
-            F.when(F.col("x").isNull(), F.col("path")).otherwise(F.concat("path", F.array("x.to"))).alias("path"),
-            F.coalesce("x.ts", "now").alias("now"),
-        )
-    return walks.filter(F.size("path") > 1).dropDuplicates(["path"]).select("start", "walk", "path")
+            "start", "walk", F.when(F.col("to").isNull(), F.col("path")).otherwise(F.concat("path", F.array("to"))).alias("path")
+        )
+    return walks.filter(F.size("path") > 1).groupBy("start", "path").agg(F.min("walk").alias("walk")).select("start", "walk", "path")
+
+
+def _steps(w: DataFrame, step: DataFrame, n_relations: int, hop: int, length: int, relaxed: bool) -> DataFrame:
+    """Walks (entities, relations, times, ...) with every step (rel, to, ts) that may follow."""
+    w = w.withColumn("at", F.element_at("entities", -1)).withColumn("now", F.element_at("times", -1))
+    bound = F.get("times", F.lit(0)) if relaxed else F.col("now")
+    w = w.join(step, "at").filter((F.col("ts") < bound) if hop == 1 else (F.col("ts") <= bound))
+    back = F.element_at("relations", -1)
+    inverse = F.when(back < n_relations, back + n_relations).otherwise(back - n_relations)
+    undone = (F.col("rel") == inverse) & (F.col("ts") == F.col("now")) & (F.col("to") == F.element_at("entities", -2))
+    w = w.filter(~undone) if hop > 1 else w
+    return w.filter(F.col("to") == F.get("entities", F.lit(0))) if hop == length else w
+
 
+def _moved(w: DataFrame, *keys: str) -> DataFrame:
+    return w.select(*keys, F.concat("entities", F.array("to")).alias("entities"), F.concat("relations", F.array("rel")).alias("relations"), F.concat("times", F.array("ts")).alias("times"))
 
-def cyclic_walks(quads: DataFrame, n_relations: int, length: int, max_gap: int) -> DataFrame:
+
+def _quad_steps(quads: DataFrame) -> DataFrame:
+    return quads.select(F.col("s").alias("at"), F.col("r").alias("rel"), F.col("o").alias("to"), F.col("t").alias("ts"))
+
+
+def cyclic_walks(quads: DataFrame, n_relations: int, length: int, max_gap: int, relaxed: bool = False) -> DataFrame:
     """(entities, relations, times) of all cyclic walks: hop 1 strictly back in time, then not later, no
-    step undone by its exact inverse, the last hop back at the start. All walks, not a sample."""
-    step = quads.select(F.col("s").alias("at"), F.col("r").alias("rel"), F.col("o").alias("to"), F.col("t").alias("ts"))
+    step undone by its exact inverse, the last hop back at the start; with ``relaxed``, times are bounded
+    by the first one only. All walks, not a sample."""
     w = quads.select(F.array("s", "o").alias("entities"), F.array("r").alias("relations"), F.array("t").alias("times"))
     for hop in range(1, length + 1):
-        last, now = F.element_at("entities", -1), F.element_at("times", -1)
-        w = w.withColumn("at", last).withColumn("now", now).join(step, "at")
-        w = w.filter((F.col("ts") < F.col("now")) if hop == 1 else (F.col("ts") <= F.col("now"))).filter(F.col("now") - F.col("ts") <= max_gap)
-        back = F.element_at("relations", -1)
-        undone = (F.col("rel") == F.when(back < n_relations, back + n_relations).otherwise(back - n_relations)) & (F.col("ts") == F.col("now")) & (F.col("to") == F.element_at("entities", -2))
-        w = w.filter(~undone)
-        if hop == length:
-            w = w.filter(F.col("to") == F.get("entities", F.lit(0)))
-        w = w.select(F.concat("entities", F.array("to")).alias("entities"), F.concat("relations", F.array("rel")).alias("relations"), F.concat("times", F.array("ts")).alias("times"))
+        w = _steps(w, _quad_steps(quads), n_relations, hop, length, relaxed)
+        w = _moved(w.filter(F.abs(F.col("now") - F.col("ts")) <= max_gap))
     return w
 
 
+def start_facts(quads: DataFrame, n_walks: int, seed: int = 12, parts: int = 256) -> DataFrame:
+    """(r, walk, s, o, t): n_walks facts of each relation, drawn uniformly with repetition.
+
+    Facts of a relation are numbered in ``parts`` parts by their hash, so no task holds a relation.
+    """
+    part = F.pmod(F.xxhash64("s", "r", "o", "t"), F.lit(parts)).cast("int").alias("part")
+    facts = quads.select("s", "r", "o", "t", part)
+    sizes = facts.groupBy("r", "part").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("r")))
+    draws = sizes.select("r", "all").distinct().select("r", "all", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"))
+    draws = draws.select("r", "walk", F.floor(_uniform(F.lit(seed), F.lit("start"), F.col("r"), F.col("walk")) * F.col("all")).alias("k"))
+    drawn = draws.join(sizes, "r").filter((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("n")))
+    drawn = drawn.select("r", "part", "walk", (F.col("k") - F.col("before") + 1).cast("int").alias("place"))
+    order = Window.partitionBy("r", "part").orderBy("s", "o", "t")
+    return facts.withColumn("place", F.row_number().over(order)).join(drawn, ["r", "part", "place"]).select("r", "walk", "s", "o", "t")
+
+
+def sample_cyclic_walks(
+    quads: DataFrame, n_relations: int, length: int, n_walks: int = 200, transition: str = "exp", relaxed: bool = False, seed: int = 12
+) -> DataFrame:
+    """(r, walk, entities, relations, times): cyclic walks drawn step by step, n_walks tries for each
+    relation; tries that end before they close are gone.
+
+    A step is drawn in proportion to exp(ts - now), or uniformly (``unif``, and where all weights are
+    zero in a double). Rules of time and of inverse steps as in ``cyclic_walks``.
+    """
+    if transition not in ("exp", "unif"):
+        raise ValueError(f"transition {transition!r} is neither exp nor unif")
+    w = start_facts(quads, n_walks, seed).select("r", "walk", F.array("s", "o").alias("entities"), F.array("r").alias("relations"), F.array("t").alias("times"))
+    least = -745.0  # Fixed value: exp of less is zero in a double.
+    for hop in range(1, length + 1):
+        can = _steps(w, _quad_steps(quads), n_relations, hop, length, relaxed)
+        gap = (F.col("ts") - F.col("now")).cast("double")
+        gumbel = -F.log(-F.log(_uniform(F.lit(seed), F.lit(length), F.col("r"), F.col("walk"), F.lit(hop), F.col("rel"), F.col("to"), F.col("ts"))))
+        one = F.struct("rel", "to", "ts")
+        pick = lambda score: F.max_by(one, F.struct(score.alias("draw"), one.alias("edge")))
+        chosen = can.groupBy("r", "walk").agg(pick(gap + gumbel).alias("by_time"), pick(gumbel).alias("any"), F.max(gap).alias("gap"))
+        use = F.col("any") if transition == "unif" else F.when(F.col("gap") < least, F.col("any")).otherwise(F.col("by_time"))
+        w = _moved(w.join(chosen.select("r", "walk", use.alias("x")), ["r", "walk"]).select("*", "x.*"), "r", "walk")
+    return w
+
+
+def learned_by_sampling(quads: DataFrame, n_relations: int, lengths: tuple[int, ...] = (1, 2, 3), n_walks: int = 200, transition: str = "exp", relaxed: bool = False, seed: int = 12) -> DataFrame:
+    """Sampled cyclic walks of rules of each length, for every relation: column ``length`` is the body's."""
+    made = [sample_cyclic_walks(quads, n_relations, n, n_walks, transition, relaxed, seed).withColumn("length", F.lit(n)) for n in lengths]
+    return reduce(DataFrame.unionByName, made)
+
+
 def sample_start(quads: DataFrame, per_relation: int, seed: int = 12) -> DataFrame:
     """Facts drawn uniformly, ``per_relation`` for each relation."""
     w = Window.partitionBy("r").orderBy(_uniform(F.lit(seed), F.col("s"), F.col("r"), F.col("o"), F.col("t")), "s", "o", "t")
@@ -201,15 +285,26 @@ def sample_by_time(quads: DataFrame, seed: int = 12) -> DataFrame:
     return beside(quads, ends).filter(_uniform(F.lit(seed), F.col("s"), F.col("r"), F.col("o"), F.col("t")) <= p).drop("lo", "hi")
 
 
-def seed_event(nodes: DataFrame, service: str, kind: str = "metric") -> DataFrame:
-    """The event to start from: a metric event with abs(zscore) > 2, or a log event at ERROR, of the
-    service; the largest abs(zscore), ties by id."""
-    own = nodes.filter(F.col("service") == service)
+def seed_events(nodes: DataFrame, kind: str = "metric") -> DataFrame:
+    """One event a service to start from: a metric event with abs(zscore) > 2, or a log event at ERROR;
+    the largest abs(zscore), ties by id."""
     if kind == "metric":
-        found = own.filter((F.col("node_type") == "metric_event") & (F.abs("zscore") > 2))
+        found = nodes.filter((F.col("node_type") == "metric_event") & (F.abs("zscore") > 2))
     else:
-        found = own.filter((F.col("node_type") == "log_event") & (F.col("severity") == "ERROR"))
-    return found.orderBy(F.desc_nulls_last(F.abs("zscore")), "id").limit(1)
+        found = nodes.filter((F.col("node_type") == "log_event") & (F.col("severity") == "ERROR"))
+    rest = [c for c in nodes.columns if c != "service"]
+    largest = F.struct((-F.coalesce(F.round(F.abs("zscore"), 9), F.lit(-1.0))).alias("z"), "id")
+    return found.groupBy("service").agg(F.min_by(F.struct(*rest), largest).alias("x")).select("service", "x.*").select(*nodes.columns)
+
+
+def seed_event(nodes: DataFrame, service: str, kind: str = "metric") -> DataFrame:
+    """The event of one service to start from."""
+    return seed_events(nodes.filter(F.col("service") == service), kind)
+
+
+def is_root_cause(node_type: str = "node_type", zscore: str = "zscore") -> Column:
+    """A service, or a metric event with abs(zscore) > 2."""
+    return (F.col(node_type) == "service") | ((F.col(node_type) == "metric_event") & F.coalesce(F.abs(F.col(zscore)) > 2, F.lit(False)))
 
 
 def first_events(nodes: DataFrame) -> DataFrame:

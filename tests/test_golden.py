@@ -51,7 +51,33 @@ def test_walks_keep_the_rules(spark, incident):
         assert all(p in edges for p in zip(r.path, r.path[1:])) and len(set(r.path)) == len(r.path)
         times = [T[v] for v in r.path if v in T]
         assert times == sorted(times)
-    assert {r.path[1] for r in a} == {CPU, MEM, LOG, "svc:database"}
+    # The database has the time of its minute, which isn't later than the start's.
+    assert {r.path[1] for r in a} == {CPU, MEM, LOG}
+
+
+def test_walks_agree_over_partitions(spark, incident):
+    typed = rca.with_types(*incident)
+    starts = spark.createDataFrame([("svc:payment",), (CPU,)], "id string")
+    runs = [sorted(map(str, walks.random_walks(typed.repartition(n), starts.repartition(n), n_walks=100, rate=0.0).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 2
+
+
+def test_walks_follow_a_type_sequence(spark, incident):
+    typed = rca.with_types(*incident)
+    starts = spark.createDataFrame([("svc:payment",)], "id string")
+    kinds = ("service", "metric_event", "log_event")
+    got = {tuple(r.path) for r in walks.random_walks(typed, starts, n_walks=300, rate=0.0, types=kinds).collect()}
+    assert got == {("svc:payment", CPU), ("svc:payment", MEM, LOG)}
+    assert walks.random_walks(typed, starts, n_walks=20, types=("log_event",)).count() == 0
+
+
+def test_parallel_edges_add_their_weights(spark):
+    rows = [("a", "b", "calls", 0.0, 1.0, "x", "x")] * 3 + [("a", "c", "calls", 0.0, 1.0, "x", "x"), ("a", "d", "precedes", 0.0, 1.0, "x", "x")]
+    edges = spark.createDataFrame(rows, "src string, dst string, edge_type string, src_ts double, dst_ts double, src_type string, dst_type string").withColumn("weight", F.lit(1.0))
+    starts = spark.range(3000).select(F.concat(F.lit("a"), F.col("id")).alias("id"))
+    many = edges.crossJoin(starts).withColumn("src", F.col("id")).drop("id")
+    counts = {r.to: r["count"] / 3000 for r in walks.random_walks(many, starts, n_walks=1, max_len=2).groupBy(F.get("path", F.lit(1)).alias("to")).count().collect()}
+    assert abs(counts["b"] - 1.8 / 3.4) < 0.04 and abs(counts["c"] - 0.6 / 3.4) < 0.04 and abs(counts["d"] - 1.0 / 3.4) < 0.04
 
 
 def test_choice_follows_weights(spark):
@@ -59,7 +85,7 @@ def test_choice_follows_weights(spark):
     starts = spark.createDataFrame([("a",)], "id string")
     counts = {}
     for seed in range(4):
-        picked = walks.random_walks(edges, starts, n_walks=1, max_len=2, seed=seed)
+        picked = walks.random_walks(edges, starts, n_walks=1, max_len=2, seed=seed, monotonic=False)
         for r in picked.collect():
             counts[r.path[1]] = counts.get(r.path[1], 0) + 1
     u = spark.range(20_000).select(*[(F.log(F.lit(w)) - F.log(-F.log(walks._uniform(F.col("id"), F.lit(k))))).alias(k) for k, w in (("b", 3.0), ("c", 1.0))])
@@ -86,6 +112,28 @@ def test_loop_finds_payment(spark, incident):
     nodes, edges = incident
     found = rca.find_root_cause(nodes.withColumn("event_ts", F.col("event_ts").cast("long")), edges, M, CPU, rounds=2, n_walks=20, n_biased=20).first()
     assert (found.service, found.reason) == ("payment", "metric_anomaly") and found.confidence > 0.14
+    assert found.evidence_paths == [[CPU, MEM, LOG]] and found.rules_used == ["metric_event>precedes>log_event", "metric_event>precedes>metric_event"]
+    none = rca.find_root_cause(nodes.limit(0), edges.limit(0), M, CPU, rounds=2, n_walks=5, n_biased=5).first()
+    assert (none.service, none.reason, none.confidence, none.evidence_paths) == ("unknown", "no_evidence", 0.0, [])
+
+
+def test_sampled_cyclic_walks(spark):
+    facts = [(1, 0, 2, 10), (2, 1, 1, 9), (2, 1, 1, 2), (2, 2, 3, 5), (3, 1, 1, 4), (2, 4, 1, 10), (3, 1, 1, 7)]  # 4 is the inverse of 0 for four relations
+    q = spark.createDataFrame(facts, "s int, r int, o int, t int")
+    every = {str((r.entities, r.relations, r.times)) for r in walks.cyclic_walks(q, 4, 2, 10**6).collect()}
+    drawn = walks.sample_cyclic_walks(q, 4, 2, n_walks=200)
+    rows = drawn.collect()
+    assert {str((r.entities, r.relations, r.times)) for r in rows} <= every
+    assert sorted(map(str, rows)) == sorted(map(str, walks.sample_cyclic_walks(q.repartition(5), 4, 2, n_walks=200).collect()))
+    one = walks.sample_cyclic_walks(q, 4, 1, n_walks=4000).filter("r = 0").groupBy(F.get("times", F.lit(1)).alias("t")).count().collect()
+    share = {r.t: r["count"] / 4000 for r in one}
+    assert set(share) <= {9, 2} and share[9] > 0.99  # exp(-1) against exp(-8)
+    flat = walks.sample_cyclic_walks(q, 4, 1, n_walks=4000, transition="unif").filter("r = 0").groupBy(F.get("times", F.lit(1)).alias("t")).count().collect()
+    assert all(abs(r["count"] / 4000 - 0.5) < 0.04 for r in flat) and len(flat) == 2
+    far = spark.createDataFrame([(1, 0, 2, 10_000), (2, 1, 1, 9), (2, 1, 1, 2)], "s int, r int, o int, t int")
+    assert walks.sample_cyclic_walks(far, 4, 1, n_walks=400).filter("r = 0").select("times").distinct().count() == 2
+    relaxed = {str((r.entities, r.relations, r.times)) for r in walks.cyclic_walks(q, 4, 2, 10**6, relaxed=True).collect()}
+    assert every < relaxed and "([1, 2, 3, 1], [0, 2, 1], [10, 5, 7])" in relaxed
 
 
 def test_window_index_and_validation(incident):

@@ -2,29 +2,35 @@
 
 A window is ``window`` consecutive words of one document; a word is removed if a window that covers it
 starts earlier too (smaller id, or the same document and an earlier start). In the suffix tree of the
-corpus those windows are the leaves below an internal node of depth >= window, all but the first leaf,
-and the node's path is the repeat. The tree is never held whole:
-
-1. Partitioning. A suffix's prefix ends with the anchor of its window, the k-gram with the smallest hash
-   in it (the last of equal ones), so it has between k and ``window`` words, and equal windows have equal
-   prefixes and anchors. Suffixes of a document that share an anchor are neighbours and form a block;
-   blocks go to the group of their anchor. Groups are as small as the text between anchors is distinct.
-2. Subtrees. A task builds the part of each group that its batch of texts has: sorted blocks are the
-   leaves in order, and blocks with equal words are one deep node. Later leaves of a node are decided on
-   the spot; only its first one leaves the task, so a passage that very many documents share is a
-   few rows for each batch before anything is shuffled. Groups are then merged by their anchor: again,
-   later blocks of equal words are decided. Anchors of one block hang on no deep node and are pruned.
-3. Inner nodes. What is left are groups with different blocks (the ends of shared passages, and near
-   copies). Their windows are looked up in the texts, and nodes at depth ``window`` are formed in the same
-   two steps: in the batch, then by the window's path over all tasks.
+corpus, suffixes with equal windows are the leaves below one inner node of depth >= window; all leaves
+but the first of such a node are repeats. The tree is never held whole, and most suffixes never become
+rows, since paths without a branch are merged first:
+
+1. Runs. Neighbouring suffixes whose windows share an anchor (the ``gram`` words with the smallest hash
+   in the window, the last of equal ones) form a run, some eight suffixes; equal windows have equal
+   anchors. Runs whose anchor occurs once hang on no inner node and are pruned, by hashes of the anchor
+   alone. A hash that two anchors share can only keep a run that pruning would have dropped.
+2. Equal runs. The words of the other runs are sorted; equal runs are one path with several leaves, all
+   later of which are decided. Runs whose anchor has one text only are done.
+3. Subtrees. What is left are runs that branch: the ends of shared passages, and near copies. Their
+   suffixes, each with its ``window`` words, are grouped by prefixes of variable length: suffixes are
+   counted by their first word, and only prefixes of more than ``GROUP`` suffixes are lengthened (see
+   ``PREFIXES``), at most to the whole window. A task sorts each group by words and reads it in order:
+   the common prefix of neighbours is the depth of the inner node above both, and a node of depth >=
+   window has more than one leaf. Sorting is Spark's, which spills; one batch is in Python at a time.
 4. All leaves but the first of their node become ranges of words to remove.
 
-Paths are compared by 64-bit hashes of anchor and block (128 bits), or of the window by two hashes.
+Steps 2 and 3 compare words, never hashes of them. Hashes (64 bits) choose anchors, prune runs, tell
+an anchor with several texts from one with one, and deal rows to tasks.
+
+Scale: equal runs and equal suffixes are merged in each batch before they move, and an anchor sends at
+most two rows a task to its pruning, so a passage that a third of all documents share is a few rows a
+batch. A text of any length is read in pieces of ``PIECE_WORDS`` words that overlap by a window.
 
 Defined results: a null or empty text has no words and loses none; the digest of no words is that of
-the empty string; rows with equal ids are ordered by a hash of their text, and of equal rows the second
-and later lose all words if they have a window; a null id comes before others; an empty table gives an
-empty result; texts of any length are read whole; other columns are ignored.
+the empty string; rows with equal ids are ordered by a hash (64 bits) of their text; of rows equal in
+both, the second and later lose all words if they have a window; a null id counts as the smallest value
+of its type; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,18 +40,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultloom.llm._common import written
 
 WINDOW = 20
 GRAM = 5
-BATCH_BYTES = 1 << 21  # of text whose suffixes are in work at once
+BATCH_BYTES = 1 << 22  # of text whose runs are merged at once
+PIECE_WORDS = 1 << 18  # of a long text in work at once
+BATCH_SUFFIXES = 1 << 17  # suffixes merged at once
+MOST_SEEN = 1_000_000  # anchors that a task remembers; others only send more rows
+#: Words of the prefixes that suffixes are grouped by, and the size of a group beyond which its prefix is lengthened.
+PREFIXES = (1, 2, 4, 8)
+GROUP = 1 << 16
+
+PROBE, REPEATED, BRANCHING, LATER = range(4)
 
-_IS_GAP = np.zeros(256, bool)
-_IS_GAP[[0x20, *range(0x09, 0x0E)]] = True
-_BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
+_GAPS = bytes([0x20, *range(0x09, 0x0E)])
+_TO_SPACE = bytes.maketrans(_GAPS, b" " * len(_GAPS))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_GRAM_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_MASK = (1 << 64) - 1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,64 +76,70 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))))
 
 
-_INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
-
-
-class Words:
-    """The words of texts laid end to end: bounds, hashes and owners."""
-
-    def __init__(self, texts: list[bytes]):
-        joined = b"\n".join(texts) + b"\n"
-        self.data = np.frombuffer(joined, np.uint8)
-        gap = _IS_GAP[self.data]
-        edge = np.diff(np.concatenate(([True], gap)).astype(np.int8))
-        self.begins = np.flatnonzero(edge == -1)
-        self.ends = np.flatnonzero(edge[1:] == 1) + 1 if len(edge) else self.begins
-        text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        self.owner = np.searchsorted(text_ends, self.begins, side="right")
-        self.first = np.searchsorted(self.owner, np.arange(len(texts)))  # first word of each text
-        self.count = np.diff(np.append(self.first, len(self.owner)))
-        self.hashes = [self._hash(k) for k in range(2)]
-
-    def _hash(self, k: int) -> np.ndarray:
-        """A hash of each word from running sums of bytes times powers of an odd base."""
-        up, down = _powers(_BASES[k], len(self.data)), _powers(_INVERSE[k], len(self.data))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1])))
-        raw = (sums[self.ends] - sums[self.begins]) * down[self.begins]
-        return _mix(raw + (self.ends - self.begins).astype(np.uint64))
-
-    def grams(self, k: int, size: int) -> np.ndarray:
-        """Hash of the words i .. i + size - 1 for every i where there are so many, over text borders."""
-        h, base = self.hashes[k], _BASES[1 - k]
-        out = np.zeros(max(0, len(h) - size + 1), np.uint64)
-        for j in range(size):
-            out = out * base + h[j : len(h) - size + 1 + j]
-        return _mix(out)
-
-    def spans(self, k: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the words begin .. end - 1, of any lengths."""
-        h, base, back = self.hashes[k], _BASES[1 - k], _INVERSE[1 - k]
-        up, down = _powers(base, len(h)), _powers(back, len(h))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:-1])))
-        return _mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-
-
-def suffixes(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows, and where the anchor of each begins (the last of equal smallest hashes)."""
-    start = np.arange(max(0, len(w.owner) - window + 1))
-    start = start[w.owner[start] == w.owner[start + window - 1]] if len(start) else start
-    if not len(start):
-        return start, start
-    g = w.grams(0, gram)
-    best, at = g[start + window - gram], start + window - gram
+def plain(text: bytes) -> bytes:
+    """The words of a text with one space between them."""
+    text = text.translate(_TO_SPACE).strip(b" ")
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words of a plain text."""
+    if not text:
+        none = np.zeros(0, np.int64)
+        return none, none
+    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
+    return np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(text)]))
+
+
+def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """For the window at each word, the word where its anchor begins. The hash of a word comes from running
+    sums of bytes times powers of an odd base, that of a gram from the hashes of its words."""
+    n = len(begins) - window + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    up, down = _powers(_BASE, len(data)), _powers(_INVERSE, len(data))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])))
+    h = _mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+    g = np.zeros(len(h) - gram + 1, np.uint64)
+    for j in range(gram):
+        g = g * _GRAM_BASE + h[j : len(h) - gram + 1 + j]
+    g = _mix(g)
+    start = np.arange(n)
+    best, at = g[window - gram : window - gram + n], start + window - gram
     for j in range(window - gram - 1, -1, -1):
-        less = g[start + j] < best
-        best, at = np.where(less, g[start + j], best), np.where(less, start + j, at)
-    return start, at
-
-
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+        less = g[j : j + n] < best
+        best, at = np.where(less, g[j : j + n], best), np.where(less, start + j, at)
+    return at
+
+
+def runs(text: bytes, window: int, gram: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(low, high, anchor, words) of the runs of a plain text, in order."""
+    begins, ends = word_bounds(text)
+    data = np.frombuffer(text, np.uint8)
+    for first in range(0, max(0, len(begins) - window + 1), PIECE_WORDS):
+        b, e = begins[first : first + PIECE_WORDS + window - 1], ends[first : first + PIECE_WORDS + window - 1]
+        at = anchors(data[b[0] : e[-1]], b - b[0], e - b[0], window, gram)
+        if not len(at):
+            continue
+        low = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        high = np.append(low[1:], len(at)) - 1 + window
+        spans = (low + first, high + first, b[at[low]], e[at[low] + gram - 1], b[low], e[high - 1])
+        for x, y, a, z, begin, end in zip(*(s.tolist() for s in spans), strict=True):
+            yield x, y, text[a:z], text[begin:end]
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """How many leading words two plain texts share: the depth of the inner node above both."""
+    if a == b:
+        return a.count(b" ") + 1
+    depth = 0
+    for x, y in zip(a.split(b" "), b.split(b" "), strict=False):
+        if x != y:
+            break
+        depth += 1
+    return depth
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -134,135 +158,253 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _ranks(ids: list, rows: list) -> np.ndarray:
-    """The order of documents by (id, row); equal ones share a rank."""
-    keys = list(zip(ids, rows, strict=True))
-    rank = {k: n for n, k in enumerate(sorted(set(keys)))}
-    return np.fromiter((rank[k] for k in keys), np.int64, len(keys))
+def _signed(h: list[int]) -> pa.Array:
+    return pa.array(np.array(h, np.uint64).view(np.int64))
 
 
-def _later(a: np.ndarray, b: np.ndarray, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """True for leaves that aren't the first of their node (a, b); equal leaves of equal rows are both first."""
-    order = np.lexsort((place, rank, b, a))
-    a, b, rank, place = a[order], b[order], rank[order], place[order]
-    fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
-    out = np.empty(len(a), bool)
-    out[order] = (rank != rank[first]) | (place != place[first])
-    return out
+def _spread(*keys: int) -> int:
+    """A hash that deals rows to tasks."""
+    return xxhash.xxh64_intdigest(repr(keys))
+
+
+def _in_order(batch: pa.RecordBatch, x: int, y: int) -> list[int]:
+    """Rows x .. y - 1 in the order of documents (id, row)."""
+    ids, row = batch.column(0).slice(x, y - x).to_pylist(), batch.column(1).slice(x, y - x).to_pylist()
+    return [x + k for k in sorted(range(y - x), key=lambda k: (ids[k], row[k]))]
 
 
 def _seated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, id, row, text): id is doc_id without nulls (they come first), row tells texts with equal ids apart."""
+    """(doc_id, id, row, text): id is doc_id without nulls, row tells texts with equal ids apart."""
     kind = dict(docs.dtypes)[id_col]
     lowest = F.lit("") if kind == "string" else F.lit(-(2**63) if kind == "bigint" else -(2**31)).cast(kind)
     doc_id, text = F.col(id_col), F.col(text_col)
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, lowest).alias("id"), F.hash(text).alias("row"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, lowest).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def _blocks(kind: str, window: int, gram: int):
-    schema = f"id {kind}, row int, low int, high int, h long, r long, decided boolean"
+def _anchored(kind: str, window: int, gram: int):
+    """Step 1, map side: runs by the hash of their anchor. Runs that need no pruning go under a hash of their own."""
+    schema = f"id {kind}, row long, low int, high int, h long, r long, state int"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int | None] = {}  # anchor -> its only text so far, None for several
         for batch in rows:
             texts = _texts(batch.column(2))
-            ids, row = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for x, y in _parts(texts):
-                w = Words(texts[x:y])
-                start, at = suffixes(w, window, gram)
-                if not len(start):
-                    continue
-                new = np.concatenate(([True], at[1:] != at[:-1]))
-                low = start[new]
-                high = start[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)] + window
-                anchor = at[new]
-                h, r = w.grams(0, gram)[anchor], w.spans(1, low, high)
-                owner = w.owner[low]
-                first = w.first[owner]
-                later = _later(h, r, _ranks(ids[x:y], row[x:y])[owner], low - first)
-                # A decided block takes no part in its group: it travels under a hash of its own.
-                own = _mix(r + _mix(np.arange(len(r)).astype(np.uint64) + h[0]))
-                place = pa.array(owner + x)
+                found: dict[bytes, tuple[int, int]] = {}
+                place, lows, highs, hs, rs, states = [], [], [], [], [], []
+                for k in _in_order(batch, x, y):
+                    key = (batch.column(0)[k], batch.column(1)[k])
+                    for low, high, anchor, words in runs(plain(texts[k]), window, gram):
+                        first = found.setdefault(words, (k, low))
+                        h, r = xxhash.xxh64_intdigest(anchor), xxhash.xxh64_intdigest(words)
+                        if first != (k, low):
+                            if first[1] == low and (batch.column(0)[first[0]], batch.column(1)[first[0]]) == key:
+                                continue  # a repeated row: the same leaf
+                            state = LATER
+                        elif h not in seen:
+                            state = PROBE
+                            if len(seen) < MOST_SEEN:
+                                seen[h] = r
+                        elif (only := seen[h]) is None:
+                            state = BRANCHING
+                        elif only == r:
+                            state = REPEATED
+                        else:
+                            state, seen[h] = PROBE, None
+                        place.append(k)
+                        lows.append(low)
+                        highs.append(high)
+                        hs.append(h if state == PROBE else _spread(h, r, k, low))
+                        rs.append(r)
+                        states.append(state)
+                at = pa.array(place, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(place), batch.column(1).take(place), pa.array((low - first).astype(np.int32)),
-                     pa.array((high - first).astype(np.int32)), _signed(np.where(later, own, h)), _signed(r), pa.array(later)],
-                    ["id", "row", "low", "high", "h", "r", "decided"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()),
+                     _signed(hs), _signed(rs), pa.array(states, pa.int32())],
+                    ["id", "row", "low", "high", "h", "r", "state"],
                 )
 
     return run, schema
 
 
-def _windows(kind: str, window: int):
-    schema = f"id {kind}, row int, low int, a long, b long, decided boolean"
+def _worded(kind: str):
+    """Step 2, map side: the words of the runs that a text has to compare; later equal runs of a batch lose them."""
+    schema = f"id {kind}, row long, low int, high int, branching boolean, words binary, h long"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = _texts(batch.column(2))
-            ids, row = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            todo = batch.column(3).to_pylist()
+            texts, todo = _texts(batch.column(2)), batch.column(3)
             for x, y in _parts(texts):
-                w = Words(texts[x:y])
-                at = [np.arange(t["low"], t["high"] - window + 1) + w.first[k] for k in range(y - x) for t in todo[x + k]]
-                if not at:
-                    continue
-                at = np.concatenate(at)
-                a, b = w.spans(0, at, at + window), w.spans(1, at, at + window)
-                owner = w.owner[at]
-                low = at - w.first[owner]
-                later = _later(a, b, _ranks(ids[x:y], row[x:y])[owner], low)
-                own = _mix(b + _mix(np.arange(len(b)).astype(np.uint64) + a[0]))
-                place = pa.array(owner + x)
+                found: dict[bytes, tuple[int, int]] = {}
+                place, lows, highs, branching, shown, hs = [], [], [], [], [], []
+                for k in _in_order(batch, x, y):
+                    text = plain(texts[k])
+                    begins, ends = word_bounds(text)
+                    for t in todo[k].as_py():
+                        low, high = t["low"], t["high"]
+                        words = text[begins[low] : ends[high - 1]]
+                        first = found.get(words)
+                        if first is None or t["branching"]:
+                            # A run that branches is known by any of its copies, so those go on too.
+                            found.setdefault(words, (k, low))
+                            h = xxhash.xxh64_intdigest(words)
+                        else:
+                            words, h = None, _spread(k, low, int(begins[low]))
+                        place.append(k)
+                        lows.append(low)
+                        highs.append(high)
+                        branching.append(t["branching"])
+                        shown.append(words)
+                        hs.append(h)
+                at = pa.array(place, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(place), batch.column(1).take(place), pa.array(low.astype(np.int32)),
-                     _signed(np.where(later, own, a)), _signed(b), pa.array(later)],
-                    ["id", "row", "low", "a", "b", "decided"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()),
+                     pa.array(branching, pa.bool_()), pa.array(shown, pa.binary()), _signed(hs)],
+                    ["id", "row", "low", "high", "branching", "words", "h"],
                 )
 
     return run, schema
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, row, low, high): ranges of words that repeat earlier ones; ranges may overlap."""
-    base = _seated(docs, id_col, text_col).drop("doc_id")
-    kind = dict(base.dtypes)["id"]
-    run, schema = _blocks(kind, window, gram)
-    blocks = base.mapInArrow(run, schema).repartition("h")
-    leaf = F.struct("id", "row", "low")
-    node, group = Window.partitionBy("h", "r"), Window.partitionBy("h")
-    blocks = blocks.withColumn("later", F.col("decided") | (leaf > F.min(leaf).over(node)))
-    blocks = blocks.withColumn("several", ~F.col("later") & (F.min("r").over(group) != F.max("r").over(group)))
-    blocks = written(blocks.filter("later or several").select("id", "row", "low", "high", "later"), "blocks")
-
-    todo = blocks.filter("not later").groupBy("id", "row").agg(F.collect_set(F.struct("low", "high")).alias("todo"))
-    run, schema = _windows(kind, window)
-    windows = base.join(todo, ["id", "row"]).select("id", "row", "text", "todo").mapInArrow(run, schema)
-    same = Window.partitionBy("a", "b")
-    windows = windows.withColumn("later", F.col("decided") | (leaf > F.min(leaf).over(same))).filter("later")
-    windows = windows.select("id", "row", "low", (F.col("low") + window).alias("high"))
-    return blocks.filter("later").select("id", "row", "low", "high").unionByName(windows)
+def _leaves(kind: str, window: int):
+    """Step 2, reduce side, and step 3, map side: runs come sorted by words; of equal ones the first stays,
+    and if it branches, its suffixes go on, equal ones of a batch merged."""
+    schema = f"id {kind}, row long, low int, high int, suffix binary"
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], [], []]
+        best: dict[bytes, tuple] = {}
+        last = last_leaf = None
+        branches = False
+
+        def put(leaf: tuple, high: int, suffix: bytes | None) -> None:
+            for column, value in zip(out, (*leaf, high, suffix), strict=True):
+                column.append(value)
+
+        def opened(words: bytes, leaf: tuple) -> None:
+            begins, ends = word_bounds(words)
+            spans = zip(begins[: len(begins) - window + 1].tolist(), ends[window - 1 :].tolist(), strict=True)
+            for j, (a, z) in enumerate(spans):
+                suffix, here = words[a:z], (leaf[0], leaf[1], leaf[2] + j)
+                first = best.setdefault(suffix, here)
+                if first == here:
+                    continue
+                if here < first:
+                    best[suffix], here = here, first
+                put(here, here[2] + window, None)
+
+        def flushed() -> pa.RecordBatch:
+            for suffix, leaf in best.items():
+                put(leaf, leaf[2] + window, suffix)
+            types = (rows_schema[0], pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["id", "row", "low", "high", "suffix"])
+            best.clear()
+            for c in out:
+                c.clear()
+            return made
+
+        rows_schema: list[pa.DataType] = []
+        for batch in rows:
+            rows_schema = [batch.column(0).type]
+            columns = [c.to_pylist() for c in batch.columns[:6]]
+            for i, row, low, high, branching, words in zip(*columns, strict=True):
+                leaf = (i, row, low)
+                if words is None:
+                    put(leaf, high, None)
+                    continue
+                if words != last:
+                    if last is not None and branches:
+                        opened(last, last_leaf)
+                    last, last_leaf, branches = words, leaf, branching
+                else:
+                    branches |= branching
+                    if leaf != last_leaf:
+                        put(leaf, high, None)
+                if len(best) + len(out[0]) >= BATCH_SUFFIXES:
+                    yield flushed()
+        if last is not None and branches:
+            opened(last, last_leaf)
+        if rows_schema and (best or out[0]):
+            yield flushed()
+
+    return run, schema
 
-def _keep(window: int, kind: str):
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
+
+def _nodes(kind: str, window: int):
+    """Step 3, reduce side: suffixes of whole groups in the order of their words. All leaves but the first of
+    an inner node of depth >= window come out."""
+    schema = f"id {kind}, row long, low int, high int"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = last_leaf = None
         for batch in rows:
-            n, removed, digest = [], [], []
-            for text, ranges, again in zip(_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = text.split()  # bytes: parts at the six gap bytes and nothing else
-                n.append(len(words))
-                if again and len(words) >= window:
-                    ranges = [{"low": 0, "high": len(words)}]
-                for r in reversed(_merged(ranges or [])):
-                    del words[r[0] : r[1]]
-                removed.append(n[-1] - len(words))
-                digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            made = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            later = []
+            columns = [c.to_pylist() for c in batch.columns[:4]]
+            for k, (i, row, low, suffix) in enumerate(zip(*columns, strict=True)):
+                leaf = (i, row, low)
+                if last is not None and common_words(last, suffix) >= window:
+                    if leaf != last_leaf:  # else a repeated row
+                        later.append(k)
+                else:
+                    last, last_leaf = suffix, leaf
+            at = pa.array(later, pa.int64())
+            low = batch.column(2).take(at)
+            high = pa.array(low.to_numpy() + np.int32(window), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), low, high], ["id", "row", "low", "high"])
 
     return run, schema
 
 
+def _prefix(words: int) -> Column:
+    return F.xxhash64(F.lit(words), F.substring_index(F.col("suffix").cast("string"), " ", words))
+
+
+def grouped(suffixes: DataFrame, group: int = GROUP, lengths: tuple[int, ...] = PREFIXES) -> DataFrame:
+    """The suffixes with ``prefix``, the hash of the shortest prefix (of ``lengths`` words) that at most
+    ``group`` suffixes have, or else of the whole suffix. Of each length only the prefixes above the bound
+    are kept, one for each ``group`` suffixes at most, and only suffixes below these are counted further."""
+    prefix = F.xxhash64(F.lit(0), F.col("suffix"))
+    under, every = suffixes, suffixes
+    conditions = []
+    for n in lengths:
+        heavy = written(under.groupBy(_prefix(n).alias(f"p{n}")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select(f"p{n}"), "prefixes")
+        none = heavy.isEmpty()
+        conditions.append((n, none))
+        if none:
+            break
+        marked = heavy.withColumn(f"heavy{n}", F.lit(True))
+        every = every.withColumn(f"p{n}", _prefix(n)).join(marked, f"p{n}", "left")
+        under = under.withColumn(f"p{n}", _prefix(n)).join(heavy, f"p{n}", "left_semi")
+    for n, none in reversed(conditions):
+        prefix = _prefix(n) if none else F.when(F.col(f"heavy{n}").isNull(), F.col(f"p{n}")).otherwise(prefix)
+    return every.select(*suffixes.columns, prefix.alias("prefix"))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """(id, row, low, high): ranges of words that repeat earlier ones; ranges may overlap."""
+    base = _seated(docs, id_col, text_col).drop("doc_id")
+    kind = dict(base.dtypes)["id"]
+    ranged = ("id", "row", "low", "high")
+
+    found = base.mapInArrow(*_anchored(kind, window, gram))
+    anchor = Window.partitionBy("h")  # at most two rows a task
+    found = found.withColumn("n", F.count(F.lit(1)).over(anchor)).withColumn("several", F.min("r").over(anchor) != F.max("r").over(anchor))
+    found = found.filter((F.col("state") != PROBE) | (F.col("n") > 1))
+    branching = (F.col("state") == BRANCHING) | ((F.col("state") == PROBE) & F.col("several"))
+    found = written(found.select(*ranged, branching.alias("branching"), (F.col("state") == LATER).alias("later")), "runs")
+
+    todo = found.filter("not later").groupBy("id", "row").agg(F.collect_set(F.struct("low", "high", "branching")).alias("todo"))
+    words = base.join(todo, ["id", "row"]).select("id", "row", "text", "todo").mapInArrow(*_worded(kind))
+    words = words.repartition("h").sortWithinPartitions("words", "id", "row", "low")
+    leaves = written(words.select("id", "row", "low", "high", "branching", "words").mapInArrow(*_leaves(kind, window)), "leaves")
+
+    suffixes = grouped(leaves.filter("suffix is not null").select("id", "row", "low", "suffix"), group)
+    suffixes = suffixes.repartition("prefix").sortWithinPartitions("prefix", "suffix", "id", "row", "low")
+    nodes = suffixes.select("id", "row", "low", "suffix").mapInArrow(*_nodes(kind, window))
+    decided = found.filter("later").select(*ranged).unionByName(leaves.filter("suffix is null").select(*ranged))
+    return decided.unionByName(nodes)
+
+
 def _merged(ranges: list[dict]) -> list[list[int]]:
     out: list[list[int]] = []
     for r in sorted(ranges, key=lambda r: r["low"]):
@@ -273,12 +415,56 @@ def _merged(ranges: list[dict]) -> list[list[int]]:
     return out
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each document."""
+def _keep(window: int, kind: str):
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            place, n, removed, digest, shown = [], [], [], [], []
+            columns = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for k, (text, ranges, again, with_text) in enumerate(zip(_texts(batch.column(1)), *columns, strict=True)):
+                words = text.split()  # bytes: parts at the six gap bytes and nothing else
+                count, size = len(words), len(words) >= window
+                for r in reversed(_merged(ranges or [])):
+                    del words[r[0] : r[1]]
+                kept = b" ".join(words)
+                place.append(k)
+                n.append(count)
+                removed.append(count - len(words))
+                digest.append(hashlib.sha256(kept).hexdigest())
+                shown.append(kept if with_text else None)
+                if again and size:
+                    removed[-1], digest[-1] = count, hashlib.sha256(b"").hexdigest()
+                    shown[-1] = b"" if with_text else None
+            made = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(shown, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), *made], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return run, schema
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, with_text: bool) -> DataFrame:
     ranges = repeats(docs, id_col, text_col, window, gram).groupBy("id", "row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     ranges = written(ranges, "ranges")
     base = _seated(docs, id_col, text_col)
-    again = F.row_number().over(Window.partitionBy("id", "row").orderBy("id")) > 1
-    joined = base.join(ranges, ["id", "row"], "left").withColumn("again", again)
-    run, schema = _keep(window, dict(docs.dtypes)[id_col])
-    return joined.select("doc_id", "text", "ranges", "again").mapInArrow(run, schema)
+    # Rows equal in id and text are one row here, with their number; others don't move for this.
+    equal = base.groupBy("id", "row").agg(F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    equal = written(equal, "equal")
+    if equal.isEmpty():
+        rows = base.withColumn("again", F.lit(False))
+    else:
+        single = base.join(equal, ["id", "row"], "left_anti").withColumn("again", F.lit(False))
+        several = base.join(equal, ["id", "row"]).dropDuplicates(["id", "row"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        named = F.when(F.col("k") >= F.col("nulls"), F.col("id")).alias("doc_id")
+        rows = single.unionByName(several.select(named, "id", "row", "text", (F.col("k") > 0).alias("again")))
+    joined = rows.join(ranges, ["id", "row"], "left").withColumn("with_text", F.lit(with_text))
+    return joined.select("doc_id", "text", "ranges", "again", "with_text").mapInArrow(*_keep(window, dict(docs.dtypes)[id_col]))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each document."""
+    return _judged(docs, id_col, text_col, window, gram, False).drop("kept")
+
+
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept): with the words that are left, one space between them."""
+    return _judged(docs, id_col, text_col, window, gram, True)

@@ -150,6 +150,42 @@ def test_substring_dedup_odd_rows(spark):
     assert substring_dedup.deduplicate(named).count() == len(rows)
 
 
+def test_substring_dedup_compares_words(spark, monkeypatch):
+    a = "a"
+    for _ in range(11):  # a Thue-Morse word and its complement: equal under polynomial hashes with odd bases
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    rng = __import__("random").Random(4)
+    common = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{common} {a}"), (2, f"{common} {b}"), (3, f"{common} {b}"), (4, "x " * 20_000), (5, "x " * 100_000 + sentence(rng, 30))]
+    monkeypatch.setattr(substring_dedup, "PIECE_WORDS", 1000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert counted(substring_dedup.deduplicate(docs).collect()) == counted(brute_dedup(rows, 20))
+
+
+def test_substring_dedup_many_null_ids(spark):
+    n = 100_000
+    docs = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("same"), 19), F.col("id").cast("string"), F.lit("end")).alias("text"))
+    got = substring_dedup.deduplicate(docs).groupBy("n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in got] == [(21, 0, n)]
+
+
+def test_suffix_groups_and_nodes(spark):
+    suffixes = spark.createDataFrame([(k, f"a b {'c' if k < 60 else k} d{k}".encode()) for k in range(100)] + [(200, b"z y x w")], "id long, suffix binary")
+    got = {r.id: r.prefix for r in substring_dedup.grouped(suffixes, group=50, lengths=(1, 2, 3)).collect()}
+    assert len({got[k] for k in range(60)}) == 60  # three words don't part them
+    assert len({got[k] for k in range(60, 100)}) == 40  # two words are heavy, three are not
+    assert got[200] == suffixes.filter("id = 200").select(substring_dedup._prefix(1)).first()[0]
+    assert [substring_dedup.common_words(x, y) for x, y in ((b"a b", b"a b"), (b"a b", b"a bc"), (b"a", b"b"), (b"a", b"a b"))] == [2, 1, 0, 1]
+
+
+def test_kept_texts(spark):
+    rng = __import__("random").Random(6)
+    text = sentence(rng, 30)
+    got = {r.doc_id: r for r in substring_dedup.kept_texts(spark.createDataFrame([(1, text), (2, f"new {text} tail")], "doc_id long, text string")).collect()}
+    assert got[1].kept == text and got[2].kept == "new tail"
+
+
 # op4
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of the corpus operators: a run of anything but space, tab, LF, VT, FF, CR.
@@ -29,13 +30,15 @@ def words(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a folder of this machine.
+    Only a local session may name none; then it is a folder of this machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context_dir.get() if context_dir.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "faultloom-shared")
     return found
 
@@ -49,6 +52,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """The rows with their place from 0 in an order, as a table: ranges of the order are numbered apart and
+    offset by the sizes of those before, so no task holds all rows."""
+    ranges = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    placed = ranges.join(sizes.select("_part", before.alias("_before")), "_part")
+    return placed.withColumn(name, (place + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character unchanged."""
     return F.translate(text, UPPER, LOWER)

@@ -221,6 +221,67 @@ def test_mixing(spark):
     assert mixing.mix(empty_docs(spark)).count() == 0
 
 
+def brute_pareto(rows, targets):
+    """Copies of each (doc_id, source, text), by the definition, one source after the other."""
+    out = Counter()
+    for source in {r[1] for r in rows}:
+        own = [(i, t, len(WORD.findall(t or ""))) for i, s, t in rows if s == source]
+        total = sum(n for *_, n in own)
+        target = targets[source]
+        sure = int(target // total) if total else 0
+        rest = target - sure * total
+        weight = lambda n: 2 ** ((n.bit_length() - 1) // 2)
+        certain, open_ = set(), rest
+        for w in sorted({weight(n) for *_, n in own if n}, reverse=True):
+            if open_ > 0 and w * open_ >= sum(weight(n) * n for *_, n in own if n and weight(n) <= w):
+                certain.add(w)
+                open_ -= sum(n for *_, n in own if n and weight(n) == w)
+            else:
+                break
+        weighed = sum(weight(n) * n for *_, n in own if n and weight(n) not in certain)
+        order = []
+        for i, t, n in own:
+            digest = hashlib.md5((t or "").encode()).hexdigest()
+            u = (int(hashlib.md5(f"mix:{'' if i is None else i}:{digest}".encode()).hexdigest()[:13], 16) + 0.5) / 16.0**13
+            p = weight(n) * open_ / weighed if n and weight(n) not in certain and open_ > 0 else 0
+            if p:
+                order.append(((u / (1 - u)) / (p / (1 - p)), i is not None, i or 0, digest, n, (i, source, t)))
+            elif n:
+                out[(i, source, t), sure + (weight(n) in certain)] += 1
+        upto = 0
+        for *_, n, key in sorted(order):
+            out[key, sure + (upto < open_ and upto + n / 2 <= open_)] += 1
+            upto += n
+    return out
+
+
+def test_mixing_by_definition(spark):
+    rng = __import__("random").Random(8)
+    rows = [(k, rng.choice(["a", "b", "c", None]), sentence(rng, int(2 ** rng.uniform(0, 9)))) for k in range(300)]
+    rows += [(1000 + k, "tiny", "one two") for k in range(3)] + [(None, "a", sentence(rng, 50)) for _ in range(20)] + [(7, "b", "x y z")] * 40 + [(2000, "a", None)]
+    docs = spark.createDataFrame([(i, s, t, "clash") for i, s, t in rows], "doc_id long, source string, text string, copies string")
+    mixed = mixing.mix(docs).collect()
+    targets = {r.source: r.target for r in mixed}
+    texts = {hashlib.md5((t or "").encode()).hexdigest(): t for *_, t in rows}
+    assert Counter(((r.doc_id, r.source, texts[r.row]), r.copies) for r in mixed if r["size"]) == brute_pareto(rows, targets)
+    assert len({r.p for r in mixed if r.source == "b"}) > 3  # unequal probabilities
+    taken = mixing.take(docs)
+    assert taken.columns == ["doc_id", "source", "text", "copies"]
+    assert Counter((r.doc_id, r.source, r.text, r.copies) for r in taken.collect()) == Counter(
+        (r.doc_id, r.source, texts[r.row], r.copies) for r in mixed if r.copies
+    )
+
+
+def test_mixing_slices_are_even(spark):
+    big = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("z").alias("source"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 60 + 1).cast("int"))).alias("text"))
+    small = spark.createDataFrame([(10**6 + k, s, "w") for k, s in enumerate(["a"] * 9 + ["b"] * 2)], "doc_id long, source string, text string")
+    for docs, at_most in ((big.unionByName(small), 1), (big.withColumn("source", F.when(F.col("doc_id") < 2, "a").otherwise("z")), 1)):
+        got = mixing._mixed(docs, "doc_id", "text", "source", (1, 1_000_000), 3, "mix")
+        largest = got.filter("source = 'z'").groupBy("slice").count().agg(F.max("count")).first()[0]
+        assert largest <= 60  # about 10 are expected of 40,000 in 4,096 slices
+        assert got.filter("source = 'a'").select("p").distinct().count() == at_most
+
+
 # op5
 
 

@@ -539,6 +539,53 @@ def test_pii(spark):
     assert pii.pseudonymize(odd_docs(spark)).count() == len(odd_rows())
 
 
+def test_pii_later_mentions(spark):
+    texts = ["Mr. Lopez called. Later Lopez said that Maria Lopez left; LOPEZ's car, lopez, Lopezian.", "Lopez was never introduced here.", "Ms. Anna Kim's friend Anna met Kim's Kim-Lee."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_entities", F.lit("clash"))
+    made = pii.pseudonymize(docs, key="k")
+    assert made.columns == ["doc_id", "text", "n_entities"]
+    rows = {r.doc_id: r for r in made.collect()}
+    name = re.match(r"Mr\. (\w+) called\.", rows[0].text)[1]
+    assert rows[0].text == f"Mr. {name} called. Later {name} said that Maria {name} left; {name.upper()}'s car, lopez, Lopezian." and rows[0].n_entities == 4
+    assert rows[1].text == texts[1] and rows[1].n_entities == 0
+    given, family = re.match(r"Ms\. (\w+) (\w+)'s friend", rows[2].text).groups()
+    assert rows[2].text == f"Ms. {given} {family}'s friend {given} met {family}'s Kim-Lee." and rows[2].n_entities == 3
+
+
+def forms_of(spark, kind, n, canon):
+    return spark.range(n).select(F.lit(kind).alias("kind"), canon.alias("canon"))
+
+
+def test_pii_surrogates_keep_their_format(spark):
+    digits = lambda n: F.lpad((F.col("id") * 7919 + 123).cast("string"), n, "5")
+    formats = {
+        "ip": (F.concat_ws(".", *[(F.pmod(F.col("id") * k, F.lit(250)) + 1).cast("string") for k in (1, 3, 7, 11)]), r"(\d+)\.(\d+)\.(\d+)\.(\d+)"),
+        "card": (digits(16), r"5\d{15}"),
+        "phone": (F.concat(F.lit("49"), digits(10)), r"49\d{10}"),
+        "ssn": (digits(9), r"\d{9}"),
+        "key": (F.concat(F.lit("AKIA"), F.upper(F.substring(F.md5(F.col("id").cast("string")), 1, 16))), r"AKIA[0-9A-Z]{16}"),
+        "iban": (F.concat(F.lit("DE89"), digits(18)), r"DE\d{20}"),
+        "email": (F.concat(F.lit("a"), F.col("id").cast("string"), F.lit("@b.example.com")), r"[a-z]+\d+@mail[0-9a-f]{10}\.example\.org"),
+        "given-f-latin": (F.concat(F.lit("name"), F.col("id").cast("string")), r"[A-Z][a-z]+"),
+        "family-m-cyrillic": (F.concat(F.lit("имя"), F.col("id").cast("string")), r"[А-Я][а-я]+ов"),
+        "secret": (F.concat(F.lit("Ab1_"), digits(8)), r"[A-Z][a-z]\d_\d{8}"),
+    }
+    for draw in (0, 3, 20):
+        every = None
+        for kind, (canon, _) in formats.items():
+            one = forms_of(spark, kind, 30, canon)
+            every = one if every is None else every.unionByName(one)
+        made = every.select("kind", pii.surrogate(F.col("kind"), F.col("canon"), F.lit(draw), "k", F.lit(30)).alias("made")).collect()
+        for r in made:
+            assert re.fullmatch(formats[r.kind][1], r.made), (r.kind, draw, r.made)
+            if r.kind == "ip":
+                assert all(0 < int(x) < 255 for x in r.made.split("."))
+            if r.kind == "card":
+                assert sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(r.made)) % 10 == 0
+            if r.kind == "iban":
+                assert int("".join(str(int(c, 36)) for c in r.made[4:] + r.made[:4])) % 97 == 1
+
+
 def test_pii_collisions_end(spark):
     """100 three-digit forms of one kind: surrogates stay distinct, and none is a form."""
     forms = spark.range(100).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("canon"))
@@ -547,6 +594,21 @@ def test_pii_collisions_end(spark):
     assert len(set(made)) == 100 and not set(made) & {r.canon for r in rows}
 
 
+def test_pii_many_names_stay_names(spark):
+    made = [r.made for r in pii.resolve(forms_of(spark, "given-m-latin", 100_000, F.concat(F.lit("name"), F.col("id").cast("string"))), "k").collect()]
+    assert len(set(made)) == 100_000 and all(re.fullmatch("[A-Z][a-z]{5,30}", m) for m in made)
+
+
+def test_pii_format_used_up(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_DRAWS", 3)
+    with pytest.raises(RuntimeError, match="ssn"):
+        pii.resolve(forms_of(spark, "ssn", 10, F.col("id").cast("string")), "k")  # ten forms of one digit: none is free
+
+
+def test_pii_key_of_the_session(spark):
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 64
+
+
 # op10
 
 

@@ -38,8 +38,8 @@ TILE = 1024
 NEAR = (4, 5)
 #: Parity bits of a set of shingles: LANES x 64, in the wide form as many more (a power of two) as it has shingles.
 LANES = 8
-#: Shingles in HOT_DOCS of one in HOT_SAMPLE documents come last in the order, HOT_MOST at most.
-HOT_SAMPLE, HOT_DOCS, HOT_MOST = 64, 4, 50_000
+#: The order of shingles is by how often their slot of SLOTS was met in one in SAMPLE documents.
+SAMPLE, SLOTS = 64, 1 << 20
 MOST_SEEN = 1_000_000
 HASHES_AT_ONCE = 1 << 16
 
@@ -90,17 +90,17 @@ def wide(hashes: np.ndarray) -> np.ndarray:
     return parities(hashes, lanes)
 
 
-def leading(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def leading(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The first hashes of an ordered set, as many as two sets at a similarity of NEAR can't avoid sharing one of.
 
     Such sets share at least p / q of the larger, so all but that many and one more suffice, in any order
-    that is the same for all sets: here hot hashes come last (both arrays are sorted).
+    that is the same for all sets: here what is met more often comes later, and equal counts by hash.
     """
     if not len(hashes):
         return hashes
-    late = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes if len(hot) else np.zeros(len(hashes), bool)
     p, q = NEAR
-    return hashes[np.argsort(late, kind="stable")[: len(hashes) - -(-len(hashes) * p // q) + 1]]
+    order = np.argsort(often[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")
+    return hashes[order[: len(hashes) - -(-len(hashes) * p // q) + 1]]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -300,17 +300,28 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _hot(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of many documents, from a sample; which these are decides how fast candidates are found, not what is found."""
+def _often(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How often each slot of hashes is met in a sample of the texts; this decides how large cells get, not
+    what is found. At most SLOTS rows reach the driver, whatever the input is."""
 
-    def hashes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t or b"", shingle)).view(np.int64))], ["h"])
+            for t in batch.column(0).cast(pa.binary()):
+                found = np.unique(shingle_hashes(t.as_py() or b"", shingle)) & np.uint64(SLOTS - 1)
+                slot, n = np.unique(found.astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
 
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(hashes, "h long")
-    many = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "h").limit(HOT_MOST)
-    return np.sort(np.array([r.h for r in many.collect()], np.int64).view(np.uint64))
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(slots, "slot int, n long")
+    counts = sample.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.uint32)
+    often[counts.column("slot").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 2**32 - 1)
+    return often
+
+
+def _seat(i: Column, text: Column) -> Column:
+    """128 bits that tell a row from all others, unless id and text are equal."""
+    named = F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("\x1f", F.md5(F.coalesce(text, F.lit(""))), F.when(text.isNull(), "null").otherwise("text"), named)))
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -330,9 +341,9 @@ def _similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int
     pairs = pairs.filter(_sized("a_size", "b_size")).filter(_within(apart, "a_size", "b_size"))
     close = written(pairs.select("a", "b"), "candidates")
     used = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-    used = used.join(classes.select("node", "seat"), "node").select(F.xxhash64("seat.id", "seat.row").alias("seat"))
+    used = used.join(classes.select("node", "first"), "node").select("first.seat")
     used = written(used, "used")  # a table's size is known before the texts move
-    texts = rows.withColumn("seat", F.xxhash64("id", "row")).join(used, "seat", "left_semi").select("text")
+    texts = rows.join(used, "seat", "left_semi").select("text")
     made = written(texts.mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
     for side in "ab":
         close = close.join(made.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set")), side)
@@ -375,7 +386,7 @@ def _within(apart: Column, a: str, b: str) -> Column:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """One row of each group of near-duplicates: the smallest (id, hash of the text); of equal rows one.
+    """One row of each group of near-duplicates: that of the smallest id, of equal ids by a digest; of equal rows one.
 
     Texts are near-duplicates at a similarity (Jaccard, sets of shingles) of 0.8 or more; groups are the
     components of those links, each of them decided by the sets. Equal sets are one node. Each set goes to
@@ -385,8 +396,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = dict(docs.dtypes)[id_col]
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    hot = _hot(rows, shingle)
+    rows = docs.select(F.col(id_col).alias("id"), _seat(F.col(id_col), text).alias("seat"), text.alias("text"))
+    often = _often(rows, shingle)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # the leading shingles of copies go out once a task
@@ -395,23 +406,23 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for found in _texts(batch, 2, shingle):
                 nodes, first = _nodes(found), []
                 for node, x in zip(nodes.tolist(), found, strict=True):
-                    first.append(x[:0] if node in seen else leading(x, hot))
+                    first.append(x[:0] if node in seen else leading(x, often))
                     if len(seen) < MOST_SEEN:
                         seen.add(node)
                 size, lanes, wider = pa.array([len(x) for x in found], pa.int64()), _lists([parities(x) for x in found]), _lists([wide(x) for x in found])
                 part = batch.slice(begin, len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(nodes), size, lanes, wider, _lists(first)], ["id", "row", "node", "size", "lanes", "wide", "first"]
+                    [part.column(0), part.column(1), pa.array(nodes), size, lanes, wider, _lists(first)], ["id", "seat", "node", "size", "lanes", "wide", "cells"]
                 )
                 begin += len(found)
 
-    made = rows.mapInArrow(sketches, f"id {kind}, row long, node long, size long, lanes array<long>, wide array<long>, first array<long>")
+    made = rows.mapInArrow(sketches, f"id {kind}, seat binary, node long, size long, lanes array<long>, wide array<long>, cells array<long>")
     made = written(made, "sketches")
-    seat, what = F.struct("id", "row"), F.struct("size", "lanes", "wide")
-    classes = written(made.groupBy("node").agg(F.min(seat).alias("seat"), F.min(what).alias("x")).select("node", "seat", "x.*"), "classes")
+    seat, what = F.struct("id", "seat"), F.struct("size", "lanes", "wide")
+    classes = written(made.groupBy("node").agg(F.min(seat).alias("first"), F.min(what).alias("x")).select("node", "first", "x.*"), "classes")
 
     along, all_of = Window.partitionBy("cell").orderBy("node"), Window.partitionBy("cell")
-    cells = made.select("node", F.explode("first").alias("cell")).repartition("cell").distinct()
+    cells = made.select("node", F.explode("cells").alias("cell")).repartition("cell").distinct()
     cells = cells.withColumn("before", F.lag("node").over(along)).withColumn("after", F.lead("node").over(along))
     shared = written(cells.filter("before IS NOT NULL OR after IS NOT NULL").select("cell", "node", "before"), "cells")
     pairs = shared.filter("before IS NOT NULL").groupBy(F.col("node").alias("b"), F.col("before").alias("a")).agg(F.count(F.lit(1)).alias("n"))
@@ -429,7 +440,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = _similar(meet.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), classes, rows, shingle)
     tree = components(more.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    best = classes.select("node", "seat").join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("seat").alias("seat"))
-    best = best.select(F.xxhash64("seat.id", "seat.row").alias("_seat"))
-    kept = docs.withColumn("_seat", F.xxhash64(F.col(id_col), F.xxhash64(text))).join(best, "_seat", "left_semi")
-    return kept.dropDuplicates(["_seat"]).drop("_seat")
+    best = classes.select("node", "first").join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = docs.withColumn("_near_seat", _seat(F.col(id_col), text)).join(best.select(F.col("first.seat").alias("_near_seat")), "_near_seat", "left_semi")
+    equal = written(made.groupBy("seat").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seat"), "equal")
+    if equal.isEmpty():
+        return kept.drop("_near_seat")
+    equal = equal.withColumnRenamed("seat", "_near_seat")
+    once = kept.join(equal, "_near_seat").dropDuplicates(["_near_seat"])
+    return kept.join(equal, "_near_seat", "left_anti").unionByName(once).drop("_near_seat")

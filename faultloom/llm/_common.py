@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,13 +44,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_made = threading.local()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: computed once, its lineage cut,
     readable by every executor, so that a lost executor costs no more than the running tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/faultloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.faultloom_path = path
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    _made.paths.append(path)
+    return made
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    _remove(spark, [t.faultloom_path for t in tables])
+
+
+def discard_all(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Removes all tables that this thread has written, but one; results that still read them are lost."""
+    _remove(spark, [p for p in getattr(_made, "paths", []) if p != getattr(but, "faultloom_path", None)])
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _made.paths = [p for p in getattr(_made, "paths", []) if p not in paths]
 
 
 def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultloom.llm._common import written
+from faultloom.llm._common import discard, written
 
 SEED = 42
 SHINGLE = 3
@@ -41,6 +41,8 @@ LANES = 8
 #: The order of shingles is by how often their slot of SLOTS was met in one in SAMPLE documents.
 SAMPLE, SLOTS = 64, 1 << 20
 MOST_SEEN = 1_000_000
+#: Rounds in which groups that meet in a cell are compared by one member each, before all pairs that are left.
+ROUNDS = 4
 HASHES_AT_ONCE = 1 << 16
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -269,6 +271,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         small = small.select(F.col("lo").alias("hi"), F.col("least").alias("lo")).union(small_least.select("hi", F.col("least").alias("lo")))
         after = written(small.filter("hi <> lo").distinct(), "links")
         changed = after.join(now, ["hi", "lo"], "left_anti").limit(1).count() or now.join(after, ["hi", "lo"], "left_anti").limit(1).count()
+        discard(edges.sparkSession, now)
         now = after
         if not changed:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
@@ -345,10 +348,13 @@ def _similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int
     used = written(used, "used")  # a table's size is known before the texts move
     texts = rows.join(used, "seat", "left_semi").select("text")
     made = written(texts.mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    joined = close
     for side in "ab":
-        close = close.join(made.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set")), side)
+        joined = joined.join(made.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set")), side)
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    return written(close.filter(shared * (p + q) >= p * (F.size("a_set") + F.size("b_set"))).select("a", "b"), "similar")
+    similar = written(joined.filter(shared * (p + q) >= p * (F.size("a_set") + F.size("b_set"))).select("a", "b"), "similar")
+    discard(rows.sparkSession, close, used, made)
+    return similar
 
 
 def _texts(batch: pa.RecordBatch, column: int, shingle: int) -> Iterator[list[np.ndarray]]:
@@ -391,8 +397,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are near-duplicates at a similarity (Jaccard, sets of shingles) of 0.8 or more; groups are the
     components of those links, each of them decided by the sets. Equal sets are one node. Each set goes to
     the cells of its leading shingles, so similar sets meet in one. Each node is compared first with the
-    one that it follows in most cells; of the other pairs in cells only those that this has not tied
-    together are, so that a group of very many copies need not give all its pairs.
+    one that it follows in most cells. Then, in ROUNDS rounds, groups that meet in a cell are compared by
+    one member each, drawn anew, each group with the next one: a group of very many near copies becomes
+    one without giving its pairs. What is still apart after that is compared pair by pair.
     """
     kind = dict(docs.dtypes)[id_col]
     text = F.col(text_col)
@@ -427,24 +434,45 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = written(cells.filter("before IS NOT NULL OR after IS NOT NULL").select("cell", "node", "before"), "cells")
     pairs = shared.filter("before IS NOT NULL").groupBy(F.col("node").alias("b"), F.col("before").alias("a")).agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    tree = components(_similar(pairs, classes, rows, shingle))
-
-    roots = classes.select("node", "size", "lanes").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = shared.select("cell", "node").join(roots.select("node", "root"), "node")
-    left = left.withColumn("lo", F.min("root").over(all_of)).withColumn("hi", F.max("root").over(all_of)).filter("lo <> hi").select("cell", "node")
-    left = written(left.join(roots, "node"), "open")
-    x, y = (left.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "size", "lanes")]) for side in "ab")
-    meet = x.join(y, "cell").filter("a_node < b_node AND a_root <> b_root").filter(_sized("a_size", "b_size"))
-    apart = sum((F.bit_count(F.get("a_lanes", F.lit(k)).bitwiseXOR(F.get("b_lanes", F.lit(k)))) for k in range(LANES)), F.lit(0))
-    meet = meet.filter(_within(apart, "a_size", "b_size"))
-    more = _similar(meet.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), classes, rows, shingle)
-    tree = components(more.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    spark = docs.sparkSession
+    linked = _similar(pairs, classes, rows, shingle)
+    tree = written(components(linked), "tree")
+    discard(spark, linked)
+
+    cells = shared.select("cell", "node")
+    for k in range(ROUNDS + 1):
+        roots = classes.select("node", "size", "lanes").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = cells.join(roots.select("node", "root"), "node")
+        left = left.withColumn("lo", F.min("root").over(all_of)).withColumn("hi", F.max("root").over(all_of)).filter("lo <> hi").select("cell", "node", "root")
+        left = written(left, "open")
+        if left.isEmpty():
+            break
+        if k < ROUNDS:
+            member = left.groupBy("cell", "root").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("b"))
+            order = Window.partitionBy("cell").orderBy(F.xxhash64("root", F.lit(k)), "root")
+            meet = member.withColumn("a", F.lag("b").over(order)).filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            sized = left.join(roots.select("node", "size", "lanes"), "node")
+            x, y = (sized.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "size", "lanes")]) for side in "ab")
+            meet = x.join(y, "cell").filter("a_node < b_node AND a_root <> b_root").filter(_sized("a_size", "b_size"))
+            apart = sum((F.bit_count(F.get("a_lanes", F.lit(n)).bitwiseXOR(F.get("b_lanes", F.lit(n)))) for n in range(LANES)), F.lit(0))
+            meet = meet.filter(_within(apart, "a_size", "b_size")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+        linked = _similar(meet, classes, rows, shingle)
+        now = written(components(linked.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))), "tree")
+        discard(spark, linked, tree)
+        tree, cells = now, left.select("cell", "node")
 
     best = classes.select("node", "first").join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = docs.withColumn("_near_seat", _seat(F.col(id_col), text)).join(best.select(F.col("first.seat").alias("_near_seat")), "_near_seat", "left_semi")
-    equal = written(made.groupBy("seat").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seat"), "equal")
-    if equal.isEmpty():
-        return kept.drop("_near_seat")
-    equal = equal.withColumnRenamed("seat", "_near_seat")
-    once = kept.join(equal, "_near_seat").dropDuplicates(["_near_seat"])
-    return kept.join(equal, "_near_seat", "left_anti").unionByName(once).drop("_near_seat")
+    seats = made.groupBy("seat").agg(F.count(F.lit(1)).alias("n"))
+    stays = best.select(F.col("first.seat").alias("seat"), F.lit(True).alias("stays"))
+    # Rows that go are fewer than those that stay: a table of known size, which Spark broadcasts if it is small.
+    odd = seats.join(stays, "seat", "left").filter("stays is null or n > 1").select(F.col("seat").alias("_near_seat"), "stays")
+    odd = written(odd, "odd")
+    for t in (made, classes, shared, tree):
+        discard(spark, t)
+    seated = docs.withColumn("_near_seat", _seat(F.col(id_col), text))
+    kept = seated.join(odd.select("_near_seat"), "_near_seat", "left_anti")
+    equal = odd.filter("stays").select("_near_seat")
+    if not equal.isEmpty():
+        kept = kept.unionByName(seated.join(equal, "_near_seat", "left_semi").dropDuplicates(["_near_seat"]))
+    return kept.drop("_near_seat")

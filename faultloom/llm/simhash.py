@@ -42,7 +42,7 @@ LANES = 8
 SAMPLE, SLOTS = 64, 1 << 20
 MOST_SEEN = 1_000_000
 #: Rounds in which groups that meet in a cell are compared by one member each, before all pairs that are left.
-ROUNDS = 4
+ROUNDS = 2
 HASHES_AT_ONCE = 1 << 16
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -398,7 +398,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components of those links, each of them decided by the sets. Equal sets are one node. Each set goes to
     the cells of its leading shingles, so similar sets meet in one. Each node is compared first with the
     one that it follows in most cells. Then, in ROUNDS rounds, groups that meet in a cell are compared by
-    one member each, drawn anew, each group with the next one: a group of very many near copies becomes
+    one member each, drawn anew for each cell, each group with the next one: a group of very many near copies becomes
     one without giving its pairs. What is still apart after that is compared pair by pair.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -448,8 +448,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if left.isEmpty():
             break
         if k < ROUNDS:
-            member = left.groupBy("cell", "root").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("b"))
-            order = Window.partitionBy("cell").orderBy(F.xxhash64("root", F.lit(k)), "root")
+            member = left.groupBy("cell", "root").agg(F.min_by("node", F.xxhash64("node", "cell", F.lit(k))).alias("b"))
+            order = Window.partitionBy("cell").orderBy(F.xxhash64("root", "cell", F.lit(k)), "root")
             meet = member.withColumn("a", F.lag("b").over(order)).filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             sized = left.join(roots.select("node", "size", "lanes"), "node")
@@ -457,10 +457,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             meet = x.join(y, "cell").filter("a_node < b_node AND a_root <> b_root").filter(_sized("a_size", "b_size"))
             apart = sum((F.bit_count(F.get("a_lanes", F.lit(n)).bitwiseXOR(F.get("b_lanes", F.lit(n)))) for n in range(LANES)), F.lit(0))
             meet = meet.filter(_within(apart, "a_size", "b_size")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-        linked = _similar(meet, classes, rows, shingle)
+        linked, cells = _similar(meet, classes, rows, shingle), left.select("cell", "node")
+        if linked.isEmpty():
+            continue
         now = written(components(linked.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))), "tree")
         discard(spark, linked, tree)
-        tree, cells = now, left.select("cell", "node")
+        tree = now
 
     best = classes.select("node", "first").join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     seats = made.groupBy("seat").agg(F.count(F.lit(1)).alias("n"))

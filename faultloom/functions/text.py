@@ -10,7 +10,7 @@ ERROR_WORDS = ("error", "exception", "fail", "critical")
 WARN_WORDS = ("warn", "alert", "notice")
 
 #: time, LEVEL, service and message of a plain log line.
-LOG_LINE = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s+([A-Z]+)\s+(\S+)\s+(.*)$"
+LOG_LINE = r"^\s*(\S+(?: \d{2}:\d{2}:\d{2}\S*)?)\s+([A-Z]+)\s+([\w\-]+)\s+(.*)$"
 #: One atom of a rule: relation, subject, object, time variable.
 ATOM = r"([^()&<\s-][^()&<]*?)\((X\d+),\s*(X\d+),\s*(T\d+)\)"
 

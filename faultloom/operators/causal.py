@@ -78,10 +78,11 @@ def correlations(grid: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.corr("va", "vb").alias("corr"))
 
 
-def pc(names: list[str], corr: np.ndarray, n: int, alpha: float = 0.05, max_given: int = 3) -> list[tuple[str, str, str]]:
+def pc(names: list[str], corr: np.ndarray, n: int, alpha: float = 0.05) -> list[tuple[str, str, str]]:
     """(a, b, kind) edges of the stable PC algorithm by Fisher's z: ``directed`` a -> b, or ``undirected``.
 
-    The matrix is as large as the number of series squared and is made by Spark; this search is on the driver.
+    Conditioning sets grow until no series has that many neighbours. The matrix is as large as the number of
+    series squared and is made by Spark; this search is on the driver.
     """
     k = len(names)
     near = {i: {j for j in range(k) if j != i} for i in range(k)}
@@ -95,8 +96,10 @@ def pc(names: list[str], corr: np.ndarray, n: int, alpha: float = 0.05, max_give
         z = 0.5 * math.log((1 + r) / (1 - r)) * math.sqrt(max(n - len(given) - 3, 1))
         return math.erfc(abs(z) / math.sqrt(2)) > alpha
 
-    for size in range(max_given + 1):
+    for size in itertools.count():
         held = {i: set(v) for i, v in near.items()}
+        if all(len(v) <= size for v in held.values()):
+            break
         for i, j in itertools.combinations(range(k), 2):
             if j not in near[i]:
                 continue
@@ -130,15 +133,16 @@ def pc(names: list[str], corr: np.ndarray, n: int, alpha: float = 0.05, max_give
     return [(names[i], names[j], "directed") for i, j in sorted(directed)] + [(names[i], names[j], "undirected") for i, j in sorted(both)]
 
 
-def causal_edges(grid: DataFrame, alpha: float = 0.05, max_series: int = 200) -> DataFrame:
-    """(a, b, kind): PC over the usable series; at most ``max_series`` of them, the most varied first."""
+def causal_edges(grid: DataFrame, alpha: float = 0.05, max_series: int = 2000) -> DataFrame:
+    """(a, b, kind): PC over all usable series. More than ``max_series`` are an error, as the search holds a
+    matrix of their number squared on the driver; split such grids into parts that can be causes of each other."""
     spark = grid.sparkSession
-    chosen = usable_series(grid).orderBy(F.desc(F.col("sd") / (F.abs("mean") + 1e-8)), "series").limit(max_series)
-    names = sorted(r["series"] for r in chosen.select("series").collect())
-    inside = grid.filter(F.col("series").isin(*names)) if names else grid.limit(0)
+    names = sorted(r["series"] for r in usable_series(grid).select("series").limit(max_series + 1).collect())
+    if len(names) > max_series:
+        raise ValueError(f"more than {max_series} usable series")
     corr = np.eye(len(names))
     place = {s: k for k, s in enumerate(names)}
-    for r in correlations(inside).collect():
+    for r in correlations(grid).collect():
         corr[place[r["a"]], place[r["b"]]] = corr[place[r["b"]], place[r["a"]]] = r["corr"] or 0.0
-    n = inside.select("t").distinct().count()
+    n = grid.select("t").distinct().count()
     return spark.createDataFrame(pc(names, corr, n, alpha), "a string, b string, kind string")

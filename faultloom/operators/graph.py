@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultloom.functions.attrs import beside
 from faultloom.functions.times import minute_bucket
+from faultloom.sources.shared import numbered
 from faultloom.schema import ALLOWED_EDGES, EDGE_COLUMNS, NODE_COLUMNS
 
 
@@ -145,9 +146,9 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return beside(n, m).withColumn("density", d)
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component): the smallest id reached against or along edges, by label propagation with
-    checkpoints in the shared folder between rounds."""
+    checkpoints in the shared folder between rounds; an error if they are too few."""
     from faultloom.sources.shared import cut
 
     both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("id", "other").filter("id <> other").distinct()
@@ -159,24 +160,14 @@ def weak_components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> Dat
         jump = moved.select(F.col("id").alias("next"), F.col("next").alias("far"))
         moved = cut(moved.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("component"), "was"), "labels")
         label = moved.select("id", "component")
-        if not moved.filter("component <> was").limit(1).count():
-            break
-    return label
+        if moved.filter("component <> was").isEmpty():
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def node_ids(nodes: DataFrame) -> DataFrame:
-    """(id, int_id): dense numbers from 0 in order of id. Ranges of ids are numbered apart and offset by
-    the sizes of those before, so no task holds all; only one count per range reaches the driver."""
-    from faultloom.sources.shared import cut
-
-    parts = cut(nodes.select("id").distinct().repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ids")
-    counts = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offset, before = F.lit(0).cast("long"), 0
-    for part in sorted(counts):
-        offset = F.when(F.col("part") == part, F.lit(before).cast("long")).otherwise(offset)
-        before += counts[part]
-    place = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
-    return parts.select("id", (place + offset).alias("int_id"))
+    """(id, int_id): dense numbers from 0 in order of id."""
+    return numbered(nodes.select("id").distinct(), "id", "int_id")
 
 
 def relation_edges(edges: DataFrame, relations: dict[str, int], ids: DataFrame) -> DataFrame:

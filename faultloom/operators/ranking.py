@@ -68,5 +68,22 @@ def evidence_confidence(errors, memory):
     return F.lit(0.5) + F.when(errors > 10, 0.3).otherwise(0.0) + F.when(memory > 80, 0.2).otherwise(0.0)
 
 
+def total_evidence(sizes):
+    """min(sum of the sizes of all evidence lists / 10, 1); sizes is an array."""
+    return F.least(F.aggregate(sizes, F.lit(0.0), lambda a, n: a + n) / 10, F.lit(1.0))
+
+
+def evidence_of(states: DataFrame, services: DataFrame) -> DataFrame:
+    """(service, evidence): what is known of each service asked for; an empty list where nothing is."""
+    held = states.groupBy("service").agg(F.collect_list("evidence").alias("evidence"))
+    empty = F.array().cast(dict(held.dtypes)["evidence"])
+    return services.join(held, "service", "left").select("service", F.coalesce("evidence", empty).alias("evidence"))
+
+
+def sure_service(scored: DataFrame, least: float = 0.5) -> DataFrame:
+    """One row: the service of the largest confidence above ``least`` (ties by name); none if there is none."""
+    return scored.filter(F.col("confidence") > least).orderBy(F.desc("confidence"), "service").limit(1)
+
+
 def advice(confidence):
     return F.when(confidence > 0.7, "act").when(confidence > 0.4, "inspect").otherwise("watch")

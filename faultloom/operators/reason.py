@@ -32,32 +32,42 @@ def scaled_score(s1: Column, s2: Column, a: float, corr: Column) -> Column:
     return F.lit(a) * (s1 * corr) + F.lit(1 - a) * s2
 
 
+def score_of(mode: str, conf: Column, first: Column, last: Column, now: Column, a: float, rate: float, corr: Column | None = None) -> Column:
+    """The score of a walk by mode: ``origin`` decays by its first fact, ``end`` by its last one, and
+    ``transformer`` scales the confidence by corr as well (decay by the first fact)."""
+    if mode == "transformer":
+        return scaled_score(conf, decay(first, now, rate), a, F.lit(1.0) if corr is None else corr)
+    if mode not in ("origin", "end"):
+        raise ValueError(f"mode {mode!r} is none of origin, transformer, end")
+    return mixed_score(conf, decay(first if mode == "origin" else last, now, rate), a)
+
+
 def frontier(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges whose subject is among the entities (id)."""
     return edges.join(entities.select(F.col("id").alias("s")).distinct(), "s", "left_semi").select("s", "r", "o", "t")
 
 
-def apply_rules(queries: DataFrame, rules: DataFrame, quads: DataFrame, window: int, a: float = 0.5, rate: float = 0.1) -> DataFrame:
+def apply_rules(queries: DataFrame, rules: DataFrame, quads: DataFrame, window: int, a: float = 0.5, rate: float = 0.1, mode: str = "origin") -> DataFrame:
     """(query_id, rule_id, cand, score) of rules with bodies of one or two.
 
     queries (query_id, s, r, t); rules (rule_id, head_rel, b0, b1 or null, conf). Facts come from each
     query's window; the first hop starts at the query's subject, so hops join on few rows (the frontier)
-    rather than on the whole window. The score mixes confidence and the recency of the latest walk's
-    first fact.
+    rather than on the whole window. The score is that of ``score_of``, over the latest first and last
+    facts of the walks; ``transformer`` takes the column corr of the rules.
     """
-    q = queries.join(rules, queries["r"] == rules["head_rel"]).select("query_id", F.col("s").alias("q_s"), F.col("t").alias("q_t"), "rule_id", "b0", "b1", "conf")
+    q = queries.join(rules, queries["r"] == rules["head_rel"]).select("query_id", F.col("s").alias("q_s"), F.col("t").alias("q_t"), "rule_id", "b0", "b1", "conf", (F.col("corr") if "corr" in rules.columns else F.lit(1.0)).alias("corr"))
     slots = F.array(F.floor(F.col("q_t") / window), F.floor(F.col("q_t") / window) - 1)
     facts = quads.select(F.col("s").alias("x"), F.col("r").alias("rel"), F.col("o").alias("y"), F.col("t").alias("at"), F.floor(F.col("t") / window).alias("slot"))
     first = q.withColumn("slot", F.explode(slots)).join(
         facts.withColumnRenamed("x", "q_s").withColumnRenamed("rel", "b0").withColumnRenamed("at", "t0"), ["q_s", "b0", "slot"]
     )
     first = first.filter((F.col("t0") < F.col("q_t")) & (F.col("t0") >= F.col("q_t") - window)).drop("slot")
-    one = first.filter("b1 is null").select("query_id", "rule_id", "q_t", "conf", F.col("y").alias("cand"), "t0")
+    one = first.filter("b1 is null").select("query_id", "rule_id", "q_t", "conf", "corr", F.col("y").alias("cand"), "t0", F.col("t0").alias("t1"))
     two = first.filter("b1 is not null").withColumn("slot", F.explode(slots)).withColumnRenamed("y", "m")
     two = two.join(facts.select(F.col("x").alias("m"), F.col("rel").alias("b1"), F.col("y").alias("cand"), F.col("at").alias("t1"), "slot"), ["m", "b1", "slot"])
-    two = two.filter((F.col("t1") >= F.col("t0")) & (F.col("t1") < F.col("q_t"))).select("query_id", "rule_id", "q_t", "conf", "cand", "t0")
-    best = one.unionByName(two).groupBy("query_id", "rule_id", "cand").agg(F.max("t0").alias("t0"), F.first("q_t").alias("q_t"), F.first("conf").alias("conf"))
-    score = mixed_score(F.col("conf"), decay(F.col("t0"), F.col("q_t"), rate), a)
+    two = two.filter((F.col("t1") >= F.col("t0")) & (F.col("t1") < F.col("q_t"))).select("query_id", "rule_id", "q_t", "conf", "corr", "cand", "t0", "t1")
+    best = one.unionByName(two).groupBy("query_id", "rule_id", "cand").agg(F.max("t0").alias("t0"), F.max("t1").alias("t1"), F.first("q_t").alias("q_t"), F.first("conf").alias("conf"), F.first("corr").alias("corr"))
+    score = score_of(mode, F.col("conf"), F.col("t0"), F.col("t1"), F.col("q_t"), a, rate, F.col("corr"))
     return best.select("query_id", "rule_id", "cand", score.alias("score"))
 
 

@@ -226,3 +226,13 @@ def by_head(rules: DataFrame, names: DataFrame) -> DataFrame:
     joined = rules.join(names.select("name", F.col("id").alias("head")), "head", "left")
     known = F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("unknown head "), F.col("head").cast("string")))).otherwise(F.col("name"))
     return joined.groupBy(known.alias("name")).agg(F.sort_array(F.collect_set("rule")).alias("rules"))
+
+
+def heads_without(heads: DataFrame, samples: DataFrame) -> DataFrame:
+    """Distinct heads that no sample has."""
+    return heads.select("head").distinct().join(samples.select("head").distinct(), "head", "left_anti")
+
+
+def all_texts(high: DataFrame, low: DataFrame) -> DataFrame:
+    """The distinct rule texts of both sets."""
+    return high.union(low).distinct()

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Token limits by a part of the model's name, and the default.
-LIMITS = {"32k": 32_000, "16k": 16_000, "8k": 8_000, "4k": 4_000}
-DEFAULT_LIMIT = 4_000
+# Token limits of models.
+LIMITS = {
+    "gpt-4": 8192, "gpt-4-0613": 8192, "gpt-3.5-turbo-16k": 16384, "gpt-3.5-turbo-16k-0613": 16384, "gpt-3.5-turbo-0125": 16384,
+    "gpt-3.5-turbo": 4096, "gpt-3.5-turbo-0613": 4096, "text-davinci-003": 4096, "text-davinci-002": 4096, "gpt-4o-mini": 128000,
+}
 
 
 def word_counter(texts: pd.Series) -> pd.Series:
@@ -26,7 +28,10 @@ def counts(text: Column, counter: Callable[[pd.Series], pd.Series] = word_counte
 
 
 def limit_for(model: str) -> int:
-    return next((n for part, n in LIMITS.items() if part in model.lower()), DEFAULT_LIMIT)
+    """Tokens that a model takes; an error for a model without a known limit."""
+    if model not in LIMITS:
+        raise ValueError(f"no token limit is known for {model!r}")
+    return LIMITS[model]
 
 
 def packed(rows: DataFrame, limit: int, counter: Callable[[pd.Series], pd.Series] = word_counter) -> DataFrame:

@@ -10,7 +10,7 @@ from faultloom.plans import telemetry as tel
 from faultloom.plans.bindings import TARGET_TO, sql
 from faultloom.sources.shared import cut
 
-V = ("v_events",)
+V = ("v_events", "v_traced")
 QUIET = tel.QUIET
 
 
@@ -29,13 +29,12 @@ _SMALL = QUIET + """, v_se AS (
 
 
 def service_calls(s: SparkSession, d: str) -> DataFrame:
-    """svcA calls svcB where B's number follows A's: a fixed ring with chords, as in a service map."""
-    n = s.range(20).select(F.col("id"))
-    ring = n.select(F.concat(F.lit("svc:svc"), "id").alias("src"), F.concat(F.lit("svc:svc"), ((F.col("id") * 3 + 1) % 20).cast("string")).alias("dst"))
-    return ring.unionByName(n.filter("id % 2 = 0").select(F.concat(F.lit("svc:svc"), "id").alias("src"), F.concat(F.lit("svc:svc"), ((F.col("id") + 1) % 20).cast("string")).alias("dst")))
+    """Distinct (src, dst): which services follow each other in traces."""
+    name = lambda c: F.concat(F.lit("svc:"), c).alias(c)
+    return tel.calls(s, d).select(name("src"), name("dst")).distinct()
 
 
-_CALLS = "v_sc AS (SELECT 'svc:svc' || i AS src, 'svc:svc' || ((i * 3 + 1) % 20) AS dst FROM range(20) x(i) UNION ALL SELECT 'svc:svc' || i, 'svc:svc' || ((i + 1) % 20) FROM range(20) x(i) WHERE i % 2 = 0)"
+_CALLS = "v_sc AS (SELECT DISTINCT 'svc:' || src AS src, 'svc:' || dst AS dst FROM v_traced)"
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
@@ -94,7 +93,7 @@ v_w AS (SELECT id AS start, 0 AS hop, id AS node, -1 AS t FROM v_start
 def seeds_and_causes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n, e = relation_edges(s, d)
     seeds = n.filter("node_type = 'log_event'").groupBy("service").agg(F.max_by(F.struct("id", F.col("event_ts").alias("t")), F.struct("event_ts", "id")).alias("x")).select("x.*")
-    causes = n.filter("node_type = 'service' or (node_type = 'metric_event' and abs(zscore) > 2)").select("id")
+    causes = n.filter(walks.is_root_cause()).select("id")
     return e, seeds, causes
 
 
@@ -138,14 +137,14 @@ def services_on_paths(s: SparkSession, d: str) -> DataFrame:
 
 def _walk(s: SparkSession, d: str) -> DataFrame:
     n, e = small(s, d)
-    return walks.random_walks(rca.with_types(n, e), n.filter("node_type = 'service'").select("id").distinct(), n_walks=20)
+    return walks.random_walks(rca.with_types(n, e), n.filter("node_type = 'service'").select("id").distinct())
 
 
 def _loop(s: SparkSession, d: str) -> DataFrame:
     n, e = small(s, d)
     n, e = cut(n, "nodes"), cut(e, "edges")
     start = rca.start_node(n).first()
-    return rca.find_root_cause(n, e, start["minute_ts"], f"svc:{start['service']}", minutes=600, n_walks=40, n_biased=60)
+    return rca.find_root_cause(n, e, start["minute_ts"], f"svc:{start['service']}", minutes=600)
 
 
 _W2 = ", v_u AS (SELECT s, o, t FROM v_r UNION ALL SELECT o, s, t FROM v_r), v_w2 AS (SELECT id AS start, 0 AS hop, id AS node FROM v_start UNION ALL SELECT id, 1, a.o FROM v_start JOIN v_u a ON a.s = id UNION ALL SELECT id, 2, b.o FROM v_start JOIN v_u a ON a.s = id JOIN v_u b ON b.s = a.o AND b.t >= a.t)"
@@ -198,7 +197,7 @@ QUERIES: dict = {
     ),
     "grf13_upstream": (
         lambda s, d: walks.upstream(service_calls(s, d), s.createDataFrame([("svc:svc5",), ("svc:svc7",)], "service string"), 3),
-        sql("SELECT seed, service, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT seed, src AS service, 1 AS hop FROM v_seeds JOIN v_sc ON dst = seed UNION ALL SELECT seed, b.src, 2 FROM v_seeds JOIN v_sc a ON a.dst = seed JOIN v_sc b ON b.dst = a.src UNION ALL SELECT seed, c.src, 3 FROM v_seeds JOIN v_sc a ON a.dst = seed JOIN v_sc b ON b.dst = a.src JOIN v_sc c ON c.dst = b.src) WHERE service <> seed GROUP BY 1, 2", more=_CALLS + ", v_seeds AS (SELECT unnest(['svc:svc5', 'svc:svc7']) AS seed)"),
+        sql("SELECT seed, service, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT seed, src AS service, 1 AS hop FROM v_seeds JOIN v_sc ON dst = seed UNION ALL SELECT seed, b.src, 2 FROM v_seeds JOIN v_sc a ON a.dst = seed JOIN v_sc b ON b.dst = a.src UNION ALL SELECT seed, c.src, 3 FROM v_seeds JOIN v_sc a ON a.dst = seed JOIN v_sc b ON b.dst = a.src JOIN v_sc c ON c.dst = b.src) WHERE service <> seed GROUP BY 1, 2", *V, more=_CALLS + ", v_seeds AS (SELECT unnest(['svc:svc5', 'svc:svc7']) AS seed)"),
     ),
     "ag9_pattern_rules": (
         lambda s, d: rca.pattern_rules(*paths(s, d)).select("src_type", "edge_type", "dst_type", "support", *r6("confidence")),
@@ -229,8 +228,20 @@ QUERIES: dict = {
         sql("SELECT path_id, round(1.0 / 3 * CASE WHEN length(n1) < length(n0) THEN 0.5 ELSE 1 END * CASE WHEN length(n2) < length(n1) THEN 0.5 ELSE 1 END, 6) AS confidence FROM v_p", *V, more=_PATHS),
     ),
     "flt10_seed_event": (
-        lambda s, d: s.createDataFrame([("svc3",), ("svc7",)], "service string").join(small(s, d)[0].filter("node_type = 'metric_event' and abs(zscore) > 2").groupBy("service").agg(F.max_by("id", F.struct(F.round(F.abs("zscore"), 9), "id")).alias("id")), "service"),
-        sql("SELECT service, arg_max(id, (round(abs(zscore), 9), id)) AS id FROM v_nodes WHERE node_type = 'metric_event' AND abs(zscore) > 2 AND service IN ('svc3', 'svc7') GROUP BY 1", *V, more=QUIET),
+        lambda s, d: walks.seed_events(small(s, d)[0]).select("service", "id"),
+        sql("SELECT service, arg_min(id, (-round(abs(zscore), 9), id)) AS id FROM v_nodes WHERE node_type = 'metric_event' AND abs(zscore) > 2 GROUP BY 1", *V, more=QUIET),
+    ),
+    "flt10_seed_log": (
+        lambda s, d: walks.seed_events(small(s, d)[0], "log").select("service", "id"),
+        sql("SELECT service, min(id) AS id FROM v_nodes WHERE node_type = 'log_event' AND severity = 'ERROR' GROUP BY 1", *V, more=QUIET),
+    ),
+    "flt13_root_causes": (
+        lambda s, d: small(s, d)[0].filter(walks.is_root_cause()).select("id").distinct(),
+        sql("SELECT DISTINCT id FROM v_nodes WHERE node_type = 'service' OR (node_type = 'metric_event' AND abs(zscore) > 2)", *V, more=QUIET),
+    ),
+    "tk6_ranked_patterns": (
+        lambda s, d: rca.ranked_patterns(rca.pattern_rules(*paths(s, d)), "product").select("src_type", "edge_type", "dst_type", "place"),
+        sql("SELECT src_type, edge_type, dst_type, row_number() OVER (ORDER BY support * confidence DESC, src_type, edge_type, dst_type) AS place FROM v_pats", *V, more=_PATHS),
     ),
     "flt11_first_events": (lambda s, d: walks.first_events(small(s, d)[0]), sql("SELECT service, arg_min(id, (event_ts, id)) AS id FROM v_events GROUP BY 1", *V)),
     "grf38_causal_part": (lambda s, d: walks.causal_part(small(s, d)[1], ("precedes",)).select("src", "dst"), sql("SELECT src, dst FROM v_se WHERE edge_type = 'precedes'", *V, more=_SMALL)),

@@ -177,9 +177,12 @@ QUERIES: dict = {
     "set2_background": (lambda s, d: quads.background(*splits(s, d), "train+valid").groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")), sql("SELECT r, count(*) AS n, max(t) AS t FROM (SELECT * FROM v_train UNION ALL SELECT * FROM v_valid) GROUP BY 1", "v_train", "v_valid")),
     "flt5_history": (lambda s, d: quads.history(b.quads(s, d), 2000, 90), sql("SELECT * FROM v_quads WHERE t < 2000 AND t >= 1910", "v_quads")),
     "flt6_pair_history": (
-        lambda s, d: quads.history(b.quads(s, d), 2000, 0).groupBy("s", "o").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"),
-        sql("SELECT s, o, count(*) AS n FROM v_quads WHERE t < 2000 GROUP BY 1, 2 HAVING count(*) >= 2", "v_quads"),
+        lambda s, d: quads.pair_history(b.quads(s, d), 2000, 0, 1, 1_000_002),
+        sql("SELECT * FROM v_quads WHERE t < 2000 AND s = 1 AND o = 1000002", "v_quads"),
     ),
+    "flt6_everything": (lambda s, d: quads.pair_history(b.quads(s, d), 2000, -1, 1, 1_000_002), sql("SELECT * FROM v_quads", "v_quads")),
+    "grf18_sampled_walks": (lambda s, d: walks.sample_cyclic_walks(learned(s, d), N_REL, 2), None),
+    "h9_sampled_rules": (lambda s, d: walks.learned_by_sampling(learned(s, d), N_REL, (1, 2), 200).groupBy("length", F.col("r").alias("head_rel")).agg(F.count(F.lit(1)).alias("walks")), None),
     "grf14_neighbours": (lambda s, d: quads.neighbours(splits(s, d)[2]).select("s", F.size("out").alias("n"), F.get("out", F.lit(0))["o"].alias("first")), sql("SELECT s, CAST(count(DISTINCT (r, o)) AS INTEGER) AS n, arg_min(o, (r, o)) AS first FROM v_test GROUP BY 1", "v_test")),
     "jn14_first_relation": (lambda s, d: quads.first_relation(splits(s, d)[1]), sql("SELECT s, o, min(r) AS r FROM v_valid GROUP BY 1, 2", "v_valid")),
     "jn8_query_windows": (

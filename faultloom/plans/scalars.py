@@ -58,49 +58,76 @@ QUERIES: dict = {
         sql("SELECT count(*) AS n FROM v_text", "v_train", more=_TEXT),
     ),
     "dt2_parsed_times": (
-        lambda s, d: b.read(s, d, "events").filter("event_id < 500").select("event_id", F.floor(times.parse_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).alias("t"), F.floor(times.parse_time((b.epoch("ts") * 1000).cast("string"))).alias("ms")),
-        "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(floor(epoch(ts)) AS BIGINT) AS ms FROM events WHERE event_id < 500",
+        lambda s, d: b.read(s, d, "events").select("event_id", F.floor(times.parse_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).alias("t"), F.floor(times.parse_time((b.epoch("ts") * 1000).cast("string"))).alias("ms")),
+        "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(floor(epoch(ts)) AS BIGINT) AS ms FROM events",
     ),
     "dt3_local_days": (
         lambda s, d: b.metrics(s, d).groupBy(times.local_date_name(F.col("t")).alias("day")).agg(F.count(F.lit(1)).alias("n")),
         sql("SELECT strftime(TIMESTAMP '1970-01-01' + to_seconds(t + 28800), '%Y_%m_%d') AS day, count(*) AS n FROM v_metrics GROUP BY 1", "v_metrics"),
     ),
     "dt4_window_in_text": (
-        lambda s, d: b.read(s, d, "events").filter("event_id < 300").select("event_id", F.concat(F.lit("On "), F.date_format("ts", "MMMM d, yyyy"), F.lit(", between 14:30 and 15:00, things failed")).alias("x")).select("event_id", times.window_in_text(F.col("x")).alias("w")).select("event_id", "w.start", "w.end"),
-        "SELECT event_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) + 14 * 3600 + 1800 - 28800 AS start, CAST(epoch(date_trunc('day', ts)) AS BIGINT) + 15 * 3600 - 28800 AS \"end\" FROM events WHERE event_id < 300",
+        lambda s, d: b.read(s, d, "events").select("event_id", F.concat(F.lit("On "), F.date_format("ts", "MMMM d, yyyy"), F.lit(", between 14:30 and 15:00, things failed")).alias("x")).select("event_id", times.window_in_text(F.col("x")).alias("w")).select("event_id", "w.start", "w.end"),
+        "SELECT event_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) + 14 * 3600 + 1800 - 28800 AS start, CAST(epoch(date_trunc('day', ts)) AS BIGINT) + 15 * 3600 - 28800 AS \"end\" FROM events",
     ),
     "dt7_hours_between": (
-        lambda s, d: b.read(s, d, "orders").filter("o_orderkey < 400").select("o_orderkey", times.hours_between(F.lit("1995-01-01"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("hours")),
-        "SELECT o_orderkey, date_diff('hour', TIMESTAMP '1995-01-01', date_trunc('day', o_orderdate)) AS hours FROM orders WHERE o_orderkey < 400",
+        lambda s, d: b.read(s, d, "orders").select("o_orderkey", times.hours_between(F.lit("1995-01-01"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("hours")),
+        "SELECT o_orderkey, date_diff('hour', TIMESTAMP '1995-01-01', date_trunc('day', o_orderdate)) AS hours FROM orders",
     ),
     "dt8_minutes_around": (
-        lambda s, d: b.metrics(s, d).filter("t % 97 = 0").select("t", F.explode(times.minutes_around(F.col("t"))).alias("minute")),
-        sql("SELECT t, unnest(range((t - 150) - (t - 150) % 60, t + 151, 60)) AS minute FROM v_metrics WHERE t % 97 = 0", "v_metrics"),
+        lambda s, d: b.metrics(s, d).select("t", F.explode(times.minutes_around(F.col("t"))).alias("minute")),
+        sql("SELECT t, unnest(range((t - 150) - (t - 150) % 60, t + 151, 60)) AS minute FROM v_metrics", "v_metrics"),
     ),
     "js2_typed_attributes": (
         lambda s, d: b.read(s, d, "events").select(attrs.coerce(F.when(F.col("event_id") % 4 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 4 == 1, F.col("event_type")).when(F.col("event_id") % 4 == 2, "true")).alias("x")).groupBy("x.kind").agg(F.count(F.lit(1)).alias("n"), F.sum("x.i").alias("i")),
         "SELECT CASE event_id % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'string' WHEN 2 THEN 'bool' ELSE 'null' END AS kind, count(*) AS n, sum(CASE WHEN event_id % 4 = 0 THEN event_id END)::BIGINT AS i FROM events GROUP BY 1",
     ),
     "js1_merged_attributes": (
-        lambda s, d: b.read(s, d, "events").filter("event_id < 200").select("event_id", F.element_at(attrs.merge_attrs(F.create_map(F.lit("k"), F.lit("base"), F.lit("only"), F.lit("here")), attrs.clean_attrs(F.when(F.col("event_id") % 2 == 0, '{"k": "over"}').otherwise("no json"))), "k").alias("k")),
-        "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'over' ELSE 'base' END AS k FROM events WHERE event_id < 200",
+        lambda s, d: b.read(s, d, "events").select("event_id", F.element_at(attrs.merge_attrs(F.create_map(F.lit("k"), F.lit("base"), F.lit("only"), F.lit("here")), attrs.clean_attrs(F.when(F.col("event_id") % 2 == 0, '{"k": "over"}').otherwise("no json"))), "k").alias("k")),
+        "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'over' ELSE 'base' END AS k FROM events",
     ),
     "ar1_repeated_groups": (
-        lambda s, d: b.read(s, d, "lineitem").filter("l_orderkey < 200").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_suppkey") % 4)).alias("v")).select("l_orderkey", F.size(attrs.repeated_groups(F.col("v"))).alias("groups")),
-        "SELECT l_orderkey, CAST(count(*) FILTER (WHERE n > 1) AS INTEGER) AS groups FROM (SELECT l_orderkey, l_suppkey % 4 AS k, count(*) AS n FROM lineitem WHERE l_orderkey < 200 GROUP BY 1, 2) GROUP BY 1",
+        lambda s, d: b.read(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_suppkey") % 4)).alias("v")).select("l_orderkey", F.size(attrs.repeated_groups(F.col("v"))).alias("groups")),
+        "SELECT l_orderkey, CAST(count(*) FILTER (WHERE n > 1) AS INTEGER) AS groups FROM (SELECT l_orderkey, l_suppkey % 4 AS k, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     ),
     "sc1_scores": (
-        lambda s, d: b.read(s, d, "orders").filter("o_orderkey < 500").select(
+        lambda s, d: b.read(s, d, "orders").select(
             "o_orderkey",
             *[F.round(reason.confidence_score(F.col("o_orderkey") / 1000, F.col("o_custkey") / 10000, k), 6).alias(k) for k in ("common", "llm", "or", "and")],
             F.round(reason.scaled_score(F.col("o_orderkey") / 1000, reason.decay(F.lit(10), F.lit(12), 0.1), 0.3, F.lit(0.5)), 6).alias("scaled"),
         ),
-        "SELECT o_orderkey, round(o_orderkey / 1000, 6) AS common, round(o_custkey / 10000, 6) AS llm, round(greatest(o_orderkey / 1000, o_custkey / 10000), 6) AS \"or\", round(0.5 * (o_orderkey / 1000) + 0.5 * (o_custkey / 10000), 6) AS \"and\", round(0.3 * (o_orderkey / 1000 * 0.5) + 0.7 * exp(-0.2::DOUBLE), 6) AS scaled FROM orders WHERE o_orderkey < 500",
+        "SELECT o_orderkey, round(o_orderkey / 1000, 6) AS common, round(o_custkey / 10000, 6) AS llm, round(greatest(o_orderkey / 1000, o_custkey / 10000), 6) AS \"or\", round(0.5 * (o_orderkey / 1000) + 0.5 * (o_custkey / 10000), 6) AS \"and\", round(0.3 * (o_orderkey / 1000 * 0.5) + 0.7 * exp(-0.2::DOUBLE), 6) AS scaled FROM orders",
     ),
-    "ag29_evidence": (
+    "llm10_evidence_confidence": (
         lambda s, d: telemetry.errors(s, d).groupBy("service").agg(F.count(F.lit(1)).alias("n")).select("service", F.round(ranking.evidence_confidence(F.col("n"), F.lit(85)), 6).alias("confidence"), ranking.advice(ranking.evidence_confidence(F.col("n"), F.lit(85))).alias("advice")),
         sql("SELECT service, round(0.7 + CASE WHEN n > 10 THEN 0.3 ELSE 0 END, 6) AS confidence, CASE WHEN n > 10 THEN 'act' ELSE 'inspect' END AS advice FROM (SELECT service, count(*) AS n FROM v_errors GROUP BY 1)", "v_errors"),
     ),
+    "sc7_score_modes": (
+        lambda s, d: b.read(s, d, "orders").select(
+            "o_orderkey",
+            *[F.round(reason.score_of(m, F.col("o_orderkey") / 1000, F.lit(10), F.lit(11), F.lit(12), 0.3, 0.1, F.lit(0.5)), 6).alias(m) for m in ("origin", "transformer", "end")],
+        ),
+        "SELECT o_orderkey, round(0.3 * (o_orderkey / 1000) + 0.7 * exp(-0.2::DOUBLE), 6) AS origin, round(0.3 * (o_orderkey / 1000 * 0.5) + 0.7 * exp(-0.2::DOUBLE), 6) AS transformer, round(0.3 * (o_orderkey / 1000) + 0.7 * exp(-0.1::DOUBLE), 6) AS \"end\" FROM orders",
+    ),
+    "set4_heads_without_samples": (
+        lambda s, d: rules.heads_without(b.metrics(s, d).select(F.col("service").alias("head")), telemetry.errors(s, d).select(F.col("service").alias("head"))),
+        sql("SELECT service AS head FROM v_metrics EXCEPT SELECT service FROM v_errors", "v_metrics", "v_errors"),
+    ),
+    "set5_all_texts": (
+        lambda s, d: rules.all_texts(*[b.logs(s, d).filter(F.col("level") == level).select("message") for level in ("ERROR", "WARN")]),
+        sql("SELECT message FROM v_logs WHERE level = 'ERROR' UNION SELECT message FROM v_logs WHERE level = 'WARN'", "v_logs"),
+    ),
+    "ag29_evidence": (
+        lambda s, d: telemetry.errors(s, d).groupBy("service").agg(F.collect_list("message").alias("evidence")).select("service", F.round(ranking.total_evidence(F.array(F.size("evidence"))), 6).alias("confidence")),
+        sql("SELECT service, round(least(count(*) / 10, 1), 6) AS confidence FROM v_errors GROUP BY 1", "v_errors"),
+    ),
+    "h13_sure_service": (
+        lambda s, d: ranking.sure_service(telemetry.errors(s, d).groupBy("service").agg(F.count(F.lit(1)).alias("n")).select("service", (F.col("n") / 1000).alias("confidence")), 0.0).select("service", F.round("confidence", 6).alias("confidence")),
+        sql("SELECT service, round(count(*) / 1000, 6) AS confidence FROM v_errors GROUP BY 1 ORDER BY count(*) DESC, service LIMIT 1", "v_errors"),
+    ),
+    "h12_evidence_lookup": (
+        lambda s, d: ranking.evidence_of(telemetry.errors(s, d).select("service", F.col("seq").alias("evidence")), s.createDataFrame([("svc3",), ("svc7",), ("none",)], "service string")).select("service", F.size("evidence").alias("n")),
+        sql("SELECT x.service, CAST(count(e.service) AS INTEGER) AS n FROM (SELECT unnest(['svc3', 'svc7', 'none']) AS service) x LEFT JOIN v_errors e ON e.service = x.service GROUP BY 1", "v_errors"),
+    ),
     "tx1_token_counts": (
         lambda s, d: b.read(s, d, "documents").select("doc_id", tokens.counts(F.col("text")).alias("n")),
         r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents",

@@ -204,14 +204,15 @@ QUERIES: dict = {
 
 
 STEP = 6 * 3600
+#: The columns of the wide frame: every service and metric of the tables.
+SERIES = [f"svc{k}|{metric}" for k in range(20) for metric in ("click", "error", "purchase", "signup", "view")]
 
 
 def grid(s: SparkSession, d: str) -> DataFrame:
-    m = b.metrics(s, d).filter(F.col("service").isin("svc0", "svc1", "svc2") & (F.col("metric") != "view"))
-    return causal.resampled(causal.series_means(m), STEP)
+    return causal.resampled(causal.series_means(b.metrics(s, d)), STEP)
 
 
-_MEANS = "v_means AS (SELECT t, service || '|' || metric AS series, avg(value) AS value FROM v_metrics WHERE service IN ('svc0', 'svc1', 'svc2') AND metric <> 'view' GROUP BY 1, 2)"
+_MEANS = "v_means AS (SELECT t, service || '|' || metric AS series, avg(value) AS value FROM v_metrics GROUP BY 1, 2)"
 _GRID = (
     _MEANS
     + f""", v_filled AS (SELECT t - t % {STEP} AS t, series, avg(value) AS value FROM v_means GROUP BY 1, 2),
@@ -231,8 +232,8 @@ _FILL = "coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY series ORDER
 
 QUERIES |= {
     "ag5_wide_means": (
-        lambda s, d: causal.wide(causal.series_means(b.metrics(s, d).filter("service = 'svc1'")), ["svc1|click", "svc1|error"]).select("t", F.round("`svc1|click`", 6).alias("click"), F.round("`svc1|error`", 6).alias("error")),
-        sql("SELECT t, round(avg(value) FILTER (WHERE metric = 'click'), 6) AS click, round(avg(value) FILTER (WHERE metric = 'error'), 6) AS error FROM v_metrics WHERE service = 'svc1' GROUP BY t", "v_metrics"),
+        lambda s, d: causal.wide(causal.series_means(b.metrics(s, d)), SERIES).select("t", *[F.round(f"`{c}`", 6).alias(c) for c in SERIES]),
+        sql("SELECT t, " + ", ".join(f"round(avg(value) FILTER (WHERE service || '|' || metric = '{c}'), 6) AS \"{c}\"" for c in SERIES) + " FROM v_metrics GROUP BY t", "v_metrics"),
     ),
     "ag6_resampled": (lambda s, d: grid(s, d).select("t", "series", *R6("value")), sql("SELECT t, series, round(value, 6) AS value FROM v_grid", "v_metrics", more=_GRID)),
     "wn4_fill": (lambda s, d: causal.forward_backward(grid(s, d)).select("t", "series", *R6("value")), sql(f"SELECT t, series, round({_FILL}, 6) AS value FROM v_grid", "v_metrics", more=_GRID)),

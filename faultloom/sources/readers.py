@@ -14,8 +14,8 @@ from faultloom.functions.text import log_level, log_line, log_message
 from faultloom.functions.times import parse_time, seconds_from_any
 
 # Keys of JSON log lines; the first that is present counts.
-TIME_KEYS, SERVICE_KEYS = ("timestamp", "time", "ts", "@timestamp"), ("service", "service_name", "app", "cmdb_id")
-LEVEL_KEYS, MESSAGE_KEYS = ("level", "severity", "log_level"), ("message", "msg", "log", "value")
+TIME_KEYS, SERVICE_KEYS = ("timestamp", "time", "ts", "@timestamp"), ("service", "service_name", "svc", "component")
+LEVEL_KEYS, MESSAGE_KEYS = ("level", "severity", "lvl"), ("message", "msg", "log", "text")
 
 
 def metric_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -61,20 +62,21 @@ def service_states(events: DataFrame) -> DataFrame:
     )
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], name: str, mode: str = "update") -> StreamingQuery:
-    """Each batch goes to a folder of its own, so a batch that runs again replaces itself."""
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], name: str, mode: str = "update", checkpoint: str | None = None) -> StreamingQuery:
+    """Each batch goes to a folder of its own, so a batch that runs again replaces itself. A stream that is
+    started again with its checkpoint goes on where it ended, with its state."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return run(stream, write, name, mode)
+    return run(stream, write, name, mode, checkpoint)
 
 
-def run(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "update") -> StreamingQuery:
-    import uuid
+def run(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "update", checkpoint: str | None = None) -> StreamingQuery:
+    """Without a checkpoint folder the run is one of its own, which no later run continues."""
 
     spark = stream.sparkSession
-    place = f"{shared_folder(spark)}/faultloom-stream-{name}-{uuid.uuid4().hex}"
+    place = checkpoint or f"{shared_folder(spark)}/faultloom-stream-{name}-{uuid.uuid4().hex}"
     return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start()
 
 
@@ -87,8 +89,6 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 def drain(stream: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
     """Runs a stream over all that is there and gives its final rows by key."""
-    import uuid
-
     path = f"{shared_folder(stream.sparkSession)}/faultloom-sink-{name}-{uuid.uuid4().hex}"
     query = upsert_batches(stream, path, keys, name, mode)
     query.awaitTermination()

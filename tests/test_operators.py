@@ -33,7 +33,9 @@ def test_packing(spark):
     assert [len(r.text.split()) for r in got] == [7, 9, 2, 20, 2, 0]
     kept = tokens.trimmed(spark.createDataFrame(rows, "key string, seq int, text string"), 8).collect()
     assert sorted((r.key, r.seq) for r in kept) == [("a", 0), ("a", 1), ("b", 0)]
-    assert tokens.limit_for("some-16k-model") == 16_000 and tokens.limit_for("x") == tokens.DEFAULT_LIMIT
+    assert tokens.limit_for("gpt-3.5-turbo-16k") == 16_384
+    with pytest.raises(ValueError):
+        tokens.limit_for("x")
 
 
 def test_pc_finds_a_collider():

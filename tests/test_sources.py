@@ -29,7 +29,7 @@ def test_csv_readers(spark, tmp_path):
 
 
 def test_log_lines(spark, tmp_path):
-    lines = ['{"ts": "1614868260", "app": "pay", "severity": "warn", "msg": "slow"}', "2021-03-04T14:31:00 ERROR pay it broke", "no log line", '{"time": 1614868260000, "service": "db", "message": "exception here"}']
+    lines = ['{"ts": "1614868260", "svc": "pay", "severity": "warn", "msg": "slow"}', "2021-03-04T14:31:00 ERROR pay it broke", "no log line", '{"time": 1614868260000, "service": "db", "message": "exception here"}']
     rows = readers.log_lines(spark, put(tmp_path, "logs.jsonl", "\n".join(lines))).orderBy("raw").collect()
     assert sorted((r.time, r.service, r.level, r.message) for r in rows) == [(1614868260.0, "db", "ERROR", "exception here"), (1614868260.0, "pay", "ERROR", "it broke"), (1614868260.0, "pay", "WARN", "slow")]
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-MAX_LANGUAGES = 64
+MAX_LANGUAGES = 256
 WINDOWS_PER_DOC = 4
 PAD = 0
 NEVER = np.float32(-1e4)
@@ -132,19 +132,25 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs_per_language: int = 1000
 ) -> ByteConvNet | None:
-    """A network for the languages of the rows outside the held-out fold; None if there are none."""
+    """A network for the languages of the rows outside the held-out fold; None if there are none.
+
+    At most max_docs_per_language rows of each language, by the hash of their id, are learned from. More than
+    MAX_LANGUAGES languages are an error, as their samples and filters are held on the driver.
+    """
     narrow = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     narrow = narrow.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    labels = sorted(r["lang"] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    labels = sorted(r["lang"] for r in narrow.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())
+    if len(labels) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not labels:
         return None
     one = lambda lang: narrow.filter(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(max_docs_per_language)
     picked = reduce(DataFrame.union, [one(lang) for lang in labels]).distinct()
     step = F.greatest(F.length("text") - WINDOW, F.lit(0)) / F.lit(WINDOWS_PER_DOC - 1)
     cuts = [F.substr(F.col("text"), (F.floor(step * k) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_PER_DOC)]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    rows = texts.join(F.broadcast(picked), "id").select("lang", F.array_distinct(F.array(*cuts)).alias("cuts"))
-    rows = rows.limit(max_docs_per_language * len(labels)).collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    rows = texts.join(F.broadcast(picked), ["id", "lang"]).select("lang", F.array_distinct(F.array(*cuts)).alias("cuts"))
+    rows = rows.orderBy(F.xxhash64("lang", "cuts"), "lang", "cuts").limit(max_docs_per_language * len(labels)).collect()  # ids may repeat
     samples = sorted((r["lang"], c) for r in rows for c in r["cuts"] if c)
     if not samples:
         return None

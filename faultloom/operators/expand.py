@@ -9,6 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultloom.operators.quads import query_times, query_windows
+
+
+def latest_objects(queries: DataFrame, quads: DataFrame, window: int) -> DataFrame:
+    """(query_id, q_t, cand, t): the latest time of each object in each query's window. A window follows from
+    the time alone, so windows are built once for each distinct time and then dealt to its queries."""
+    windows = query_windows(query_times(queries), quads, window)
+    last = windows.groupBy("q_t", F.col("e_o").alias("cand")).agg(F.max("e_t").alias("t"))
+    return queries.select("query_id", F.col("t").alias("q_t")).join(last, "q_t").select("query_id", "q_t", "cand", "t")
+
+
+def window_recency(queries: DataFrame, quads: DataFrame, window: int) -> DataFrame:
+    """recency of all objects of each query's window."""
+    return latest_objects(queries, quads, window).select("query_id", "cand", (1.0 / (F.col("q_t") - F.col("t"))).alias("score"))
+
 
 def recency(windowed: DataFrame) -> DataFrame:
     """1 / (q_t - latest t) a candidate."""
@@ -39,26 +54,24 @@ def normalized(scores: DataFrame) -> DataFrame:
     return s.withColumn("score", (F.col("score") - F.col("_lo")) / span).drop("_lo", "_hi")
 
 
-def neighbour_frequency(windowed_edges: DataFrame, queries: DataFrame) -> DataFrame:
+def neighbour_frequency(near: DataFrame, queries: DataFrame, otherwise: DataFrame) -> DataFrame:
     """How often each entity is the other end of a fact of the query's subject in its window, in either
-    direction; queries without such facts get the recency of all objects of their window.
+    direction; queries without such facts get their scores of ``otherwise`` (say, ``window_recency``).
 
-    windowed_edges (query_id, q_t, e_s, e_o, e_t); queries (query_id, s).
+    near (query_id, q_t, e_s, e_o, e_t) has at least the facts of the subject; queries (query_id, s).
     """
-    w = windowed_edges.join(queries.select("query_id", "s"), "query_id")
-    near = w.filter("e_s = s").select("query_id", F.col("e_o").alias("cand")).union(w.filter("e_o = s").select("query_id", "e_s"))
-    counted = near.groupBy("query_id", "cand").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    rest = windowed_edges.join(counted.select("query_id").distinct(), "query_id", "left_anti")
-    fallback = recency(rest.select("query_id", "q_t", F.col("e_o").alias("cand"), F.col("e_t").alias("t")))
-    return counted.unionByName(fallback)
+    w = near.join(queries.select("query_id", "s"), "query_id")
+    ends = w.filter("e_s = s").select("query_id", F.col("e_o").alias("cand")).union(w.filter("e_o = s").select("query_id", "e_s"))
+    counted = ends.groupBy("query_id", "cand").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return counted.unionByName(otherwise.join(counted.select("query_id").distinct(), "query_id", "left_anti"))
 
 
-def neighbour_recency(windowed_edges: DataFrame, queries: DataFrame, weight: float, by: str = "s") -> DataFrame:
+def neighbour_recency(near: DataFrame, queries: DataFrame, weight: float, by: str = "s") -> DataFrame:
     """weight / (q_t - t) of the latest fact with each neighbour: of the query's subject (by ``s``), or of
-    any fact of its relation, either end (by ``r``)."""
-    w = windowed_edges.join(queries.select("query_id", F.col("s").alias("q_s"), F.col("r").alias("q_r")), "query_id")
-    forth = w.filter("e_s = q_s" if by == "s" else "e_r = q_r").select("query_id", "q_t", F.col("e_o").alias("cand"), F.col("e_t").alias("t"))
-    back = w.filter("e_o = q_s" if by == "s" else "e_r = q_r").select("query_id", "q_t", F.col("e_s").alias("cand"), F.col("e_t").alias("t"))
+    any fact of its relation, either end (by ``r``). near has at least these facts."""
+    w = near.join(queries.select("query_id", F.col(by).alias("key")), "query_id")
+    forth = w.filter("e_s = key" if by == "s" else "e_r = key").select("query_id", "q_t", F.col("e_o").alias("cand"), F.col("e_t").alias("t"))
+    back = w.filter("e_o = key" if by == "s" else "e_r = key").select("query_id", "q_t", F.col("e_s").alias("cand"), F.col("e_t").alias("t"))
     return recency(forth.unionByName(back)).withColumn("score", F.col("score") * weight)
 
 

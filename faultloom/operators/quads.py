@@ -52,13 +52,34 @@ def pair_history(quads: DataFrame, at: int, window: int, s: int, o: int) -> Data
 
 
 def query_windows(queries: DataFrame, quads: DataFrame, window: int) -> DataFrame:
-    """Each query's history (t - window <= e.t < t), as (query_id, e_s, e_r, e_o, e_t).
+    """Each query's history (t - window <= e.t < t), as (query_id, q_t, e_s, e_r, e_o, e_t).
 
-    The range join is an equality join on time buckets as wide as the window: a query looks into two.
+    The range join is an equality join on time buckets as wide as the window: a query looks into two. The
+    rows are the product of queries and windows, so pass ``query_times`` where only the time matters (each
+    fact is then in at most ``window`` rows), and take ``near_facts`` where the query's own facts do.
     """
-    q = queries.select("query_id", F.col("t").alias("q_t"), F.explode(F.array(F.floor(F.col("t") / window), F.floor(F.col("t") / window) - 1)).alias("bucket"))
-    e = quads.select(F.col("s").alias("e_s"), F.col("r").alias("e_r"), F.col("o").alias("e_o"), F.col("t").alias("e_t"), F.floor(F.col("t") / window).alias("bucket"))
-    return q.join(e, "bucket").filter((F.col("e_t") < F.col("q_t")) & (F.col("e_t") >= F.col("q_t") - window)).drop("bucket")
+    return _in_window(queries.select("query_id", "t"), quads, window)
+
+
+def _in_window(queries: DataFrame, facts: DataFrame, window: int, *keys: str) -> DataFrame:
+    slot = F.floor(F.col("t") / window)
+    q = queries.withColumn("bucket", F.explode(F.array(slot, slot - 1))).withColumnRenamed("t", "q_t")
+    e = facts.select(F.col("s").alias("e_s"), F.col("r").alias("e_r"), F.col("o").alias("e_o"), F.col("t").alias("e_t"), slot.alias("bucket"))
+    return q.join(e, ["bucket", *keys]).filter((F.col("e_t") < F.col("q_t")) & (F.col("e_t") >= F.col("q_t") - window)).select("query_id", "q_t", "e_s", "e_r", "e_o", "e_t")
+
+
+def query_times(queries: DataFrame) -> DataFrame:
+    """One query for each distinct time (query_id, t): the id is the time. These are as few as the times are."""
+    return queries.select(F.col("t").cast("long").alias("query_id"), "t").distinct()
+
+
+def near_facts(queries: DataFrame, quads: DataFrame, window: int, by: str = "s") -> DataFrame:
+    """The part of ``query_windows`` that has the query's subject at either end (by ``s``, each fact once), or
+    its relation (by ``r``), joined on that key as well as on time."""
+    if by == "r":
+        return _in_window(queries.select("query_id", "t", F.col("r").alias("e_r")), quads, window, "e_r")
+    ends = [_in_window(queries.select("query_id", "t", F.col("s").alias(end)), quads, window, end) for end in ("e_s", "e_o")]
+    return ends[0].unionByName(ends[1].filter("e_s <> e_o"))
 
 
 def neighbours(quads: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ N_REL = 5
 FOLD = 1000
 GAP = 30
 WINDOW = 200
-Q_FROM, Q_TO = 3180, 3185  # queries: test facts of these days
+NEAR = 30
 
 
 def splits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,20 +54,32 @@ def _qid() -> Column:
 
 
 def queries_at(s: SparkSession, d: str) -> DataFrame:
-    """Test facts of a few days as queries (query_id, s, r, o, t)."""
-    q = splits(s, d)[2].filter(F.col("t").between(Q_FROM, Q_TO))
-    return q.withColumn("query_id", _qid())
+    """All test facts as queries (query_id, s, r, o, t)."""
+    return splits(s, d)[2].withColumn("query_id", _qid())
 
 
-_Q = f"v_q AS (SELECT ((CAST(s AS BIGINT) * 10 + r) * 10000000 + o) * 10000 + t AS query_id, s, r, o, t FROM v_test WHERE t BETWEEN {Q_FROM} AND {Q_TO})"
+def stated(s: SparkSession, d: str) -> DataFrame:
+    """The query set of searches whose result is every object of a window: subjects divisible by 100, against all facts."""
+    return queries_at(s, d).filter("s % 100 = 0")
 
 
-def applied(s: SparkSession, d: str) -> DataFrame:
+def relations_at(s: SparkSession, d: str) -> DataFrame:
+    """One query for each distinct (r, t) of the test facts."""
+    return queries_at(s, d).select((F.col("t").cast("long") * 10 + F.col("r")).alias("query_id"), "r", "t").distinct()
+
+
+_Q = "v_q AS (SELECT ((CAST(s AS BIGINT) * 10 + r) * 10000000 + o) * 10000 + t AS query_id, s, r, o, t FROM v_test)"
+_STATED = _Q[:-1] + " WHERE s % 100 = 0)"
+_TIMES = "v_q AS (SELECT DISTINCT CAST(t AS BIGINT) AS query_id, t FROM v_test)"
+_RELATIONS = "v_q AS (SELECT DISTINCT CAST(t AS BIGINT) * 10 + r AS query_id, r, t FROM v_test)"
+
+
+def applied(s: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
     """Scores of the single-relation rules r <- r and r <- r' (a fixed table of confidences)."""
     heads = [(h * 10 + k, h, body, None, 0.9 - 0.1 * k - 0.01 * h) for h in range(N_REL) for k, body in enumerate((h, (h + 1) % N_REL))]
     heads += [(h * 10 + 5, h, h, (h + 5), 0.35) for h in range(N_REL)]
     table = s.createDataFrame(heads, "rule_id int, head_rel int, b0 int, b1 int, conf double")
-    return reason.apply_rules(queries_at(s, d), table, quads.with_inverse(b.quads(s, d), N_REL), WINDOW)
+    return reason.apply_rules(queries_at(s, d) if asked is None else asked, table, quads.with_inverse(b.quads(s, d), N_REL), WINDOW)
 
 
 _APPLIED = (
@@ -83,30 +95,39 @@ v_cands AS (SELECT query_id, cand, 1 - product(1 - score) AS score FROM v_scores
 )
 
 
-def cands(s: SparkSession, d: str) -> DataFrame:
-    return reason.combine(applied(s, d))
+def cands(s: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
+    return reason.combine(applied(s, d, asked))
 
 
-def windowed(s: SparkSession, d: str, days: int = 30) -> DataFrame:
-    return quads.query_windows(queries_at(s, d), b.quads(s, d), days)
+def windowed(s: SparkSession, d: str) -> DataFrame:
+    """One window for each distinct time of the test facts."""
+    return quads.query_windows(quads.query_times(queries_at(s, d)), b.quads(s, d), NEAR)
 
 
-_WIN = "v_win AS (SELECT query_id, q.t AS q_t, e.s AS e_s, e.r AS e_r, e.o AS e_o, e.t AS e_t FROM v_q q JOIN v_quads e ON e.t < q.t AND e.t >= q.t - 30)"
+_WIN = f"v_win AS (SELECT query_id, q.t AS q_t, e.s AS e_s, e.r AS e_r, e.o AS e_o, e.t AS e_t FROM v_q q JOIN v_quads e ON e.t < q.t AND e.t >= q.t - {NEAR})"
 _REC = _WIN + ", v_rec AS (SELECT query_id, e_o AS cand, 1.0 / (any_value(q_t) - max(e_t)) AS score FROM v_win GROUP BY 1, 2)"
 
 
 def recent(s: SparkSession, d: str) -> DataFrame:
-    return expand.recency(windowed(s, d).select("query_id", "q_t", F.col("e_o").alias("cand"), F.col("e_t").alias("t")))
+    return expand.window_recency(quads.query_times(queries_at(s, d)), b.quads(s, d), NEAR)
+
+
+def recent_stated(s: SparkSession, d: str) -> DataFrame:
+    return expand.window_recency(stated(s, d), b.quads(s, d), NEAR)
+
+
+def cands_stated(s: SparkSession, d: str) -> DataFrame:
+    return cands(s, d, stated(s, d))
 
 
-def near(s: SparkSession, d: str, by: str = "s") -> DataFrame:
-    return expand.neighbour_recency(windowed(s, d), queries_at(s, d), 0.5, by)
+def near(s: SparkSession, d: str, asked: DataFrame, by: str = "s") -> DataFrame:
+    return expand.neighbour_recency(quads.near_facts(asked, b.quads(s, d), NEAR, by), asked, 0.5, by)
 
 
 R = lambda df: df.select("query_id", "cand", F.round("score", 6).alias("score"))
 _R = "SELECT query_id, cand, round(score, 6) AS score FROM "
 _BOTH = "v_both AS (SELECT coalesce(c.query_id, r.query_id) AS query_id, coalesce(c.cand, r.cand) AS cand, c.score AS a, r.score AS b FROM v_cands c FULL JOIN v_rec r ON c.query_id = r.query_id AND c.cand = r.cand)"
-_EXP = _APPLIED + ", " + _REC + ", " + _BOTH
+_EXP = _APPLIED.replace(_Q, _STATED) + ", " + _REC + ", " + _BOTH
 _NORM = "(SELECT query_id, cand, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS score FROM {} WINDOW w AS (PARTITION BY query_id))"
 _KNOWN = "v_left AS (SELECT c.* FROM v_cands c WHERE NOT EXISTS (SELECT 1 FROM v_q q JOIN v_quads f ON f.s = q.s AND f.r = q.r AND f.t = q.t WHERE q.query_id = c.query_id AND f.o = c.cand AND f.o <> q.o))"
 _RANKS = _APPLIED + ", " + _KNOWN + ", v_num AS (SELECT count(*) AS n FROM (SELECT s FROM v_quads UNION SELECT o FROM v_quads)), v_rank AS (SELECT query_id, cand AS o, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS best, count(*) OVER (PARTITION BY query_id, score) AS ties FROM (SELECT query_id, cand, round(score, 9) AS score FROM v_left)), v_ranks AS (SELECT q.query_id, coalesce(best, n) AS best, CAST(coalesce(floor((best - 1 + best + ties - 2) / 2) + 1, n) AS BIGINT) AS average, coalesce(best + ties - 1, n) AS worst FROM v_q q CROSS JOIN v_num LEFT JOIN v_rank r ON r.query_id = q.query_id AND r.o = q.o)"
@@ -133,8 +154,7 @@ def _encoded(s: SparkSession, d: str) -> DataFrame:
 
 def _cyclic(s: SparkSession, d: str) -> DataFrame:
     """Rules of all cyclic walks of three hops, with how many walks make each."""
-    q = learned(s, d).filter(F.col("t").between(1100, 1400))
-    w = walks.cyclic_walks(q, N_REL, 2, GAP)
+    w = walks.cyclic_walks(learned(s, d), N_REL, 2, GAP)
     made = w.select(rules.rule_from_walk(F.col("entities"), F.col("relations"), N_REL).alias("rule"))
     return made.groupBy(F.col("rule.head_rel").alias("head_rel"), F.array_join("rule.body_rels", ",").alias("body")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -148,8 +168,7 @@ def _cosine(s: SparkSession, d: str) -> DataFrame:
 
 
 def _subgraph(s: SparkSession, d: str) -> DataFrame:
-    q = b.quads(s, d).filter(F.col("t") < 1500)
-    return quads.enclosing_subgraph(q, 1, 1_000_001, 1, union=True)
+    return quads.enclosing_subgraph(b.quads(s, d), 1, 1_000_001, 1, union=True)
 
 
 def _closed(s: SparkSession, d: str) -> DataFrame:
@@ -159,7 +178,7 @@ def _closed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _product(s: SparkSession, d: str) -> DataFrame:
-    t = learned(s, d).filter(F.col("t").between(1100, 1400)).select("s", "r", "o").distinct()
+    t = learned(s, d).select("s", "r", "o").distinct()
     bodies = s.createDataFrame([(0, 5, 0.5), (1, 6, 0.25), (2, 7, 0.125)], "b0 int, b1 int, conf double")
     return rules.body_product(t, bodies).select("h", "t", F.round("score", 6).alias("score"))
 
@@ -187,7 +206,7 @@ QUERIES: dict = {
     "jn14_first_relation": (lambda s, d: quads.first_relation(splits(s, d)[1]), sql("SELECT s, o, min(r) AS r FROM v_valid GROUP BY 1, 2", "v_valid")),
     "jn8_query_windows": (
         lambda s, d: windowed(s, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("e_t").alias("t0"), F.max("e_t").alias("t1")),
-        sql("SELECT query_id, count(*) AS n, min(e_t) AS t0, max(e_t) AS t1 FROM v_win GROUP BY 1", "v_quads", "v_test", more=f"{_Q}, {_WIN}"),
+        sql("SELECT query_id, count(*) AS n, min(e_t) AS t0, max(e_t) AS t1 FROM v_win GROUP BY 1", "v_quads", "v_test", more=f"{_TIMES}, {_WIN}"),
     ),
     "ag8_rule_confidence": (found_rules, sql("SELECT * FROM v_rules", "v_train", more=_RULES)),
     "flt8_rule_filter": (
@@ -217,7 +236,7 @@ QUERIES: dict = {
         _cyclic,
         sql(
             "SELECT a.r AS head_rel, (CASE WHEN m.r < 5 THEN m.r + 5 ELSE m.r - 5 END)::VARCHAR || ',' || (CASE WHEN l.r < 5 THEN l.r + 5 ELSE l.r - 5 END)::VARCHAR AS body, count(*) AS n FROM v_q a JOIN v_q l ON l.s = a.o AND l.t < a.t AND a.t - l.t <= 30 JOIN v_q m ON m.s = l.o AND m.o = a.s AND m.t <= l.t AND l.t - m.t <= 30 AND NOT (m.r = (CASE WHEN l.r < 5 THEN l.r + 5 ELSE l.r - 5 END) AND m.t = l.t AND m.o = l.s) GROUP BY 1, 2",
-            "v_train", more=_INV + ", v_q AS (SELECT * FROM v_inv WHERE t BETWEEN 1100 AND 1400)",
+            "v_train", more=_INV + ", v_q AS (SELECT * FROM v_inv)",
         ),
     ),
     "grf26_closed_paths": (
@@ -228,16 +247,16 @@ QUERIES: dict = {
         ),
     ),
     "grf28_neighbourhood": (
-        lambda s, d: quads.hop_neighbourhood(b.quads(s, d).filter(F.col("t") < 1500), s.createDataFrame([(1,)], "id int"), 2),
-        sql("SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT 1 AS id, 0 AS hop UNION ALL SELECT b, 1 FROM v_b WHERE a = 1 UNION ALL SELECT y.b, 2 FROM v_b x JOIN v_b y ON y.a = x.b WHERE x.a = 1) GROUP BY 1", "v_quads", more="v_b AS (SELECT DISTINCT s AS a, o AS b FROM v_quads WHERE t < 1500 UNION SELECT o, s FROM v_quads WHERE t < 1500)"),
+        lambda s, d: quads.hop_neighbourhood(b.quads(s, d), s.createDataFrame([(1,)], "id int"), 2),
+        sql("SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT 1 AS id, 0 AS hop UNION ALL SELECT b, 1 FROM v_b WHERE a = 1 UNION ALL SELECT y.b, 2 FROM v_b x JOIN v_b y ON y.a = x.b WHERE x.a = 1) GROUP BY 1", "v_quads", more="v_b AS (SELECT DISTINCT s AS a, o AS b FROM v_quads UNION SELECT o, s FROM v_quads)"),
     ),
     "grf29_enclosing_subgraph": (
         _subgraph,
-        sql("SELECT * FROM v_quads WHERE t < 1500 AND s IN (SELECT id FROM v_n) AND o IN (SELECT id FROM v_n)", "v_quads", more="v_b AS (SELECT DISTINCT s AS a, o AS b FROM v_quads WHERE t < 1500 UNION SELECT o, s FROM v_quads WHERE t < 1500), v_n AS (SELECT 1 AS id UNION SELECT 1000001 UNION SELECT b FROM v_b WHERE a IN (1, 1000001))"),
+        sql("SELECT * FROM v_quads WHERE s IN (SELECT id FROM v_n) AND o IN (SELECT id FROM v_n)", "v_quads", more="v_b AS (SELECT DISTINCT s AS a, o AS b FROM v_quads UNION SELECT o, s FROM v_quads), v_n AS (SELECT 1 AS id UNION SELECT 1000001 UNION SELECT b FROM v_b WHERE a IN (1, 1000001))"),
     ),
     "jn15_body_product": (
         _product,
-        sql("SELECT a.s AS h, b.o AS t, round(sum(CASE a.r WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0.125 END), 6) AS score FROM v_d a JOIN v_d b ON b.s = a.o AND b.r = a.r + 5 WHERE a.r < 3 GROUP BY 1, 2", "v_train", more=_INV + ", v_d AS (SELECT DISTINCT s, r, o FROM v_inv WHERE t BETWEEN 1100 AND 1400)"),
+        sql("SELECT a.s AS h, b.o AS t, round(sum(CASE a.r WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0.125 END), 6) AS score FROM v_d a JOIN v_d b ON b.s = a.o AND b.r = a.r + 5 WHERE a.r < 3 GROUP BY 1, 2", "v_train", more=_INV + ", v_d AS (SELECT DISTINCT s, r, o FROM v_inv)"),
     ),
     "grf30_rule_scores": (lambda s, d: applied(s, d).select("query_id", "rule_id", "cand", F.round("score", 6).alias("score")), sql("SELECT query_id, rule_id, cand, round(score, 6) AS score FROM v_scores", "v_quads", "v_test", more=_APPLIED)),
     "jn6_frontier": (
@@ -266,55 +285,55 @@ QUERIES: dict = {
         lambda s, d: evaluate.hits_and_mrr(ranks(s, d)).select(*[F.round(c, 9).alias(c) for c in ("hits1", "hits3", "hits10", "mrr")], "n"),
         sql("SELECT round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END), 9) AS hits1, round(avg(CASE WHEN best <= 3 THEN 1.0 ELSE 0.0 END), 9) AS hits3, round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0.0 END), 9) AS hits10, round(avg(1 / best), 9) AS mrr, count(*) AS n FROM v_ranks", "v_quads", "v_test", more=_RANKS),
     ),
-    "jn10_blend": (lambda s, d: R(evaluate.blend(cands(s, d), recent(s, d), 0.7)), sql("SELECT query_id, cand, round(0.7 * coalesce(a, 0) + (1 - 0.7) * coalesce(b, 0), 6) AS score FROM v_both", "v_quads", "v_test", more=_EXP)),
-    "ag19_recency": (lambda s, d: R(recent(s, d)), sql(_R + "v_rec", "v_quads", "v_test", more=f"{_Q}, {_REC}")),
+    "jn10_blend": (lambda s, d: R(evaluate.blend(cands_stated(s, d), recent_stated(s, d), 0.7)), sql("SELECT query_id, cand, round(0.7 * coalesce(a, 0) + (1 - 0.7) * coalesce(b, 0), 6) AS score FROM v_both", "v_quads", "v_test", more=_EXP)),
+    "ag19_recency": (lambda s, d: R(recent(s, d)), sql(_R + "v_rec", "v_quads", "v_test", more=f"{_TIMES}, {_REC}")),
     "ag20_scaled_recency": (
         lambda s, d: R(expand.rescaled(recent(s, d), 0.1, 0.8)),
-        sql("SELECT query_id, cand, round(CASE WHEN hi <> lo THEN 0.1 + (score - lo) * (0.8 - 0.1) / (hi - lo) ELSE 0.1 END, 6) AS score FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM v_rec)", "v_quads", "v_test", more=f"{_Q}, {_REC}"),
+        sql("SELECT query_id, cand, round(CASE WHEN hi <> lo THEN 0.1 + (score - lo) * (0.8 - 0.1) / (hi - lo) ELSE 0.1 END, 6) AS score FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM v_rec)", "v_quads", "v_test", more=f"{_TIMES}, {_REC}"),
     ),
     "ag21_neighbour_frequency": (
-        lambda s, d: R(expand.neighbour_frequency(windowed(s, d), queries_at(s, d))),
-        sql(_R + "(SELECT query_id, cand, CAST(count(*) AS DOUBLE) AS score FROM v_near GROUP BY 1, 2 UNION ALL SELECT * FROM v_rec WHERE query_id NOT IN (SELECT query_id FROM v_near))", "v_quads", "v_test", more=f"{_Q}, {_REC}, v_near AS (SELECT w.query_id, e_o AS cand FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_s = q.s UNION ALL SELECT w.query_id, e_s FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_o = q.s)"),
+        lambda s, d: R(expand.neighbour_frequency(quads.near_facts(stated(s, d), b.quads(s, d), NEAR), stated(s, d), recent_stated(s, d))),
+        sql(_R + "(SELECT query_id, cand, CAST(count(*) AS DOUBLE) AS score FROM v_near GROUP BY 1, 2 UNION ALL SELECT * FROM v_rec WHERE query_id NOT IN (SELECT query_id FROM v_near))", "v_quads", "v_test", more=f"{_STATED}, {_REC}, v_near AS (SELECT w.query_id, e_o AS cand FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_s = q.s UNION ALL SELECT w.query_id, e_s FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_o = q.s)"),
     ),
     "ag22_neighbour_recency": (
-        lambda s, d: R(near(s, d, "r")),
-        sql("SELECT query_id, cand, round(0.5 / (any_value(q_t) - max(t)), 6) AS score FROM (SELECT w.query_id, q_t, e_o AS cand, e_t AS t FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_r = q.r UNION ALL SELECT w.query_id, q_t, e_s, e_t FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_r = q.r) GROUP BY 1, 2", "v_quads", "v_test", more=f"{_Q}, {_WIN}"),
+        lambda s, d: R(near(s, d, relations_at(s, d), "r")),
+        sql("SELECT query_id, cand, round(0.5 / (any_value(q_t) - max(t)), 6) AS score FROM (SELECT w.query_id, q_t, e_o AS cand, e_t AS t FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_r = q.r UNION ALL SELECT w.query_id, q_t, e_s, e_t FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_r = q.r) GROUP BY 1, 2", "v_quads", "v_test", more=f"{_RELATIONS}, {_WIN}"),
     ),
     "ag23_normalized": (lambda s, d: R(expand.normalized(cands(s, d))), sql(_R + _NORM.format("v_cands"), "v_quads", "v_test", more=_APPLIED)),
-    "jn17_preferred": (lambda s, d: R(expand.prefer(recent(s, d), cands(s, d))), sql("SELECT query_id, cand, round(coalesce(a, b), 6) AS score FROM v_both", "v_quads", "v_test", more=_EXP)),
+    "jn17_preferred": (lambda s, d: R(expand.prefer(recent_stated(s, d), cands_stated(s, d))), sql("SELECT query_id, cand, round(coalesce(a, b), 6) AS score FROM v_both", "v_quads", "v_test", more=_EXP)),
     "sc8_log_expansion": (
-        lambda s, d: R(expand.expand_logged(cands(s, d), windowed(s, d).groupBy("query_id", F.col("e_o").alias("cand")).agg(F.max("e_t").alias("t")))),
+        lambda s, d: R(expand.expand_logged(cands_stated(s, d), expand.latest_objects(stated(s, d), b.quads(s, d), NEAR).select("query_id", "cand", "t"))),
         sql(
             _R + "(SELECT * FROM v_cands UNION ALL SELECT f.query_id, cand, 0.2 * (a + (b - a) * (ln(t) - ln(lo)) / (ln(hi) - ln(lo))) FROM (SELECT *, min(t) OVER (PARTITION BY query_id) AS lo, max(t) OVER (PARTITION BY query_id) AS hi FROM (SELECT query_id, e_o AS cand, max(e_t) AS t FROM v_win GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM v_cands c WHERE c.query_id = x.query_id AND c.cand = x.cand)) f JOIN (SELECT query_id, min(score) AS a, max(score) AS b FROM v_cands GROUP BY 1) g ON g.query_id = f.query_id WHERE hi <> lo)",
             "v_quads", "v_test", more=_EXP,
         ),
     ),
     "sc9_scaled_expansion": (
-        lambda s, d: R(expand.expand_scaled(cands(s, d), recent(s, d))),
+        lambda s, d: R(expand.expand_scaled(cands_stated(s, d), recent_stated(s, d))),
         sql("SELECT query_id, cand, round(coalesce(a, b * coalesce(rate, 1.0)), 6) AS score FROM v_both JOIN (SELECT query_id, min(a / b) AS rate FROM v_both GROUP BY 1) USING (query_id)", "v_quads", "v_test", more=_EXP),
     ),
     "sc10_blended_expansion": (
-        lambda s, d: R(expand.expand_blended(cands(s, d), near(s, d).withColumn("score", F.col("score") * 2), 0.3)),
+        lambda s, d: R(expand.expand_blended(cands(s, d), near(s, d, queries_at(s, d)).withColumn("score", F.col("score") * 2), 0.3)),
         sql(
             "SELECT query_id, cand, round(CASE WHEN query_id IN (SELECT query_id FROM v_moved) THEN 0.7 * coalesce(b, 0) + 0.3 * coalesce(a, 0) ELSE a END, 6) AS score FROM (SELECT coalesce(c.query_id, m.query_id) AS query_id, coalesce(c.cand, m.cand) AS cand, c.score AS a, m.score AS b FROM v_cands c FULL JOIN v_moved m ON c.query_id = m.query_id AND c.cand = m.cand)",
             "v_quads", "v_test",
-            more=_EXP + ", v_nb AS (SELECT query_id, cand, 1.0 / (any_value(q_t) - max(t)) AS score FROM (SELECT w.query_id, q_t, e_o AS cand, e_t AS t FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_s = q.s UNION ALL SELECT w.query_id, q_t, e_s, e_t FROM v_win w JOIN v_q q ON q.query_id = w.query_id AND e_o = q.s) GROUP BY 1, 2), v_moved AS (SELECT query_id, cand, CASE WHEN hi <> lo THEN coalesce(a, 0) + (score - lo) * (coalesce(b, 1) - coalesce(a, 0)) / (hi - lo) ELSE coalesce(a, 0) END AS score FROM (SELECT n.*, min(score) OVER w AS lo, max(score) OVER w AS hi, a, b FROM v_nb n LEFT JOIN (SELECT query_id, min(score) AS a, max(score) AS b, count(*) AS n FROM v_cands GROUP BY 1) g USING (query_id) WHERE g.n IS NULL OR g.n <> 1 WINDOW w AS (PARTITION BY query_id)))",
+            more=_APPLIED + f", v_nb AS (SELECT query_id, cand, 1.0 / (any_value(q_t) - max(t)) AS score FROM (SELECT query_id, q.t AS q_t, e.o AS cand, e.t FROM v_q q JOIN v_quads e ON e.s = q.s AND e.t < q.t AND e.t >= q.t - {NEAR} UNION ALL SELECT query_id, q.t, e.s, e.t FROM v_q q JOIN v_quads e ON e.o = q.s AND e.t < q.t AND e.t >= q.t - {NEAR}) GROUP BY 1, 2)" + ", v_moved AS (SELECT query_id, cand, CASE WHEN hi <> lo THEN coalesce(a, 0) + (score - lo) * (coalesce(b, 1) - coalesce(a, 0)) / (hi - lo) ELSE coalesce(a, 0) END AS score FROM (SELECT n.*, min(score) OVER w AS lo, max(score) OVER w AS hi, a, b FROM v_nb n LEFT JOIN (SELECT query_id, min(score) AS a, max(score) AS b, count(*) AS n FROM v_cands GROUP BY 1) g USING (query_id) WHERE g.n IS NULL OR g.n <> 1 WINDOW w AS (PARTITION BY query_id)))",
         ),
     ),
     "sc11_added_expansion": (
-        lambda s, d: R(expand.expand_added(cands(s, d), recent(s, d))),
+        lambda s, d: R(expand.expand_added(cands_stated(s, d), recent_stated(s, d))),
         sql("SELECT query_id, cand, round(CASE WHEN shared THEN coalesce(a, 0) ELSE 0 END + coalesce(b, 0), 6) AS score FROM v_both JOIN (SELECT query_id, bool_or(a IS NOT NULL AND b IS NOT NULL) AS shared FROM v_both GROUP BY 1) USING (query_id) WHERE shared OR b IS NOT NULL", "v_quads", "v_test", more=_EXP),
     ),
     "sc12_merged_models": (
-        lambda s, d: R(expand.merge_models(cands(s, d), recent(s, d), 0.4)),
+        lambda s, d: R(expand.merge_models(cands_stated(s, d), recent_stated(s, d), 0.4)),
         sql("SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.cand, y.cand) AS cand, round(CASE WHEN x.cand IS NOT NULL AND y.cand IS NOT NULL THEN x.score + 0.4 * y.score WHEN coalesce(x.score, 0) <> 0 THEN x.score ELSE 0.4 * coalesce(y.score, 0) END, 6) AS score FROM " + _NORM.format("v_cands") + " x FULL JOIN " + _NORM.format("v_rec") + " y ON x.query_id = y.query_id AND x.cand = y.cand", "v_quads", "v_test", more=_EXP),
     ),
     "sc13_interval_distance": (_interval, sql(f"SELECT DISTINCT t, t - {VALID_END - 1} AS distance FROM v_q", "v_test", more=_Q)),
     "sc14_unseen_subjects": (lambda s, d: quads.unseen_subjects(queries_at(s, d), splits(s, d)[1]).select("query_id"), sql("SELECT query_id FROM v_q WHERE s NOT IN (SELECT s FROM v_valid) AND s NOT IN (SELECT o FROM v_valid)", "v_valid", "v_test", more=_Q)),
     "set10_entities": (lambda s, d: quads.entities_between(b.quads(s, d), 1200, 1210), sql("SELECT s AS id FROM v_quads WHERE t >= 1200 AND t < 1210 UNION SELECT o FROM v_quads WHERE t >= 1200 AND t < 1210", "v_quads")),
     "set11_seen_candidates": (
-        lambda s, d: R(expand.keep_seen(cands(s, d), quads.entities_between(b.quads(s, d), Q_FROM - 10, Q_FROM, objects_only=True))),
-        sql(_R + f"v_cands WHERE cand IN (SELECT o FROM v_quads WHERE t >= {Q_FROM - 10} AND t < {Q_FROM})", "v_quads", "v_test", more=_APPLIED),
+        lambda s, d: R(expand.keep_seen(cands(s, d), quads.entities_between(b.quads(s, d), VALID_END - 10, VALID_END, objects_only=True))),
+        sql(_R + f"v_cands WHERE cand IN (SELECT o FROM v_quads WHERE t >= {VALID_END - 10} AND t < {VALID_END})", "v_quads", "v_test", more=_APPLIED),
     ),
     "mt2_cosine_top": (
         _cosine,

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from faultloom.operators import anomaly, causal, graph, quads, reason, rules, tokens, walks
+from faultloom.operators import anomaly, causal, expand, graph, quads, reason, rules, tokens, walks
 
 
 def test_early_stop(spark):
@@ -120,3 +120,24 @@ def test_state_after_batches():
     second = list(_states(("s",), [frame([(2, 5, "s", "error", 2.0), (3, 20, "s", "view", 3.0), (4, 21, "s", "error", 1.0)])], state))[0]
     assert (first.error_count[0], bool(first.anomalous[0])) == (4, False)
     assert (second.error_count[0], second.last_error[0], bool(second.anomalous[0])) == (6, 21, True)
+
+
+def test_windows_near_facts_and_latest_objects(spark):
+    """Against every pair of a query and a fact; repeated queries, subjects as objects, times without facts."""
+    rng = np.random.default_rng(5)
+    facts = sorted({tuple(int(x) for x in r) for r in rng.integers(0, [6, 3, 6, 60], (200, 4))})
+    asked = [(k, *(int(x) for x in r)) for k, r in enumerate(rng.integers(0, [8, 3, 90], (40, 3)))] + [(40, 1, 1, 30), (41, 1, 1, 30)]
+    q = spark.createDataFrame(asked, "query_id long, s int, r int, t int")
+    e = spark.createDataFrame(facts, "s int, r int, o int, t int")
+    pairs = [(k, t, f) for k, _, _, t in asked for f in facts if t - 7 <= f[3] < t]
+    flat = lambda rows: sorted((k, t, *f) for k, t, f in rows)
+    assert sorted(map(tuple, quads.query_windows(q, e, 7).collect())) == flat(pairs)
+    subject, relation = {k: s for k, s, _, _ in asked}, {k: r for k, _, r, _ in asked}
+    assert sorted(map(tuple, quads.near_facts(q, e, 7).collect())) == flat([x for x in pairs if subject[x[0]] in (x[2][0], x[2][2])])
+    assert sorted(map(tuple, quads.near_facts(q, e, 7, "r").collect())) == flat([x for x in pairs if relation[x[0]] == x[2][1]])
+    last = {}
+    for k, t, f in pairs:
+        last[k, t, f[2]] = max(f[3], last.get((k, t, f[2]), -1))
+    assert {(r.query_id, r.q_t, r.cand): r.t for r in expand.latest_objects(q, e, 7).collect()} == last
+    empty = q.limit(0)
+    assert quads.near_facts(empty, e, 7).isEmpty() and expand.window_recency(empty, e, 7).isEmpty()

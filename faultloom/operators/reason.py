@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,8 +102,9 @@ def early_stop(scores: DataFrame, k: int) -> DataFrame:
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
         found: dict[int, list[float]] = {}
-        for _, part in rows.sort_values(["priority", "cand"]).groupby("priority", sort=True):
-            for cand, score in zip(part["cand"].tolist(), part["score"].tolist(), strict=True):
+        scored = sorted(zip(rows["priority"].tolist(), rows["cand"].tolist(), rows["score"].tolist(), strict=True))
+        for _, part in groupby(scored, key=itemgetter(0)):
+            for _, cand, score in part:
                 found.setdefault(cand, []).append(score)
                 found[cand].sort(reverse=True)
             top = sorted(found.items(), key=lambda x: (x[1], -x[0]), reverse=True)[:k]

@@ -289,7 +289,7 @@ QUERIES: dict = {
     "ag19_recency": (lambda s, d: R(recent(s, d)), sql(_R + "v_rec", "v_quads", "v_test", more=f"{_TIMES}, {_REC}")),
     "ag20_scaled_recency": (
         lambda s, d: R(expand.rescaled(recent(s, d), 0.1, 0.8)),
-        sql("SELECT query_id, cand, round(CASE WHEN hi <> lo THEN 0.1 + (score - lo) * (0.8 - 0.1) / (hi - lo) ELSE 0.1 END, 6) AS score FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM v_rec)", "v_quads", "v_test", more=f"{_TIMES}, {_REC}"),
+        sql("SELECT query_id, cand, round(CASE WHEN hi <> lo THEN 0.1::DOUBLE + (score - lo) * (0.8::DOUBLE - 0.1::DOUBLE) / (hi - lo) ELSE 0.1 END, 6) AS score FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM v_rec)", "v_quads", "v_test", more=f"{_TIMES}, {_REC}"),
     ),
     "ag21_neighbour_frequency": (
         lambda s, d: R(expand.neighbour_frequency(quads.near_facts(stated(s, d), b.quads(s, d), NEAR), stated(s, d), recent_stated(s, d))),

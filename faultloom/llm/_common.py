@@ -7,6 +7,8 @@ import re
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,9 +57,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.faultloom_path = path
-    if not hasattr(_made, "paths"):
-        _made.paths = []
-    _made.paths.append(path)
+    if getattr(_made, "tracking", False):
+        _made.paths.append(path)
     return made
 
 
@@ -66,9 +67,22 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     _remove(spark, [t.faultloom_path for t in tables])
 
 
-def discard_all(spark: SparkSession, but: DataFrame | None = None) -> None:
-    """Removes all tables that this thread has written, but one; results that still read them are lost."""
-    _remove(spark, [p for p in getattr(_made, "paths", []) if p != getattr(but, "faultloom_path", None)])
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are of one stage: they go when this thread's next stage begins or ``end_stages``
+    is called, by when the stage's rows must be written. Tables written elsewhere stay."""
+    end_stages(spark)
+    _made.tracking = True
+    try:
+        yield
+    finally:
+        _made.tracking = False
+
+
+def end_stages(spark: SparkSession) -> None:
+    """Removes the tables of this thread's last stage."""
+    _remove(spark, getattr(_made, "paths", []))
+    _made.paths = []
 
 
 def _remove(spark: SparkSession, paths: list[str]) -> None:
@@ -76,6 +90,8 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     _made.paths = [p for p in getattr(_made, "paths", []) if p not in paths]
+    # Spark drops the shuffle files of finished jobs once the driver has collected what named them.
+    spark._jvm.System.gc()
 
 
 def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:

@@ -348,12 +348,13 @@ def _similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int
     used = written(used, "used")  # a table's size is known before the texts move
     texts = rows.join(used, "seat", "left_semi").select("text")
     made = written(texts.mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    discard(rows.sparkSession, used)
     joined = close
     for side in "ab":
         joined = joined.join(made.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set")), side)
     shared = F.size(F.array_intersect("a_set", "b_set"))
     similar = written(joined.filter(shared * (p + q) >= p * (F.size("a_set") + F.size("b_set"))).select("a", "b"), "similar")
-    discard(rows.sparkSession, close, used, made)
+    discard(rows.sparkSession, close, made)
     return similar
 
 

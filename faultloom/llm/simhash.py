@@ -43,6 +43,8 @@ SAMPLE, SLOTS = 64, 1 << 20
 MOST_SEEN = 1_000_000
 #: Rounds in which groups that meet in a cell are compared by one member each, before all pairs that are left.
 ROUNDS = 2
+#: Cells of at most FEW nodes give their pairs at once; larger ones go through the rounds first.
+FEW = 8
 HASHES_AT_ONCE = 1 << 16
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -270,7 +272,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         small = large.join(small_least, "hi")
         small = small.select(F.col("lo").alias("hi"), F.col("least").alias("lo")).union(small_least.select("hi", F.col("least").alias("lo")))
         after = written(small.filter("hi <> lo").distinct(), "links")
-        changed = after.join(now, ["hi", "lo"], "left_anti").limit(1).count() or now.join(after, ["hi", "lo"], "left_anti").limit(1).count()
+        # Both are without repeats, so they are equal if as many and one lies in the other.
+        changed = after.count() != now.count() or not after.join(now, ["hi", "lo"], "left_anti").isEmpty()
         discard(edges.sparkSession, now)
         now = after
         if not changed:
@@ -341,7 +344,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int
         pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("wide").alias(f"{side}_wide")), side)
     half = {s: F.when(F.size(f"{s}_wide") > F.size(f"{o}_wide"), _folded(f"{s}_wide")).otherwise(F.col(f"{s}_wide")) for s, o in ("ab", "ba")}
     apart = F.aggregate(F.zip_with(half["a"], half["b"], lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
-    pairs = pairs.filter(_sized("a_size", "b_size")).filter(_within(apart, "a_size", "b_size"))
+    pairs = pairs.filter(_sized(F.col("a_size"), F.col("b_size"))).filter(_within(apart, F.col("a_size"), F.col("b_size")))
     close = written(pairs.select("a", "b"), "candidates")
     used = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
     used = used.join(classes.select("node", "first"), "node").select("first.seat")
@@ -381,15 +384,33 @@ def _folded(lanes: str) -> Column:
     return F.zip_with(F.slice(lanes, F.lit(1), half), F.slice(lanes, half + 1, half), lambda u, v: u.bitwiseXOR(v))
 
 
-def _sized(a: str, b: str) -> Column:
+def _sized(a: Column, b: Column) -> Column:
     """Sizes that allow a similarity of NEAR; their wide parities are of equal length or one has twice the other's."""
     return NEAR[1] * F.least(a, b) >= NEAR[0] * F.greatest(a, b)
 
 
-def _within(apart: Column, a: str, b: str) -> Column:
+def _within(apart: Column, a: Column, b: Column) -> Column:
     """Sets of a similarity of NEAR differ in so few elements."""
     p, q = NEAR
-    return apart * (p + q) <= (q - p) * (F.col(a) + F.col(b))
+    return apart * (p + q) <= (q - p) * (a + b)
+
+
+def _lanes_apart(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(n)).bitwiseXOR(F.get(b, F.lit(n)))) for n in range(LANES)), F.lit(0))
+
+
+def _pairs_of_few(sized: DataFrame) -> DataFrame:
+    """The pairs (a, b) of unlike groups within cells of at most FEW nodes that size and lanes don't rule out."""
+
+    def partners(m: Column) -> Column:
+        def fits(a: Column, b: Column) -> Column:
+            near = (a["node"] < b["node"]) & (a["root"] != b["root"]) & _sized(a["size"], b["size"])
+            return near & _within(_lanes_apart(a["lanes"], b["lanes"]), a["size"], b["size"])
+
+        return F.flatten(F.transform(m, lambda a: F.transform(F.filter(m, lambda b: fits(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b")))))
+
+    met = sized.groupBy("cell").agg(F.collect_list(F.struct("node", "root", "size", "lanes")).alias("m"))
+    return met.select(F.explode(partners(F.col("m"))).alias("x")).select("x.*").distinct()
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -398,7 +419,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are near-duplicates at a similarity (Jaccard, sets of shingles) of 0.8 or more; groups are the
     components of those links, each of them decided by the sets. Equal sets are one node. Each set goes to
     the cells of its leading shingles, so similar sets meet in one. Each node is compared first with the
-    one that it follows in most cells. Then, in ROUNDS rounds, groups that meet in a cell are compared by
+    one that it follows in most cells, then cells of few nodes pair by pair. Then, in ROUNDS rounds, groups that meet in a larger cell are compared by
     one member each, drawn anew for each cell, each group with the next one: a group of very many near copies becomes
     one without giving its pairs. What is still apart after that is compared pair by pair.
     """
@@ -440,12 +461,22 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tree = written(components(linked), "tree")
     discard(spark, linked)
 
-    cells = shared.select("cell", "node")
+    def open_cells(cells: DataFrame) -> DataFrame:
+        """Cells whose nodes are not of one group yet, n nodes each."""
+        left = cells.select("cell", "node").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = left.withColumn("lo", F.min("root").over(all_of)).withColumn("hi", F.max("root").over(all_of))
+        return written(left.withColumn("n", F.count(F.lit(1)).over(all_of)).filter("lo <> hi").select("cell", "node", "root", "n"), "open")
+
+    sketch = classes.select("node", "size", "lanes")
+    left = open_cells(shared)
+    discard(spark, shared)
+    linked = _similar(_pairs_of_few(left.filter(F.col("n") <= FEW).join(sketch, "node")), classes, rows, shingle)
+    now = written(components(linked.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))), "tree")
+    discard(spark, linked, tree)
+    tree, cells = now, left.filter(F.col("n") > FEW)
     for k in range(ROUNDS + 1):
-        roots = classes.select("node", "size", "lanes").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        left = cells.join(roots.select("node", "root"), "node")
-        left = left.withColumn("lo", F.min("root").over(all_of)).withColumn("hi", F.max("root").over(all_of)).filter("lo <> hi").select("cell", "node", "root")
-        left = written(left, "open")
+        left, before = open_cells(cells), left
+        discard(spark, before)
         if left.isEmpty():
             break
         if k < ROUNDS:
@@ -453,11 +484,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             order = Window.partitionBy("cell").orderBy(F.xxhash64("root", "cell", F.lit(k)), "root")
             meet = member.withColumn("a", F.lag("b").over(order)).filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            sized = left.join(roots.select("node", "size", "lanes"), "node")
+            sized = left.join(sketch, "node")
             x, y = (sized.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "size", "lanes")]) for side in "ab")
-            meet = x.join(y, "cell").filter("a_node < b_node AND a_root <> b_root").filter(_sized("a_size", "b_size"))
-            apart = sum((F.bit_count(F.get("a_lanes", F.lit(n)).bitwiseXOR(F.get("b_lanes", F.lit(n)))) for n in range(LANES)), F.lit(0))
-            meet = meet.filter(_within(apart, "a_size", "b_size")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+            meet = x.join(y, "cell").filter("a_node < b_node AND a_root <> b_root").filter(_sized(F.col("a_size"), F.col("b_size")))
+            apart = _lanes_apart(F.col("a_lanes"), F.col("b_lanes"))
+            meet = meet.filter(_within(apart, F.col("a_size"), F.col("b_size"))).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
         linked, cells = _similar(meet, classes, rows, shingle), left.select("cell", "node")
         if linked.isEmpty():
             continue
@@ -471,7 +502,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rows that go are fewer than those that stay: a table of known size, which Spark broadcasts if it is small.
     odd = seats.join(stays, "seat", "left").filter("stays is null or n > 1").select(F.col("seat").alias("_near_seat"), "stays")
     odd = written(odd, "odd")
-    for t in (made, classes, shared, tree):
+    for t in (made, classes, tree):
         discard(spark, t)
     seated = docs.withColumn("_near_seat", _seat(F.col(id_col), text))
     kept = seated.join(odd.select("_near_seat"), "_near_seat", "left_anti")

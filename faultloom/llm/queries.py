@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import decontaminate, language_id, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filter
+from faultloom.llm import collocations, decontaminate, fill_in_middle, html_text, language_id, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filter
 from faultloom.llm._common import table
 
 
@@ -61,6 +61,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    output = F.sha2("output", 256).alias("output_sha256")
+    restored = F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", output, restored)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -73,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,
+        "op11_collocations": op11_collocations,
+        "op12_html_extraction": op12_html_extraction,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -81,4 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.ORACLE_SQL,
         "op8_decontamination": decontaminate.ORACLE_SQL,
         "op10_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_collocations": collocations.ORACLE_SQL,
+        "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }

@@ -35,9 +35,11 @@ from faultloom.llm._common import LOWER, UPPER, written
 
 NO_LANG = "und"
 MARKS = ".,;:!?\n\x0b\x0c\r"
-SHARD_WORDS = 3_000_000
-SHARD_VOCABULARY = 1_000_000
-TEXT_BYTES = 4 << 20
+SHARD_WORDS = 1_000_000
+SHARD_VOCABULARY = 300_000
+TEXT_BYTES = 1 << 20
+ROWS_AT_ONCE = 256
+ROWS_OUT = 50_000
 SLICES = 32  # of a language, in the first of two steps to its highest ranks
 
 _CUT = b"\xff"  # no byte of UTF-8
@@ -137,10 +139,10 @@ def _sequences(shard: _Shard, length: int, table: np.ndarray | None) -> Iterator
     hashes = None if table is None else np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in shard.codes), np.uint64, len(shard.codes))
 
     def made(lang: str, phrases: pa.Array, k: int, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(phrases), 100_000):
-            part = phrases.slice(at, 100_000)
+        for at in range(0, len(phrases), ROWS_OUT):
+            part = phrases.slice(at, ROWS_OUT)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(part)), part.cast(pa.string()), pa.array(np.full(len(part), k, np.int32)), pa.array(f[at : at + 100_000], pa.int64())],
+                [pa.array([lang] * len(part)), part.cast(pa.string()), pa.array(np.full(len(part), k, np.int32)), pa.array(f[at : at + ROWS_OUT], pa.int64())],
                 ["lang", "phrase", "k", "f"],
             )
 
@@ -169,7 +171,7 @@ def _counted(rows: DataFrame, length: int, table: np.ndarray | None) -> DataFram
 
     def batches(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, bits = _Shard(), None if shared is None else shared.value
-        for batch in arrived:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in arrived for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             langs = batch.column(0).dictionary_encode()
             codes, texts = langs.indices.to_numpy(), batch.column(1).cast(pa.binary())
             for k, lang in enumerate(langs.dictionary.to_pylist()):

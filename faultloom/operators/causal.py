@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultloom.functions.attrs import beside
@@ -78,71 +80,149 @@ def correlations(grid: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.corr("va", "vb").alias("corr"))
 
 
-def pc(names: list[str], corr: np.ndarray, n: int, alpha: float = 0.05) -> list[tuple[str, str, str]]:
-    """(a, b, kind) edges of the stable PC algorithm by Fisher's z: ``directed`` a -> b, or ``undirected``.
+def apart(corr: np.ndarray, n: int, i: int, j: int, given: Sequence[int], alpha: float) -> bool:
+    """Whether i and j are independent given others, by Fisher's z of their partial correlation."""
+    index = [i, j, *given]
+    inv = np.linalg.pinv(corr[np.ix_(index, index)])
+    r = -inv[0, 1] / math.sqrt(max(inv[0, 0] * inv[1, 1], 1e-12))
+    r = min(max(r, -0.9999999), 0.9999999)
+    z = 0.5 * math.log((1 + r) / (1 - r)) * math.sqrt(max(n - len(given) - 3, 1))
+    return math.erfc(abs(z) / math.sqrt(2)) > alpha
 
-    Conditioning sets grow until no series has that many neighbours. The matrix is as large as the number of
-    series squared and is made by Spark; this search is on the driver.
-    """
-    k = len(names)
-    near = {i: {j for j in range(k) if j != i} for i in range(k)}
-    parted: dict[frozenset[int], set[int]] = {}
-
-    def independent(i: int, j: int, given: tuple[int, ...]) -> bool:
-        index = [i, j, *given]
-        inv = np.linalg.pinv(corr[np.ix_(index, index)])
-        r = -inv[0, 1] / math.sqrt(max(inv[0, 0] * inv[1, 1], 1e-12))
-        r = min(max(r, -0.9999999), 0.9999999)
-        z = 0.5 * math.log((1 + r) / (1 - r)) * math.sqrt(max(n - len(given) - 3, 1))
-        return math.erfc(abs(z) / math.sqrt(2)) > alpha
 
-    for size in itertools.count():
-        held = {i: set(v) for i, v in near.items()}
-        if all(len(v) <= size for v in held.values()):
-            break
-        for i, j in itertools.combinations(range(k), 2):
-            if j not in near[i]:
-                continue
-            options = itertools.chain(itertools.combinations(sorted(held[i] - {j}), size), itertools.combinations(sorted(held[j] - {i}), size))
-            for given in options:
-                if independent(i, j, given):
-                    near[i].discard(j)
-                    near[j].discard(i)
-                    parted[frozenset((i, j))] = set(given)
-                    break
-    arrows: set[tuple[int, int]] = set()
+def parting_set(corr: np.ndarray, n: int, near: np.ndarray, i: int, j: int, size: int, alpha: float) -> tuple[int, ...] | None:
+    """The first set of ``size`` neighbours of i, or else of j, given which they are independent; None if there is none."""
+    for a, b in ((i, j), (j, i)):
+        around = [int(k) for k in np.flatnonzero(near[a]) if k != b]
+        for given in itertools.combinations(around, size):
+            if apart(corr, n, i, j, given, alpha):
+                return given
+    return None
+
+
+def oriented(near: np.ndarray, parted: dict[tuple[int, int], tuple[int, ...]]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """(directed, undirected) edges of a skeleton: colliders first, then what they force."""
+    k = len(near)
+    arrow = np.zeros((k, k), bool)
     for m in range(k):
-        for i, j in itertools.combinations(sorted(near[m]), 2):
-            if j not in near[i] and m not in parted.get(frozenset((i, j)), set()):
-                arrows |= {(i, m), (j, m)}
-    undirected = {frozenset((i, j)) for i in near for j in near[i]} - {frozenset(a) for a in arrows}
+        around = np.flatnonzero(near[m])
+        for i, j in itertools.combinations(around.tolist(), 2):
+            if not near[i, j] and m not in parted.get((i, j), ()):
+                arrow[i, m] = arrow[j, m] = True
+    open_ = near & ~arrow & ~arrow.T
     moved = True
     while moved:
         moved = False
-        for pair in list(undirected):
-            for i, j in (tuple(pair), tuple(pair)[::-1]):
-                away = any(b == i and a not in near[j] and a != j for a, b in arrows)
-                around = any((i, m) in arrows and (m, j) in arrows for m in range(k))
-                if away or around:
-                    arrows.add((i, j))
-                    undirected.discard(pair)
-                    moved = True
-                    break
-    directed = {(i, j) for i, j in arrows if (j, i) not in arrows}
-    both = {tuple(sorted(a)) for a in arrows if a[::-1] in arrows} | {tuple(sorted(p)) for p in undirected}
-    return [(names[i], names[j], "directed") for i, j in sorted(directed)] + [(names[i], names[j], "undirected") for i, j in sorted(both)]
+        for i, j in np.argwhere(open_).tolist():
+            if not open_[i, j]:
+                continue
+            comes = arrow[:, i] & ~near[:, j]
+            comes[j] = False
+            if comes.any() or (arrow[i] & arrow[:, j]).any():  # away from a collider, around no circle
+                arrow[i, j] = moved = True
+                open_[i, j] = open_[j, i] = False
+    both = (arrow & arrow.T) | open_
+    return {(i, j) for i, j in np.argwhere(arrow & ~arrow.T).tolist()}, {(i, j) for i, j in np.argwhere(both).tolist() if i < j}
+
+
+def _named(names: list[str], edges: tuple[set[tuple[int, int]], set[tuple[int, int]]]) -> list[tuple[str, str, str]]:
+    return [(names[i], names[j], kind) for kind, found in zip(("directed", "undirected"), edges, strict=True) for i, j in sorted(found)]
+
+
+def pc(names: list[str], corr: np.ndarray, n: int, alpha: float = 0.05) -> list[tuple[str, str, str]]:
+    """(a, b, kind) edges of the stable PC algorithm by Fisher's z: ``directed`` a -> b, or ``undirected``.
+
+    The plain search, for a few series; ``causal_edges`` deals the tests of each level to tasks.
+    """
+    near = ~np.eye(len(names), dtype=bool)
+    parted: dict[tuple[int, int], tuple[int, ...]] = {}
+    for size in itertools.count():
+        if near.sum(axis=1).max(initial=0) <= size:
+            break
+        held = near.copy()
+        for i, j in np.argwhere(np.triu(held)).tolist():
+            given = parting_set(corr, n, held, i, j, size, alpha)
+            if given is not None:
+                near[i, j] = near[j, i] = False
+                parted[i, j] = given
+    return _named(names, oriented(near, parted))
+
+
+def _level(spark: SparkSession, corr: np.ndarray, n: int, near: np.ndarray, size: int, alpha: float) -> dict[tuple[int, int], tuple[int, ...]]:
+    """The edges that a level removes, with their parting sets. Edges are dealt to tasks; each task has the matrix and
+    the neighbours as they are at the level's begin, which is what makes the search stable, so the order is free."""
+    shared = spark.sparkContext.broadcast((corr, near))
+    edges = np.argwhere(np.triu(near))
+    table = pa.table({"i": edges[:, 0].astype(np.int32), "j": edges[:, 1].astype(np.int32)})
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, around = shared.value
+        for batch in batches:
+            out = []
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                given = parting_set(matrix, n, around, i, j, size, alpha)
+                if given is not None:
+                    out.append((i, j, list(given)))
+            i, j, given = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(given, pa.list_(pa.int32()))], ["i", "j", "given"])
+
+    parts = min(len(edges), max(spark.sparkContext.defaultParallelism, len(edges) // EDGES_A_TASK))
+    found = spark.createDataFrame(table).repartition(parts, "i", "j").mapInArrow(tested, "i int, j int, given array<int>").toArrow()
+    shared.destroy()
+    return {(i, j): tuple(given) for i, j, given in zip(*(c.to_pylist() for c in found.columns), strict=True)}
+
+
+#: Edges whose tests are one task's work, beyond as many tasks as the session runs at once.
+EDGES_A_TASK = 500
 
 
 def causal_edges(grid: DataFrame, alpha: float = 0.05, max_series: int = 2000) -> DataFrame:
-    """(a, b, kind): PC over all usable series. More than ``max_series`` are an error, as the search holds a
-    matrix of their number squared on the driver; split such grids into parts that can be causes of each other."""
+    """(a, b, kind): PC over all usable series, level by level on the executors.
+
+    More than ``max_series`` are an error: the matrix of their number squared, at most 32 MB, goes to every task; split
+    such grids into parts that can be causes of each other. What comes back of a level are its removed edges, which
+    are fewer than the pairs of series. The first level, independence without conditions, is decided from the matrix.
+    """
     spark = grid.sparkSession
     names = sorted(r["series"] for r in usable_series(grid).select("series").limit(max_series + 1).collect())
     if len(names) > max_series:
         raise ValueError(f"more than {max_series} usable series")
-    corr = np.eye(len(names))
+    made = correlations(grid).toArrow()
     place = {s: k for k, s in enumerate(names)}
-    for r in correlations(grid).collect():
-        corr[place[r["a"]], place[r["b"]]] = corr[place[r["b"]], place[r["a"]]] = r["corr"] or 0.0
+    corr = np.eye(len(names))
+    a, b = (np.array([place[x] for x in made.column(c).to_pylist()], np.int64) for c in ("a", "b"))
+    corr[a, b] = corr[b, a] = np.nan_to_num(made.column("corr").fill_null(0.0).to_numpy())
     n = grid.select("t").distinct().count()
-    return spark.createDataFrame(pc(names, corr, n, alpha), "a string, b string, kind string")
+    near = ~np.eye(len(names), dtype=bool)
+    parted: dict[tuple[int, int], tuple[int, ...]] = {}
+    for size in itertools.count():
+        if near.sum(axis=1).max(initial=0) <= size:
+            break
+        if size:
+            gone = _level(spark, corr, n, near, size, alpha)
+        else:
+            gone = {(i, j): () for i, j in np.argwhere(np.triu(near & unlinked(corr, n, alpha))).tolist()}
+        for i, j in gone:
+            near[i, j] = near[j, i] = False
+        parted |= gone
+    return spark.createDataFrame(_named(names, oriented(near, parted)), "a string, b string, kind string")
+
+
+def unlinked(corr: np.ndarray, n: int, alpha: float) -> np.ndarray:
+    """Which pairs are independent without conditions, as ``apart`` says of each: one look at the whole matrix."""
+    r = np.clip(corr, -0.9999999, 0.9999999)
+    z = np.abs(0.5 * np.log((1 + r) / (1 - r)) * math.sqrt(max(n - 3, 1)))
+    near = np.abs(z - _quantile(alpha)) < 1e-6
+    out = z < _quantile(alpha)
+    for i, j in np.argwhere(near & ~np.eye(len(corr), dtype=bool)).tolist():  # so close that the last digits decide
+        out[i, j] = apart(corr, n, i, j, (), alpha)
+    return out
+
+
+def _quantile(alpha: float) -> float:
+    """The z beyond which a share alpha of a standard normal lies on both sides: by halving."""
+    low, high = 0.0, 40.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.erfc(middle / math.sqrt(2)) > alpha else (low, middle)
+    return low

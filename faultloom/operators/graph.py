@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultloom.functions.attrs import beside
 from faultloom.functions.times import minute_bucket
-from faultloom.sources.shared import numbered
+from faultloom.sources.shared import cut, numbered
 from faultloom.schema import ALLOWED_EDGES, EDGE_COLUMNS, NODE_COLUMNS
 
 
@@ -71,6 +71,24 @@ def precedes(events: DataFrame, *keys: str) -> DataFrame:
     return pairs.filter("dst is not null")
 
 
+def chained(events: DataFrame, *keys: str) -> DataFrame:
+    """As ``precedes``, for groups of any size: no task holds a hot group.
+
+    Ranges of (group, order) are joined up apart; a range's last event of a group is followed by the first of
+    the group's next range, and only these, a row for each group and range, meet.
+    """
+    order = ["event_ts", "kind", "seq", "id"]
+    ranged = cut(events.select("minute_ts", *[k for k in keys if k != "minute_ts"], *order).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    follow = F.struct(F.col("id").alias("dst"), F.col("event_ts").alias("dst_ts"))
+    rows = ranged.withColumn("_next", F.lead(follow).over(within))
+    first = ranged.groupBy(*keys, "_part").agg(F.min_by(follow, F.struct(*order)).alias("_first"))
+    later = first.withColumn("_later", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_part"))).drop("_first").filter("_later is not null")
+    last = rows.filter("_next is null").drop("_next").join(later, [*keys, "_part"]).withColumnRenamed("_later", "_next")
+    joined = rows.filter("_next is not null").unionByName(last)
+    return joined.select("minute_ts", F.col("id").alias("src"), "_next.dst", (F.col("_next.dst_ts") - F.col("event_ts")).alias("dt_seconds"))
+
+
 def tkg_edges(events: DataFrame, calls: DataFrame) -> DataFrame:
     """All edges of all minutes (src, dst, edge_type, weight, dt_seconds, minute_ts)."""
     none = F.lit(None).cast("long")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultloom.functions.attrs import repeated_groups
+from faultloom.sources.shared import cut
 
 
 def inverse(rel: Column, n_relations: int) -> Column:
@@ -85,6 +86,51 @@ def length_two_rules(quads: DataFrame, max_gap: int) -> DataFrame:
     return found.select("head_rel", "b0", "b1", "body_supp", "rule_supp", F.round(F.col("rule_supp") / F.col("body_supp"), 6).alias("conf"))
 
 
+def chain_rules(quads: DataFrame, length: int, max_gap: int) -> DataFrame:
+    """Support and confidence of every rule whose body has ``length`` relations, with and without variable constraints:
+    (head_rel, body_rels, var_constraints, body_supp, rule_supp, conf), of those with a supported chain.
+
+    All bodies at once: chains with non-decreasing times, steps of at most ``max_gap``, counted by (body,
+    constraints, ends, last time), the counts joined to the last head fact of the ends. The
+    constraints of a chain are the groups of places at which it has the same entity. A rule with constraints counts the
+    chains that have just these, a rule without any counts all chains of its body.
+    """
+    facts = quads.select("s", "r", "o", "t").distinct()
+    chains = facts.select(F.array("s", "o").alias("entities"), F.array("r").alias("body_rels"), F.col("t").alias("last"))
+    slot = F.floor(F.col("t") / max_gap)
+    step = facts.select(F.col("s").alias("at"), F.col("r").alias("rel"), F.col("o").alias("to"), F.col("t").alias("ts"), slot.alias("slot"))
+    for _ in range(1, length):
+        # A step's time is bounded by an equality on slots as wide as the gap, so that hubs don't explode.
+        now = F.floor(F.col("last") / max_gap)
+        wanted = chains.select("*", F.element_at("entities", -1).alias("at"), F.explode(F.array(now, now + 1)).alias("slot"))
+        met = wanted.join(step, ["at", "slot"]).filter((F.col("ts") >= F.col("last")) & (F.col("ts") - F.col("last") <= max_gap))
+        chains = met.select(F.concat("entities", F.array("to")).alias("entities"), F.concat("body_rels", F.array("rel")).alias("body_rels"), F.col("ts").alias("last"))
+    ends = [F.get("entities", F.lit(0)).alias("x"), F.element_at("entities", -1).alias("z")]
+    counts = chains.groupBy("body_rels", repeated_groups(F.col("entities")).alias("var_constraints"), *ends, "last").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts, "chains")
+    # Chains with constraints count for the rule without any as well.
+    both = F.when(F.size("var_constraints") == 0, F.array("var_constraints")).otherwise(F.array(F.array().cast("array<array<int>>"), "var_constraints"))
+    of_rules = counts.withColumn("var_constraints", F.explode(both))
+    body = of_rules.groupBy("body_rels", "var_constraints").agg(F.sum("n").alias("body_supp"))
+    heads = facts.groupBy(F.col("s").alias("x"), F.col("o").alias("z"), F.col("r").alias("head_rel")).agg(F.max("t").alias("head_t"))
+    hit = of_rules.join(heads, ["x", "z"]).filter("head_t > last").groupBy("head_rel", "body_rels", "var_constraints").agg(F.sum("n").alias("rule_supp"))
+    found = hit.join(body, ["body_rels", "var_constraints"])
+    return found.select("head_rel", "body_rels", "var_constraints", "body_supp", "rule_supp", F.round(F.col("rule_supp") / F.col("body_supp"), 6).alias("conf"))
+
+
+def constraint_text(constraints: Column) -> Column:
+    """Groups of equal places as text: ``0-2|1-3``; empty if there are none."""
+    return F.array_join(F.transform(constraints, lambda g: F.array_join(F.transform(g, lambda p: p.cast("string")), "-")), "|")
+
+
+def best_rules(rules: DataFrame, per_head: int) -> DataFrame:
+    """The rules of each head with the highest confidence; ties by support, length, then body and constraints. ``rule_id``
+    is made of the head and the place."""
+    order = Window.partitionBy("head_rel").orderBy(F.desc("conf"), F.desc("rule_supp"), F.size("body_rels"), "body_rels", constraint_text(F.col("var_constraints")))
+    placed = rules.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_head)
+    return placed.withColumn("rule_id", (F.col("head_rel") * 10_000 + F.col("place")).cast("int"))
+
+
 def keep_rules(rules: DataFrame, min_conf: float, min_supp: int, lengths: Sequence[int], kind: str = "common") -> DataFrame:
     """Rules by confidence, body support and length. ``llm`` uses llm_confidence and no support; ``and``
     and ``or`` combine both confidences, and keep the support."""
@@ -133,14 +179,109 @@ def merged(original: DataFrame, generated: DataFrame, keys: Sequence[str]) -> Da
     return generated.unionByName(minus(original, generated, keys), allowMissingColumns=True)
 
 
-def sampled_support(quads: DataFrame, head: int, body: Sequence[int], samples: int = 2000, seed: int = 12, max_gap: int | None = None) -> DataFrame:
-    """rule_support over at most ``samples`` chains, drawn by a hash of the chain and the seed."""
+def _ahead(facts: DataFrame, weights: DataFrame, max_gap: int | None, relaxed: bool) -> DataFrame:
+    """facts (s, o, t) with ``w``, the sum of weights (s, t, w) of the facts that may follow, and ``past``, the sum of
+    those that lie beyond ``max_gap``; facts that none may follow go.
+
+    Sums run over the distinct times of an entity, not its facts: a hub has as many rows as there are times.
+    """
+    if relaxed:
+        total = weights.groupBy(F.col("s").alias("o")).agg(F.sum("w").alias("w"))
+        return facts.join(total, "o").withColumn("past", F.lit(0).cast("decimal(38,0)"))
+    by_time = weights.groupBy(F.col("s").alias("e"), F.col("t").alias("at")).agg(F.sum("w").alias("w"))
+    asked = facts.select(F.col("o").alias("e"), F.col("t").alias("at")).distinct()
+    if max_gap is not None:
+        asked = asked.union(asked.select("e", F.col("at") + max_gap + 1)).distinct()
+    rows = by_time.select("e", "at", "w", F.lit(False).alias("asked")).union(asked.select("e", "at", F.lit(0).cast("decimal(38,0)"), F.lit(True)))
+    later = Window.partitionBy("e").orderBy(F.desc("at"), "asked").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.withColumn("sum", F.sum("w").over(later).cast("decimal(38,0)")).filter("asked").select(F.col("e").alias("o"), F.col("at"), "sum")
+    found = facts.join(sums.select("o", F.col("at").alias("t"), F.col("sum").alias("all")), ["o", "t"])
+    if max_gap is None:
+        found = found.withColumn("past", F.lit(0).cast("decimal(38,0)"))
+    else:
+        found = found.join(sums.select("o", (F.col("at") - max_gap - 1).alias("t"), F.col("sum").alias("past")), ["o", "t"])
+    return found.withColumn("w", (F.col("all") - F.col("past")).cast("decimal(38,0)")).drop("all").filter("w > 0")
+
+
+def _below(total: Column, *keys: Column) -> Column:
+    """A whole number from 0 to total - 1, by a hash of the keys."""
+    u = F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("decimal(38,0)") * F.lit(1 << 11).cast("decimal(38,0)") + F.pmod(F.xxhash64(*keys, F.lit("low")), F.lit(1 << 11)).cast("decimal(38,0)")
+    return (u % total).cast("decimal(38,0)")
+
+
+def _picked(draws: DataFrame, places: DataFrame, by: Sequence[str], order: str, value: Sequence[str]) -> DataFrame:
+    """draws (by..., order) with the ``value`` columns of the last place (by..., order, value...) at or before each, by one
+    sort of both together: no draw meets more than one place."""
+    kind = dict(places.dtypes)
+    held = F.struct(*value)
+    rows = places.select(*by, order, held.alias("_value"), F.lit(0).alias("_draw"), F.lit(None).cast(draws.schema[draws.columns.index("draw")].dataType).alias("draw"))
+    asked = draws.select(*by, order, F.lit(None).cast(f"struct<{','.join(f'{v}:{kind[v]}' for v in value)}>").alias("_value"), F.lit(1).alias("_draw"), "draw")
+    w = Window.partitionBy(*by).orderBy(order, "_draw").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.unionByName(asked).withColumn("_value", F.last("_value", True).over(w)).filter("_draw = 1").select("draw", *by, order, "_value.*")
+
+
+PARTS = 64
+
+
+def drawn_chains(quads: DataFrame, body: Sequence[int], samples: int = 2000, seed: int = 12, max_gap: int | None = None, relaxed: bool = False) -> DataFrame:
+    """``samples`` chains of a body, each drawn uniformly from all its chains (with repetition): draw, e0 .. en, t0 .. tn-1.
+
+    How many chains go on from each fact is counted from the last relation back; chains are then drawn hop by hop by
+    cumulative counts: a time, a part of that time's facts, a fact. So rows are never more than facts plus samples,
+    and no task holds the facts of a hub. None are drawn where there is no chain.
+    """
+    n = len(body)
+    one = F.lit(1).cast("decimal(38,0)")
+    hops: list[DataFrame] = []
+    for k in reversed(range(n)):
+        facts = quads.filter(F.col("r") == body[k]).select("s", "o", "t").distinct()
+        made = facts.withColumn("w", one).withColumn("past", F.lit(0).cast("decimal(38,0)")) if k == n - 1 else _ahead(facts, hops[0].select("s", "t", "w"), max_gap, relaxed)
+        made = made.withColumn("part", F.pmod(F.xxhash64("s", "o", "t", F.lit(seed)), F.lit(PARTS)).cast("int"))
+        hops.insert(0, cut(made.select("s", "o", "t", "w", "past", "part"), "chain-counts"))
+
+    def fact_of(chosen: DataFrame, facts: DataFrame, at: Sequence[str]) -> DataFrame:
+        """chosen (draw, at..., u): the fact in whose range of the cumulative counts of ``at`` u lies."""
+        run = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        zero = F.lit(0).cast("decimal(38,0)")
+        before = lambda w: F.coalesce(F.sum("w").over(w), zero).cast("decimal(38,0)").alias("u")
+        parts = facts.groupBy(*at, "part").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
+        parts = parts.select(*at, "part", before(run(at, ["part"]))).withColumn("begin", F.col("u"))
+        dealt = _picked(chosen, parts, at, "u", ["part", "begin"]).select("draw", *at, "part", (F.col("u") - F.col("begin")).cast("decimal(38,0)").alias("u"))
+        inside = facts.select(*at, "part", before(run([*at, "part"], ["s", "o", "t"])), F.struct("s", "o", "t", "w", "past").alias("fact"))
+        return _picked(dealt, inside, [*at, "part"], "u", ["fact"]).select("draw", "fact.*")
+
+    total = hops[0].agg(F.sum("w").cast("decimal(38,0)").alias("total"))
+    ids = quads.sparkSession.range(samples).select(F.col("id").alias("draw"))
+    u = ids.withColumn("total", total.scalar()).filter("total > 0")
+    u = u.select("draw", F.lit(0).alias("all"), _below(F.col("total"), F.col("draw"), F.lit(seed), F.lit(0)).alias("u"))
+    now = fact_of(u, hops[0].withColumn("all", F.lit(0)), ["all"])
+    chains = cut(now.select("draw", F.col("s").alias("e0"), F.col("o").alias("e1"), F.col("t").alias("t0"), "w", "past"), "draws")
+    for k in range(1, n):
+        last, begun = F.col(f"e{k}"), F.col(f"t{k - 1}")
+        u = chains.select("draw", last.alias("s"), (F.col("past") + _below(F.col("w"), F.col("draw"), F.lit(seed), F.lit(k))).cast("decimal(38,0)").alias("u"))
+        if relaxed:
+            found = fact_of(u, hops[k], ["s"])
+        else:
+            times = hops[k].groupBy("s", "t").agg(F.sum("w").alias("w"))
+            latest = Window.partitionBy("s").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+            times = times.select("s", "t", F.coalesce(F.sum("w").over(latest), F.lit(0)).cast("decimal(38,0)").alias("u")).withColumn("begin", F.col("u"))
+            timed = _picked(u, times, ["s"], "u", ["t", "begin"]).select("draw", "s", "t", (F.col("u") - F.col("begin")).cast("decimal(38,0)").alias("u"))
+            found = fact_of(timed, hops[k], ["s", "t"])
+        step = found.select("draw", F.col("o").alias(f"e{k + 1}"), F.col("t").alias(f"t{k}"), "w", "past")
+        chains = cut(chains.drop("w", "past").join(step, "draw"), "draws")
+    return chains.drop("w", "past")
+
+
+def sampled_support(
+    quads: DataFrame, head: int, body: Sequence[int], samples: int = 2000, seed: int = 12, max_gap: int | None = None, constraints: Sequence[Sequence[int]] = (), relaxed: bool = False,
+) -> DataFrame:
+    """One row: body_supp (distinct chains among ``samples`` drawn ones that have the constraints), rule_supp."""
     n = len(body)
-    walks = chain([quads.filter(F.col("r") == r) for r in body], max_gap).distinct()
-    walks = walks.orderBy(F.xxhash64(*[F.col(c) for c in walks.columns], F.lit(seed))).limit(samples)
+    walks = constrained(drawn_chains(quads, body, samples, seed, max_gap, relaxed).drop("draw"), constraints).distinct()
     last = quads.filter(F.col("r") == head).groupBy(F.col("s").alias("e0"), F.col("o").alias(f"e{n}")).agg(F.max("t").alias("head_t"))
     joined = walks.join(last, ["e0", f"e{n}"], "left")
-    return joined.agg(F.count(F.lit(1)).alias("body_supp"), F.count_if(F.col("head_t") > F.col(f"t{n - 1}")).alias("rule_supp"))
+    latest = F.greatest(*[F.col(f"t{k}") for k in range(n)]) if relaxed and n > 1 else F.col(f"t{n - 1}")
+    return joined.agg(F.count(F.lit(1)).alias("body_supp"), F.count_if(F.col("head_t") > latest).alias("rule_supp"))
 
 
 def closed_paths(quads: DataFrame, pairs: DataFrame, max_len: int) -> DataFrame:

@@ -64,6 +64,17 @@ def quads(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """(s, r, o, t): the quadruples and two more relations, on which bodies of all lengths close by themselves:
+    5, a customer orders a part, and 6, a part is shipped by a supplier."""
+    days = lambda c: F.expr(f"CAST(datediff({c}, DATE'1992-01-01') AS INT)").alias("t")
+    lines = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") + 2_000_000).cast("int").alias("p"), (F.col("l_suppkey") + 1_000_000).cast("int").alias("o"), "l_shipdate")
+    orders = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("s"), days("o_orderdate"))
+    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("s", F.lit(5).alias("r"), F.col("p").alias("o"), "t").distinct()
+    shipped = lines.select(F.col("p").alias("s"), F.lit(6).alias("r"), "o", days("l_shipdate")).distinct()
+    return quads(spark, d).unionByName(bought).unionByName(shipped)
+
+
 def _ep(x: str) -> str:
     return f"CAST(floor(epoch({x})) AS BIGINT)"
 
@@ -79,6 +90,9 @@ VIEWS = {
         CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS t
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN (SELECT o_orderpriority AS name, row_number() OVER (ORDER BY o_orderpriority) - 1 AS r FROM (SELECT DISTINCT o_orderpriority FROM orders)) p ON p.name = o_orderpriority""",
+    "v_facts": """SELECT s, r, o, t FROM v_quads
+        UNION ALL SELECT DISTINCT CAST(o_custkey AS INTEGER), 5, CAST(2000000 + l_partkey AS INTEGER), CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        UNION ALL SELECT DISTINCT CAST(2000000 + l_partkey AS INTEGER), 6, CAST(1000000 + l_suppkey AS INTEGER), CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) FROM lineitem""",
     "v_train": f"SELECT * FROM v_quads WHERE t < {TRAIN_END}",
     "v_valid": f"SELECT * FROM v_quads WHERE t >= {TRAIN_END} AND t < {VALID_END}",
     "v_test": f"SELECT * FROM v_quads WHERE t >= {VALID_END}",
@@ -101,7 +115,7 @@ VIEWS = {
 VIEWS["v_traced"] = VIEWS["v_calls"]  # under a name that the graph of events alone doesn't redefine
 
 _NEEDS = {
-    "v_train": ["v_quads"], "v_valid": ["v_quads"], "v_test": ["v_quads"], "v_anomalies": ["v_metrics"], "v_errors": ["v_logs"],
+    "v_train": ["v_quads"], "v_valid": ["v_quads"], "v_test": ["v_quads"], "v_facts": ["v_quads"], "v_anomalies": ["v_metrics"], "v_errors": ["v_logs"],
     "v_events": ["v_errors", "v_anomalies"], "v_calls": ["v_spans"], "v_traced": ["v_spans"],
 }
 

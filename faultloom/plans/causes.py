@@ -19,7 +19,7 @@ def small(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = tel.events(s, d)
     nodes = graph.tkg_nodes(e, tel.no_calls(s))
     owned = graph.tkg_edges(e, tel.no_calls(s)).filter("edge_type <> 'precedes'")
-    before = graph.precedes(e, "service").select("src", "dst", F.lit("precedes").alias("edge_type"), F.lit(1.0).alias("weight"), "dt_seconds", "minute_ts")
+    before = graph.chained(e, "service").select("src", "dst", F.lit("precedes").alias("edge_type"), F.lit(1.0).alias("weight"), "dt_seconds", "minute_ts")
     return nodes, owned.unionByName(before)
 
 

@@ -78,8 +78,8 @@ def applied(s: SparkSession, d: str, asked: DataFrame | None = None) -> DataFram
     """Scores of the single-relation rules r <- r and r <- r' (a fixed table of confidences)."""
     heads = [(h * 10 + k, h, body, None, 0.9 - 0.1 * k - 0.01 * h) for h in range(N_REL) for k, body in enumerate((h, (h + 1) % N_REL))]
     heads += [(h * 10 + 5, h, h, (h + 5), 0.35) for h in range(N_REL)]
-    table = s.createDataFrame(heads, "rule_id int, head_rel int, b0 int, b1 int, conf double")
-    return reason.apply_rules(queries_at(s, d) if asked is None else asked, table, quads.with_inverse(b.quads(s, d), N_REL), WINDOW)
+    table = s.createDataFrame([(i, h, [x for x in (b0, b1) if x is not None], [], c) for i, h, b0, b1, c in heads], "rule_id int, head_rel int, body_rels array<int>, var_constraints array<array<int>>, conf double")
+    return reason.apply_rules(queries_at(s, d) if asked is None else asked, table, quads.with_inverse(b.quads(s, d), N_REL), WINDOW, max_length=2)
 
 
 _APPLIED = (

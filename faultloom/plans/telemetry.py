@@ -53,7 +53,7 @@ MID = (TARGET_FROM + TARGET_TO) // 2 // 60 * 60
 
 
 def _pre(s, d):
-    return graph.precedes(events(s, d), "service").select("src", "dst", "dt_seconds")
+    return graph.chained(events(s, d), "service").select("src", "dst", "dt_seconds")
 
 
 def _span_calls(s, d):

@@ -90,31 +90,39 @@ def chain_rules(quads: DataFrame, length: int, max_gap: int) -> DataFrame:
     """Support and confidence of every rule whose body has ``length`` relations, with and without variable constraints:
     (head_rel, body_rels, var_constraints, body_supp, rule_supp, conf), of those with a supported chain.
 
-    All bodies at once: chains with non-decreasing times, steps of at most ``max_gap``, counted by (body,
-    constraints, ends, last time), the counts joined to the last head fact of the ends. The
+    All bodies at once: chains with non-decreasing times and steps of at most ``max_gap`` meet the last head facts of
+    their ends, one row a pair of ends, and are counted by (head, body, constraints) before anything else moves. The
     constraints of a chain are the groups of places at which it has the same entity. A rule with constraints counts the
     chains that have just these, a rule without any counts all chains of its body.
     """
     facts = quads.select("s", "r", "o", "t").distinct()
-    chains = facts.select(F.array("s", "o").alias("entities"), F.array("r").alias("body_rels"), F.col("t").alias("last"))
+    chains = facts.select(F.col("s").alias("e0"), F.col("o").alias("e1"), F.col("r").alias("r0"), F.col("t").alias("last"))
     slot = F.floor(F.col("t") / max_gap)
-    step = facts.select(F.col("s").alias("at"), F.col("r").alias("rel"), F.col("o").alias("to"), F.col("t").alias("ts"), slot.alias("slot"))
-    for _ in range(1, length):
+    for k in range(1, length):
         # A step's time is bounded by an equality on slots as wide as the gap, so that hubs don't explode.
         now = F.floor(F.col("last") / max_gap)
-        wanted = chains.select("*", F.element_at("entities", -1).alias("at"), F.explode(F.array(now, now + 1)).alias("slot"))
-        met = wanted.join(step, ["at", "slot"]).filter((F.col("ts") >= F.col("last")) & (F.col("ts") - F.col("last") <= max_gap))
-        chains = met.select(F.concat("entities", F.array("to")).alias("entities"), F.concat("body_rels", F.array("rel")).alias("body_rels"), F.col("ts").alias("last"))
-    ends = [F.get("entities", F.lit(0)).alias("x"), F.element_at("entities", -1).alias("z")]
-    counts = chains.groupBy("body_rels", repeated_groups(F.col("entities")).alias("var_constraints"), *ends, "last").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(counts, "chains")
+        step = facts.select(F.col("s").alias(f"e{k}"), F.col("r").alias(f"r{k}"), F.col("o").alias(f"e{k + 1}"), F.col("t").alias("ts"), slot.alias("slot"))
+        met = chains.withColumn("slot", F.explode(F.array(now, now + 1))).join(step, [f"e{k}", "slot"])
+        chains = met.filter((F.col("ts") >= F.col("last")) & (F.col("ts") - F.col("last") <= max_gap)).drop("last", "slot").withColumnRenamed("ts", "last")
+    # Where each entity stood first, as digits of one number: what places are equal.
+    first = [reduce(lambda rest, i: F.when(F.col(f"e{i}") == F.col(f"e{j}"), i).otherwise(rest), reversed(range(j)), F.lit(j)) for j in range(length + 1)]
+    places = sum((f.cast("long") * (length + 1) ** j for j, f in enumerate(first)), F.lit(0).cast("long"))
+    body = [f"r{k}" for k in range(length)]
+    narrow = chains.select(*body, places.alias("places"), F.col("e0").alias("x"), F.col(f"e{length}").alias("z"), "last")
+    heads = facts.groupBy(F.col("s").alias("x"), F.col("o").alias("z"), F.col("r").alias("head")).agg(F.max("t").alias("t"))
+    heads = heads.groupBy("x", "z").agg(F.collect_list(F.struct("head", "t")).alias("heads"))  # an entry a relation
+    hit = F.transform(F.filter("heads", lambda h: h["t"] > F.col("last")), lambda h: h["head"])
+    every = F.array(F.lit(None).cast("int"))  # a chain counts once for its body, and once for each head it supports
+    counted = narrow.join(heads, ["x", "z"], "left").select(*body, "places", F.explode(F.concat(every, F.coalesce(hit, F.array().cast("array<int>")))).alias("head_rel"))
+    counted = cut(counted.groupBy("head_rel", *body, "places").agg(F.count(F.lit(1)).alias("n")), "chains")
+    digits = F.array(*[F.pmod(F.floor(F.col("places") / (length + 1) ** j), F.lit(length + 1)) for j in range(length + 1)])
+    counted = counted.select("head_rel", F.array(*body).alias("body_rels"), F.transform(repeated_groups(digits), lambda g: F.transform(g, lambda p: p.cast("int"))).alias("var_constraints"), "n")
     # Chains with constraints count for the rule without any as well.
-    both = F.when(F.size("var_constraints") == 0, F.array("var_constraints")).otherwise(F.array(F.array().cast("array<array<int>>"), "var_constraints"))
-    of_rules = counts.withColumn("var_constraints", F.explode(both))
-    body = of_rules.groupBy("body_rels", "var_constraints").agg(F.sum("n").alias("body_supp"))
-    heads = facts.groupBy(F.col("s").alias("x"), F.col("o").alias("z"), F.col("r").alias("head_rel")).agg(F.max("t").alias("head_t"))
-    hit = of_rules.join(heads, ["x", "z"]).filter("head_t > last").groupBy("head_rel", "body_rels", "var_constraints").agg(F.sum("n").alias("rule_supp"))
-    found = hit.join(body, ["body_rels", "var_constraints"])
+    none = F.array().cast("array<array<int>>")
+    both = F.when(F.size("var_constraints") == 0, F.array("var_constraints")).otherwise(F.array(none, F.col("var_constraints")))
+    sums = counted.withColumn("var_constraints", F.explode(both)).groupBy("head_rel", "body_rels", "var_constraints").agg(F.sum("n").alias("n"))
+    support = sums.filter("head_rel is null").select("body_rels", "var_constraints", F.col("n").alias("body_supp"))
+    found = sums.filter("head_rel is not null").withColumnRenamed("n", "rule_supp").join(support, ["body_rels", "var_constraints"])
     return found.select("head_rel", "body_rels", "var_constraints", "body_supp", "rule_supp", F.round(F.col("rule_supp") / F.col("body_supp"), 6).alias("conf"))
 
 

@@ -30,7 +30,7 @@ def test_stages(spark):
 
 def test_every_query_is_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert list(corpus_pipeline.queries()) == ["pipeline"] and len(corpus_pipeline.STAGES) == 5
 
 

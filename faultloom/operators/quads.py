@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultloom.sources.shared import cut
+
 
 def dictionary(df: DataFrame, *columns: str) -> DataFrame:
     """(name, id): distinct names in order, numbered from 0. Rows are names, not facts."""
@@ -92,12 +94,18 @@ def first_relation(triples: DataFrame) -> DataFrame:
     return triples.groupBy("s", "o").agg(F.min("r").alias("r"))
 
 
-def hop_neighbourhood(quads: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """(id, hop): entities within ``hops`` of the starts, in either direction, at their first hop."""
+def hop_neighbourhood(quads: DataFrame, starts: DataFrame, hops: int, cap: int | None = None, seed: int = 12) -> DataFrame:
+    """(id, hop): entities within ``hops`` of the starts, in either direction, at their first hop.
+
+    With ``cap``, a hop goes on from at most that many new entities, those of the smallest hashes of seed, hop and id: the same in
+    every run. Each task keeps its smallest ``cap``, and only these meet.
+    """
     both = quads.select(F.col("s").alias("id"), F.col("o").alias("next")).union(quads.select("o", "s")).distinct()
     seen = level = starts.select("id").distinct().withColumn("hop", F.lit(0))
     for h in range(1, hops + 1):
         level = level.join(both, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(h))
+        if cap is not None:
+            level = cut(level.orderBy(F.xxhash64("id", F.lit(h), F.lit(seed)), "id").limit(cap), "level")
         seen = seen.unionByName(level)
     return seen
 

@@ -90,10 +90,34 @@ def chain_rules(quads: DataFrame, length: int, max_gap: int) -> DataFrame:
     """Support and confidence of every rule whose body has ``length`` relations, with and without variable constraints:
     (head_rel, body_rels, var_constraints, body_supp, rule_supp, conf), of those with a supported chain.
 
+    A rule with constraints counts the chains that have just these, a rule without any counts all chains of its body.
+    """
+    sums = chain_sums(quads, length, max_gap)
+    support = sums.filter("head_rel is null").select("body_rels", "var_constraints", F.col("n").alias("body_supp"))
+    found = sums.filter("head_rel is not null").withColumnRenamed("n", "rule_supp").join(support, ["body_rels", "var_constraints"])
+    return found.select("head_rel", "body_rels", "var_constraints", "body_supp", "rule_supp", F.round(F.col("rule_supp") / F.col("body_supp"), 6).alias("conf"))
+
+
+def evaluated(rules: DataFrame, quads: DataFrame, max_gap: int, max_length: int = 3) -> DataFrame:
+    """Given rules (head_rel, body_rels, var_constraints, ...) with body_supp, rule_supp and conf as counted over the facts:
+    zeros where a relation is missing or no chain is there. All rules of a length are counted together."""
+    keys = ["head_rel", "body_rels", "var_constraints"]
+    asked = rules.withColumn("var_constraints", F.coalesce("var_constraints", F.array().cast("array<array<int>>")))
+    sums = reduce(DataFrame.unionByName, [chain_sums(quads, n, max_gap) for n in range(1, max_length + 1)])
+    body = sums.filter("head_rel is null").select(*keys[1:], F.col("n").alias("body_supp"))
+    head = sums.filter("head_rel is not null").select(*keys, F.col("n").alias("rule_supp"))
+    zero = F.lit(0).cast("long")
+    found = asked.join(body, keys[1:], "left").join(head, keys, "left").withColumn("body_supp", F.coalesce("body_supp", zero)).withColumn("rule_supp", F.coalesce("rule_supp", zero))
+    return found.withColumn("conf", F.when(F.col("body_supp") > 0, F.round(F.col("rule_supp") / F.col("body_supp"), 6)).otherwise(0.0))
+
+
+def chain_sums(quads: DataFrame, length: int, max_gap: int) -> DataFrame:
+    """(head_rel, body_rels, var_constraints, n): how many chains of ``length`` relations have a body and constraints (head_rel
+    null), and how many of them a later head fact between their ends.
+
     All bodies at once: chains with non-decreasing times and steps of at most ``max_gap`` meet the last head facts of
     their ends, one row a pair of ends, and are counted by (head, body, constraints) before anything else moves. The
-    constraints of a chain are the groups of places at which it has the same entity. A rule with constraints counts the
-    chains that have just these, a rule without any counts all chains of its body.
+    constraints of a chain are the groups of places at which it has the same entity.
     """
     facts = quads.select("s", "r", "o", "t").distinct()
     chains = facts.select(F.col("s").alias("e0"), F.col("o").alias("e1"), F.col("r").alias("r0"), F.col("t").alias("last"))
@@ -120,10 +144,7 @@ def chain_rules(quads: DataFrame, length: int, max_gap: int) -> DataFrame:
     # Chains with constraints count for the rule without any as well.
     none = F.array().cast("array<array<int>>")
     both = F.when(F.size("var_constraints") == 0, F.array("var_constraints")).otherwise(F.array(none, F.col("var_constraints")))
-    sums = counted.withColumn("var_constraints", F.explode(both)).groupBy("head_rel", "body_rels", "var_constraints").agg(F.sum("n").alias("n"))
-    support = sums.filter("head_rel is null").select("body_rels", "var_constraints", F.col("n").alias("body_supp"))
-    found = sums.filter("head_rel is not null").withColumnRenamed("n", "rule_supp").join(support, ["body_rels", "var_constraints"])
-    return found.select("head_rel", "body_rels", "var_constraints", "body_supp", "rule_supp", F.round(F.col("rule_supp") / F.col("body_supp"), 6).alias("conf"))
+    return counted.withColumn("var_constraints", F.explode(both)).groupBy("head_rel", "body_rels", "var_constraints").agg(F.sum("n").alias("n"))
 
 
 def constraint_text(constraints: Column) -> Column:
@@ -307,6 +328,27 @@ def closed_paths(quads: DataFrame, pairs: DataFrame, max_len: int) -> DataFrame:
     return found.distinct()
 
 
+def closed_relation_paths(triples: DataFrame, anchors: DataFrame, max_len: int = 2) -> DataFrame:
+    """(r, path, n): for how many anchors (s, r, o) some simple walk of triples leads from s to o over these relations, in
+    at most ``max_len`` steps; the anchor's own relation alone doesn't count.
+
+    Walks go on from s, but the last step is looked up by both its ends, so no walk is made that misses o by one
+    step; relation paths are counted once an anchor, walks are never listed whole.
+    """
+    step = triples.select(F.col("s").alias("at"), F.col("r").alias("rel"), F.col("o").alias("to")).distinct()
+    last = step.select("at", F.col("to").alias("o"), "rel")
+    walk = anchors.select("s", "r", "o").distinct().filter("s <> o").select("s", "r", "o", F.col("s").alias("at"), F.array("s").alias("seen"), F.array().cast("array<int>").alias("path"))
+    found = []
+    for n in range(1, max_len + 1):
+        ended = walk.join(last, ["at", "o"]).select("s", "r", "o", F.concat("path", F.array("rel")).alias("path"))
+        found.append(ended.filter(F.col("path") != F.array("r")) if n == 1 else ended)
+        if n < max_len:
+            on = walk.join(step, "at").filter((F.col("to") != F.col("o")) & ~F.array_contains("seen", F.col("to")))
+            walk = on.select("s", "r", "o", F.col("to").alias("at"), F.concat("seen", F.array("to")).alias("seen"), F.concat("path", F.array("rel")).alias("path")).distinct()
+    every = reduce(DataFrame.unionByName, found).distinct()
+    return every.groupBy("r", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
 def body_product(triples: DataFrame, bodies: DataFrame) -> DataFrame:
     """(h, t, score): pairs joined by a body of two relations, the sum over bodies (b0, b1, conf) of conf times the number of ways."""
     a = triples.select(F.col("s").alias("h"), F.col("r").alias("b0"), F.col("o").alias("m"))

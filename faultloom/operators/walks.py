@@ -146,7 +146,7 @@ BASE_WEIGHTS = {"precedes": 1.0, "has_metric": 1.0, "has_log": 1.0, "calls": 0.6
 def random_walks(
     edges: DataFrame, starts: DataFrame, n_walks: int = 200, max_len: int = 4, rate: float = 0.2, no_return: int = 4, seed: int = 12,
     bias: DataFrame | None = None, allowed: tuple[str, ...] = WALK_EDGES, base: dict[str, float] | None = None,
-    types: tuple[str, ...] = (), monotonic: bool = True,
+    types: tuple[str, ...] = (), monotonic: bool = True, owned: bool = False,
 ) -> DataFrame:
     """(start, walk, path): distinct walks of at most max_len nodes, each under the least of its numbers.
 
@@ -157,12 +157,14 @@ def random_walks(
     edges (src, dst, edge_type, src_ts, dst_ts, src_type, dst_type), as of ``rca.with_types``. Parallel
     edges of a pair add their weights. A step is drawn by the largest log(weight) - log(-log(u)), which
     picks in proportion to the weights; u is a hash of seed, walk, step and target, so that reruns agree
-    whatever the partitions are.
+    whatever the partitions are. With ``owned``, ids are ``problem#id``, edges and bias have the column problem, and
+    the hash takes what follows the mark.
     """
+    named = (lambda c: F.substring_index(c, "#", -1)) if owned else F.col
     weights = BASE_WEIGHTS if base is None else base
     e = edges.filter(F.col("edge_type").isin(*allowed))
     if bias is not None:
-        e = e.join(bias, ["src_type", "edge_type", "dst_type"], "left")
+        e = e.join(bias, [*(["problem"] if owned else []), "src_type", "edge_type", "dst_type"], "left")
     of_type = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("edge_type")), F.lit(1.0)) if weights else F.lit(1.0)
     weight = of_type * (F.coalesce("bias", F.lit(1.0)) if bias is not None else F.lit(1.0))
     to_type = F.col("dst_type") if "dst_type" in edges.columns else F.lit(None).cast("string")
@@ -183,7 +185,7 @@ def random_walks(
         can = walks.filter(F.size("path") == hop + 1).withColumn("at", F.element_at("path", -1)).join(e, "at")  # others have ended
         can = can.filter(~F.array_contains(F.slice("path", F.greatest(F.size("path") - no_return + 1, F.lit(1)), no_return), F.col("to")))
         can = can.filter(type_fits(hop + 1, F.col("to_type"), types))
-        u = _uniform(F.lit(seed), F.col("start"), F.col("walk"), F.lit(hop), F.col("to"))
+        u = _uniform(F.lit(seed), named("start"), F.col("walk"), F.lit(hop), named("to"))
         draw = F.struct((F.col("log_w") - F.col("decay") - F.log(-F.log(u))).alias("draw"), "to")
         chosen = can.groupBy("start", "walk").agg(F.max_by("to", draw).alias("to"))
         walks = walks.join(chosen, ["start", "walk"], "left").select(

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultloom.plans import causes, links, live, mined, scalars, telemetry
+from faultloom.plans import causes, files, links, live, mined, scalars, stages, telemetry
 
-_ALL = telemetry.QUERIES | links.QUERIES | causes.QUERIES | scalars.QUERIES | mined.QUERIES | live.QUERIES
+_ALL = telemetry.QUERIES | links.QUERIES | causes.QUERIES | scalars.QUERIES | mined.QUERIES | live.QUERIES | files.QUERIES | stages.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

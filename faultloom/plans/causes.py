@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.operators import graph, ranking, rca, walks
+from faultloom.operators import graph, problems, ranking, rca, walks
 from faultloom.plans import telemetry as tel
 from faultloom.plans.bindings import TARGET_TO, sql
 from faultloom.sources.shared import cut
@@ -147,6 +147,30 @@ def _loop(s: SparkSession, d: str) -> DataFrame:
     return rca.find_root_cause(n, e, start["minute_ts"], f"svc:{start['service']}", minutes=600)
 
 
+def all_problems(s: SparkSession, d: str) -> DataFrame:
+    """A problem for each service with errors; its text names the time of the first one for every other service."""
+    first = tel.errors(s, d).groupBy("service").agg(F.min("t").alias("t"))
+    at = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("t").cast("decimal(18,6)"))
+    told = F.concat(F.lit("On "), F.date_format(at, "yyyy-MM-dd"), F.lit(" at "), F.date_format(at, "HH:mm"), F.lit(" errors began in "), "service")
+    return first.select(F.col("service").alias("problem"), F.when(F.substr("service", F.lit(4)).cast("int") % 2 == 1, told).otherwise(F.concat(F.lit("What is wrong with "), "service")).alias("instruction"))
+
+
+def _chosen(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n, e = small(s, d)
+    n, e = cut(n, "nodes"), cut(e, "edges")
+    return n, e, problems.chosen(all_problems(s, d), n, minutes=600, offset_hours=0)
+
+
+def _all_causes(s: SparkSession, d: str) -> DataFrame:
+    n, e, asked = _chosen(s, d)
+    return problems.find_root_causes(n, e, asked, minutes=600)
+
+
+_ASKED = QUIET + """, v_first AS (SELECT service AS problem, min(t) AS t FROM v_errors GROUP BY 1),
+v_median AS (SELECT minute_ts FROM (SELECT minute_ts, row_number() OVER (ORDER BY minute_ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT minute_ts FROM v_nodes)) WHERE i = floor(n / 2)),
+v_asked AS (SELECT problem, CASE WHEN substr(problem, 4)::INTEGER % 2 = 1 THEN t - t % 60 ELSE (SELECT minute_ts FROM v_median) END AS center, CASE WHEN substr(problem, 4)::INTEGER % 2 = 1 THEN 'text' ELSE 'median' END AS center_from FROM v_first),
+v_metric AS (SELECT id, round(abs(zscore), 9) AS z, event_ts - event_ts % 60 AS minute FROM v_nodes WHERE node_type = 'metric_event'),
+v_inside AS (SELECT problem, arg_min(id, (-z, id)) AS inside FROM v_asked JOIN v_metric ON minute BETWEEN center - 36000 AND center + 36000 GROUP BY 1)"""
 _W2 = ", v_u AS (SELECT s, o, t FROM v_r UNION ALL SELECT o, s, t FROM v_r), v_w2 AS (SELECT id AS start, 0 AS hop, id AS node FROM v_start UNION ALL SELECT id, 1, a.o FROM v_start JOIN v_u a ON a.s = id UNION ALL SELECT id, 2, b.o FROM v_start JOIN v_u a ON a.s = id JOIN v_u b ON b.s = a.o AND b.t >= a.t)"
 _FUSE = _SCORES + _REL[len(_SMALL):] + ", v_start AS (SELECT DISTINCT id FROM v_nodes WHERE node_type = 'metric_event')" + _W2
 
@@ -223,6 +247,11 @@ QUERIES: dict = {
     ),
     "grf19_random_walks": (_walk, None),
     "grf20_root_cause_loop": (_loop, None),
+    "h18_seeds_and_centres": (
+        lambda s, d: _chosen(s, d)[2],
+        sql("SELECT problem, center, coalesce(inside, (SELECT arg_min(id, (-z, id)) FROM v_metric)) AS start, center_from, CASE WHEN inside IS NOT NULL THEN 'window' ELSE 'graph' END AS start_from FROM v_asked LEFT JOIN v_inside USING (problem)", *V, more=_ASKED),
+    ),
+    "llm11_all_problems": (_all_causes, None),
     "wn11_path_confidence": (
         lambda s, d: paths(s, d)[0].select("path_id", F.round(walks.path_confidence(F.transform("path", lambda x: F.length(x).cast("long")), F.size("path")), 6).alias("confidence")),
         sql("SELECT path_id, round(1.0 / 3 * CASE WHEN length(n1) < length(n0) THEN 0.5 ELSE 1 END * CASE WHEN length(n2) < length(n1) THEN 0.5 ELSE 1 END, 6) AS confidence FROM v_p", *V, more=_PATHS),

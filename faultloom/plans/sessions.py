@@ -9,14 +9,16 @@ import difflib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultloom.functions import text
-from faultloom.operators import graph
+from faultloom.operators import graph, tokens
+from faultloom.sources.shared import cut
 
 
 class Client(Protocol):
@@ -79,21 +81,9 @@ def clean_rules(rules: DataFrame, relations: list[str], cutoff: float = 0.6) ->
     no chain with non-decreasing times are rejected; each kept rule once."""
     known = list(relations)
 
-    def fix(rule: str) -> str | None:
-        bad = False
-
-        def name(m: re.Match) -> str:
-            nonlocal bad
-            close = difflib.get_close_matches(m[1].strip(), known, 1, cutoff)
-            bad |= not close
-            return (close[0] if close else m[1]) + "("
-
-        fixed = re.sub(r"([^()&<\-\s][^()&<]*?)\((?=X\d)", name, rule)
-        return None if bad else fixed
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield b.map(fix)
+            yield b.map(lambda rule: _with_known_names(rule, known, cutoff))
 
     bare = rules.withColumn("rule", F.regexp_replace("rule", r"^\s*\d+[.)]\s*", "")).filter(F.col("rule").rlike(r"\(X\d+,"))
     fixed = bare.withColumn("fixed", F.pandas_udf(run, "string")("rule"))
@@ -101,6 +91,79 @@ def clean_rules(rules: DataFrame, relations: list[str], cutoff: float = 0.6) ->
     return fixed.filter("ok").select("head", F.col("fixed").alias("rule")).dropDuplicates(), fixed.filter(~F.col("ok")).select("head", "rule")
 
 
+def rule_stage(rules: DataFrame, relations: list[str], cutoff: float = 0.6) -> DataFrame:
+    """(head, rule, fixed, status, reason): every line of a stage with what became of it, one table for both.
+
+    ``kept`` (the first of equal ones), ``repeated``, or ``rejected`` because it is ``no rule``, names an ``unknown relation`` or is
+    ``no chain``. Kept rules are ``fixed``, with known relations and without numbering.
+    """
+    known = list(relations)
+
+    def fix(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(lambda rule: _with_known_names(rule, known, cutoff))
+
+    bare = rules.select("head", "rule", F.regexp_replace("rule", r"^\s*\d+[.)]\s*", "").alias("bare"))
+    named = bare.withColumn("fixed", F.pandas_udf(fix, "string")("bare"))
+    reason = F.when(~F.coalesce(F.col("bare").rlike(r"\(X\d+,"), F.lit(False)), "no rule").when(F.col("fixed").isNull(), "unknown relation").when(~F.coalesce(text.is_chain(F.col("fixed")), F.lit(False)), "no chain")
+    told = cut(named.withColumn("reason", reason), "rule-stage")
+    place = F.row_number().over(Window.partitionBy("head", "fixed", "reason").orderBy("rule"))
+    status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("place") > 1, "repeated").otherwise("kept")
+    return told.withColumn("place", place).select("head", "rule", "fixed", status.alias("status"), "reason")
+
+
+def _with_known_names(rule: str | None, known: list[str], cutoff: float) -> str | None:
+    """The rule with each relation's closest known name; None if one has none."""
+    missing = False
+
+    def name(m: re.Match) -> str:
+        nonlocal missing
+        close = difflib.get_close_matches(m[1].strip(), known, 1, cutoff)
+        missing |= not close
+        return (close[0] if close else m[1]) + "("
+
+    fixed = re.sub(r"([^()&<\-\s][^()&<]*?)\((?=X\d)", name, rule or "")
+    return None if missing else fixed
+
+
+def summary_prompt(head: str, k: int) -> str:
+    wanted = f"the {k} most important" if k else "as many of the most important as possible"
+    return f'Of these rules for the head "{head}(X,Y,T)" name {wanted}. Put rules of like meaning together as one. Answer with rules only.'
+
+
+def summaries(rules: DataFrame, make_client: Callable[[], Client], limit: int, k: int = 0, counter: Callable[[pd.Series], pd.Series] | None = None, max_levels: int = 8) -> DataFrame:
+    """(head, rule, level): rule sets (head, rule) of any size, summed up by the client in a tree.
+
+    Each level deals the rules of a head to prompts of at most ``limit`` tokens and takes the client's rules as the next
+    level's. A head is done when one prompt held all its rules, when a level no longer makes them fewer, or after
+    ``max_levels``. Every rule of a level reaches a prompt.
+    """
+    room = limit - tokens.word_counter(pd.Series([summary_prompt("x", k)]))[0]
+    if room <= 0:
+        raise ValueError(f"a limit of {limit} tokens leaves no room for rules")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make_client()
+        for b in batches:
+            rows = [(h, line.strip()) for h, lines in zip(b["key"], b["lines"], strict=True) for line in client.complete("\n".join([*lines, summary_prompt(h, k)])).splitlines() if re.search(r"\(X\d", line)]
+            yield pd.DataFrame(rows, columns=["head", "rule"])
+
+    open_, done = rules.select("head", "rule").distinct(), []
+    for level in range(1, max_levels + 1):
+        packed = cut(tokens.packs(open_.select(F.col("head").alias("key"), F.col("rule").alias("seq"), F.col("rule").alias("text")), int(room), counter), "packed")
+        prompts = packed.groupBy("key", "pack").agg(F.sort_array(F.collect_list("text")).alias("lines"))  # at most a prompt's tokens
+        answered = cut(prompts.repartition("key", "pack").mapInPandas(ask, "head string, rule string").distinct().withColumn("level", F.lit(level)), "answers")
+        was = packed.groupBy(F.col("key").alias("head")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pack").alias("prompts"))
+        now = answered.groupBy("head").agg(F.count(F.lit(1)).alias("left"))
+        ends = (F.col("prompts") == 1) | (F.col("left") >= F.col("n")) | F.lit(level == max_levels)
+        ended = was.join(now, "head").filter(ends).select("head")
+        done.append(answered.join(ended, "head", "left_semi"))
+        open_ = cut(answered.join(ended, "head", "left_anti").select("head", "rule"), "open")
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
 def evidence(nodes: DataFrame, edges: DataFrame, center: int, seconds: int = 150, limit: int = 200) -> str:
     """The window's events as JSON lines, strongest first; ``limit`` bounds the prompt."""
     n, _ = graph.window_subgraph(nodes, edges, center, -(-seconds // 60))

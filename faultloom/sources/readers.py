@@ -63,15 +63,16 @@ def span_csv(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
     return rows.select("trace_id", "span_id", parent.alias("parent_id"), F.col("cmdb_id").alias("service"), F.lit(None).cast("string").alias("operation"), F.floor(F.col("timestamp") / 1000).alias("start_time"), "duration")
 
 
-def span_json(spark: SparkSession, path: str) -> DataFrame:
-    """The same of a trace export ``{data: [{processes, spans}]}`` or a flat list of spans.
+def span_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The same of a trace export ``{data: [{processes, spans}]}`` or a flat list of spans; a file is one document, or
+    with ``multi_line`` off has one a line, so that large files can be split.
 
     A span's process gives its service; its parent is the first CHILD_OF or FOLLOWS_FROM reference.
     """
     span = "struct<traceID:string,spanID:string,processID:string,operationName:string,startTime:double,duration:double,references:array<struct<refType:string,spanID:string>>,serviceName:string,parentSpanID:string>"
     fields = ", ".join(f"{n} {t}" for n, t in (("traceID", "string"), ("spanID", "string"), ("processID", "string"), ("operationName", "string"), ("startTime", "double"), ("duration", "double"), ("references", "array<struct<refType:string,spanID:string>>"), ("serviceName", "string"), ("parentSpanID", "string")))
     wide = f"data array<struct<processes:string,spans:array<{span}>>>, {fields}"
-    rows = spark.read.schema(wide).json(path, multiLine=True)
+    rows = spark.read.schema(wide).json(path, multiLine=multi_line)
     nested = rows.select(F.explode("data").alias("d")).select(F.col("d.processes").alias("p"), F.explode("d.spans").alias("x"))
     listed = F.from_json("p", "array<struct<id:string,serviceName:string>>")
     by_id = F.from_json("p", "map<string,struct<serviceName:string>>")
@@ -85,8 +86,9 @@ def span_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def problems(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """(row_no, instruction, scoring_points) of rows 1 .. n: the first row (0) is skipped."""
-    rows = spark.read.schema(schema.PROBLEM_CSV).csv(path, header=True, multiLine=True, escape='"')
+    """(row_no, instruction, scoring_points) of rows 1 .. n: the first row (0) is skipped. The rows before the last
+    wanted one are all that is numbered."""
+    rows = spark.read.schema(schema.PROBLEM_CSV).csv(path, header=True, multiLine=True, escape='"').limit(n + 1)
     numbered = rows.withColumn("row_no", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
     return numbered.filter(F.col("row_no").between(1, n))
 
@@ -113,9 +115,13 @@ def quad_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.QUAD_TSV).csv(path, sep="\t")
 
 
-def triple_tsv(spark: SparkSession, path: str, sparsity: float = 1.0, seed: int = 12) -> DataFrame:
+def triple_tsv(spark: SparkSession, path: str, sparsity: float = 1.0, seed: int = 12, exactly: int | None = None) -> DataFrame:
+    """(s, r, o) names. ``sparsity`` keeps each triple with that probability, ``exactly`` that many of them, equal rows apart;
+    both by hashes of the triple and the seed, so neither depends on files or partitions."""
     rows = spark.read.schema(schema.TRIPLE_TSV).csv(path, sep="\t")
-    return rows if sparsity >= 1 else rows.sample(sparsity, seed)
+    u = F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    rows = rows if sparsity >= 1 else rows.filter(u < sparsity)
+    return rows if exactly is None else rows.orderBy(u, *rows.columns).limit(exactly)
 
 
 def name_list(spark: SparkSession, path: str) -> DataFrame:

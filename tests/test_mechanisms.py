@@ -333,3 +333,226 @@ def test_moments_merge():
     x = np.random.default_rng(0).normal(3, 2, 50)
     n, mean, squares = live.merged(live.merged(live.moments(x[:0]), live.moments(x[:13])), live.moments(x[13:]))
     assert n == 50 and math.isclose(mean, x.mean()) and math.isclose(squares / n, x.var())
+
+
+# Batches of problems
+
+
+def incident(seed):
+    """A graph of 3 services over 40 minutes, with calls."""
+    rng = np.random.default_rng(seed)
+    nodes, edges = [], []
+    for k in range(3):
+        for m in range(40):
+            nodes.append((f"svc:s{k}", "service", f"s{k}", None, None, None, None, 60 * m))
+    last = {}
+    for j in range(160):
+        t, k = int(60 * j // 4 + rng.integers(0, 15)), int(rng.integers(0, 3))
+        metric = bool(rng.random() < 0.6)
+        z = round(float(rng.normal(0, 4)), 3) if metric else None
+        name = f"{'met' if metric else 'log'}:s{k}:{j}"
+        nodes.append((name, "metric_event" if metric else "log_event", f"s{k}", "cpu" if metric else None, None if metric else "ERROR", z, t, t - t % 60))
+        edges.append((f"svc:s{k}", name, "has_metric" if metric else "has_log", 1.0, None, t - t % 60))
+        if k in last:
+            edges.append((last[k][0], name, "precedes", 1.0, t - last[k][1], last[k][1] - last[k][1] % 60))
+        last[k] = (name, t)
+    edges += [("svc:s0", "svc:s1", "calls", 1.0, None, 60 * m) for m in range(0, 40, 3)]
+    return nodes, edges
+
+
+def test_all_problems_end_as_each_by_itself(spark):
+    from faultloom.operators import problems, rca
+
+    nodes, edges = incident(2)
+    n = spark.createDataFrame(nodes, "id string, node_type string, service string, metric string, severity string, zscore double, event_ts long, minute_ts long").cache()
+    e = spark.createDataFrame(edges, "src string, dst string, edge_type string, weight double, dt_seconds long, minute_ts long").cache()
+    asked = [("a", 600, "svc:s0"), ("c", 1800, nodes[125][0]), ("far", 90_000, "svc:s0"), ("none", 600, None)]
+    found = problems.find_root_causes(n, e, spark.createDataFrame(asked, "problem string, center long, start string"), n_walks=30, n_biased=40, rounds=3).collect()
+    assert [r.problem for r in sorted(found)] == sorted(a[0] for a in asked)
+    for r in found:
+        center, start = next((c, s) for p, c, s in asked if p == r.problem)
+        if start is None:
+            assert r.service == "unknown" and r.evidence_paths == []
+            continue
+        own = rca.find_root_cause(n, e, center, start, n_walks=30, n_biased=40, rounds=3).first()
+        assert tuple(r)[1:4] == tuple(own)[:3] and math.isclose(r.confidence, own.confidence, abs_tol=1e-12)
+        assert r.evidence_paths == own.evidence_paths and r.rules_used == own.rules_used
+    assert any(r.evidence_paths for r in found) and {r.service for r in found} > {"unknown"}
+
+
+def test_where_problems_begin(spark):
+    from faultloom.operators import problems
+
+    schema = "id string, node_type string, service string, metric string, severity string, zscore double, event_ts long, minute_ts long"
+    nodes = [(f"m{t}{z}", "metric_event", "s", "cpu", None, float(z), t, t - t % 60) for t, z in ((100, 3), (130, -5), (6000, 9), (6010, 9), (9000, 4))]
+    nodes += [("svc:s", "service", "s", None, None, None, None, m) for m in (60, 120, 9000)]
+    asked = [("near", "1970-01-01 00:01 to 00:04 it broke"), ("median", "no time here"), ("far", "on 1970-01-01 at 20:00"), ("null", None)]
+    frame = spark.createDataFrame(asked, "problem string, instruction string")
+    got = {r.problem: tuple(r)[1:] for r in problems.chosen(frame, spark.createDataFrame(nodes, schema), 5, 0).collect()}
+    assert got == {"near": (60, "m130-5", "text", "window"), "median": (6000, "m60009", "median", "window"), "far": (72_000, "m60009", "text", "graph"), "null": (6000, "m60009", "median", "window")}
+    quiet = spark.createDataFrame([n for n in nodes if n[1] == "service"], schema)
+    assert {tuple(r)[2:] for r in problems.chosen(frame, quiet, 5, 0).collect()} == {("svc:s", "text", "service"), ("svc:s", "median", "service")}
+    assert {r.start for r in problems.chosen(frame, quiet.filter("false"), 5, 0).collect()} == {None}
+
+
+# Stores and neighbourhoods
+
+
+def test_minute_store_rewrites_only_what_changed(spark, tmp_path):
+    import os
+
+    from faultloom.sources import store
+
+    nodes, edges = incident(4)
+    schema = "id string, node_type string, service string, metric string, severity string, zscore double, event_ts long, minute_ts long"
+    n, e = spark.createDataFrame(nodes, schema), spark.createDataFrame(edges, "src string, dst string, edge_type string, weight double, dt_seconds long, minute_ts long")
+    folder = str(tmp_path / "store")
+    assert store.manifest(spark, folder).count() == 0
+    assert store.merge(n, e, folder).count() == len({x[-1] for x in nodes})
+    assert store.merge(n, e, folder).count() == 0 and store.changed(spark, folder, n.repartition(3), e, True).count() == 0
+    before = {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, files in os.walk(folder) for f in files if f.startswith("part-")}
+    more = n.filter("minute_ts <> 120").unionByName(spark.createDataFrame([("met:new", "metric_event", "s1", "cpu", None, 5.0, 310, 300)], schema))
+    kept = e.filter("minute_ts <> 120 and not (minute_ts = 600 and edge_type = 'precedes')")
+    rewritten = {r.minute_ts: r for r in store.merge(more, kept, folder, whole=True).collect()}
+    assert set(rewritten) <= {120, 300, 600} and {120, 300} <= set(rewritten) and rewritten[120].nodes_count == 0
+    after = {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, files in os.walk(folder) for f in files if f.startswith("part-")}
+    same = set(before) & set(after)
+    assert len(same) > 60 and all(before[f] == after[f] for f in same)
+    for center, minutes in ((300, 2), (1200, 40)):
+        got_n, got_e = store.window(spark, folder, center, minutes)
+        inside = F.col("minute_ts").between(center - 60 * minutes, center + 60 * minutes)
+        assert Counter(map(tuple, got_n.select(*more.columns).collect())) == Counter(map(tuple, more.filter(inside).collect()))
+        assert Counter(map(tuple, got_e.select(*kept.columns).collect())) == Counter(map(tuple, kept.filter(inside).collect()))
+        assert "PartitionFilters: [isnotnull(minute_ts" in got_n._jdf.queryExecution().toString()
+    assert {r.minute_ts: (r.nodes_count, r.edges_count) for r in store.manifest(spark, folder).collect()} == {m: (c, Counter(r.minute_ts for r in kept.select("minute_ts").collect())[m]) for m, c in Counter(r.minute_ts for r in more.select("minute_ts").collect()).items()}
+
+
+def test_capped_neighbourhood_is_the_same_in_every_run(spark):
+    from faultloom.operators import quads
+
+    facts = spark.createDataFrame([(a, 0, b, 0) for a in range(40) for b in (a + 1, 2 * a, 3 * a + 1, 0)], QUADS)
+    start = spark.createDataFrame([(0,)], "id int")
+    every = {r.id: r.hop for r in quads.hop_neighbourhood(facts, start, 3).collect()}
+    runs = [sorted(map(tuple, quads.hop_neighbourhood(facts.repartition(p), start, 3, cap=4).collect())) for p in (1, 5)]
+    assert runs[0] == runs[1] and Counter(h for _, h in runs[0]) == {0: 1, 1: 4, 2: 4, 3: 4}
+    assert all(h >= every[i] for i, h in runs[0]) and len({i for i, _ in runs[0]}) == 13
+    assert sorted(map(tuple, quads.hop_neighbourhood(facts, start, 3, cap=4, seed=1).collect())) != runs[0]
+    whole = {r.id: r.hop for r in quads.hop_neighbourhood(facts, start, 3, cap=1000).collect()}
+    assert whole == every
+
+
+def test_triples_by_probability_and_by_number(spark, tmp_path):
+    from faultloom.sources import readers
+
+    rows = spark.createDataFrame([(f"a{k}", f"r{k % 3}", f"b{k % 50}") for k in range(1000)], "s string, r string, o string")
+    rows.repartition(1).write.csv(str(tmp_path / "one"), sep="\t")
+    rows.repartition(6).write.csv(str(tmp_path / "six"), sep="\t")
+    for options in ({"sparsity": 0.3}, {"exactly": 77}, {"sparsity": 0.5, "exactly": 100, "seed": 3}):
+        one, six = (set(map(tuple, readers.triple_tsv(spark, str(tmp_path / f), **options).collect())) for f in ("one", "six"))
+        assert one == six and (len(one) == options["exactly"] if "exactly" in options else 230 < len(one) < 370)
+
+
+# Packing, summaries, stages
+
+
+def test_packs_by_prefix_sums(spark):
+    from faultloom.operators import tokens
+
+    rng = np.random.default_rng(3)
+    rows = [(f"k{k % 3}", int(i), " ".join(["w"] * int(n))) for i, (k, n) in enumerate(zip(rng.integers(0, 7, 400), rng.integers(0, 30, 400), strict=True))]
+    rows += [("long", 0, "w " * 500), ("long", 1, "w"), ("null", 0, None), ("same", 1, "a b"), ("same", 1, "a b")]
+    got = tokens.packs(spark.createDataFrame(rows, "key string, seq int, text string"), 40).collect()
+    assert Counter((r.key, r.seq, r.text) for r in got) == Counter(rows)
+    held = defaultdict(list)
+    for r in got:
+        held[r.key, r.pack].append((r.seq, len((r.text or "").split())))
+    assert all(sum(n for _, n in v) <= 40 or len(v) == 1 for v in held.values())
+    for key in {r[0] for r in rows}:  # packs follow each other in the order of seq, and there are at most twice as many as need be
+        packs = sorted(p for k, p in held if k == key)
+        assert all(max(held[key, a])[0] <= min(held[key, b])[0] for a, b in itertools.pairwise(packs))
+        assert len(packs) <= 2 * (sum(n for p in packs for _, n in held[key, p]) // 40) + 2
+
+
+class Halving:
+    """Answers with every second rule, and notes the prompts in a folder."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def complete(self, prompt):
+        import uuid
+
+        (self.folder / uuid.uuid4().hex).write_text(prompt)
+        return "\n".join(["Here they are:", *[line for line in prompt.splitlines() if "(X0" in line][::2]])
+
+
+def test_summaries_in_levels(spark, tmp_path):
+    from faultloom.plans import sessions
+
+    rules_of = lambda head, n: [(head, f"{head}(X0,X1,T1)<-b{k:03d}(X0,X1,T0)") for k in range(n)]
+    rows = rules_of("big", 60) + rules_of("small", 3)
+    got = sessions.summaries(spark.createDataFrame(rows, "head string, rule string"), lambda: Halving(tmp_path), 40)
+    found = defaultdict(set)
+    for r in got.collect():
+        found[r.head].add((r.rule, r.level))
+    prompts = [p.read_text() for p in tmp_path.iterdir()]
+    assert all(any(rule in p for p in prompts) for _, rule in rows)
+    assert all(len(p.split()) <= 40 for p in prompts)
+    assert {level for _, level in found["small"]} == {1} and len(found["small"]) == 2
+    assert len({level for _, level in found["big"]}) == 1 and next(iter(found["big"]))[1] > 1 and len(found["big"]) < 20
+    assert {rule for rule, _ in found["big"]} <= {rule for _, rule in rows}
+    with pytest.raises(ValueError, match="no room"):
+        sessions.summaries(spark.createDataFrame(rows, "head string, rule string"), lambda: Halving(tmp_path), 5)
+
+
+def test_rule_stage_says_what_became_of_each_line(spark):
+    from faultloom.plans import sessions
+
+    lines = [
+        ("a", "1. visit(X0,X1,T1)<-meet(X0,X1,T0)"), ("a", "visit(X0,X1,T1)<-meeet(X0,X1,T0)"), ("a", "visit(X0,X1,T1)<-qqqqzzzz(X0,X1,T0)"), ("a", "Sure!"), ("a", None), ("a", "visit(X0,X2,T2)<-meet(X0,X1,T0)&call(X3,X2,T1)"), ("b", "2) visit(X0,X1,T1)<-meet(X0,X1,T0)"),
+    ]
+    got = {(r.head, r.rule): (r.status, r.reason) for r in sessions.rule_stage(spark.createDataFrame(lines, "head string, rule string"), ["visit", "meet", "call"]).collect()}
+    assert len(got) == len(lines)
+    assert sorted(got["a", x][0] for _, x in lines[:2]) == ["kept", "repeated"] and got["b", lines[6][1]] == ("kept", None)
+    assert [got["a", x][1] for _, x in lines[2:6]] == ["unknown relation", "no rule", "no rule", "no chain"]
+    assert sessions.rule_stage(spark.createDataFrame([], "head string, rule string"), ["visit"]).count() == 0
+
+
+@pytest.mark.parametrize("max_len", [1, 2, 3])
+def test_closed_relation_paths(spark, max_len):
+    facts = sorted({f[:3] for f in some_facts(11, n=70, entities=8)})
+    out = defaultdict(set)
+    for s, r, o in facts:
+        out[s].add((r, o))
+
+    def paths(s, r, o):
+        found = set()
+
+        def go(at, path, seen):
+            if at == o:
+                if path != (r,):
+                    found.add(path)
+                return
+            if len(path) < max_len:
+                for rel, to in out[at]:
+                    if to not in seen:
+                        go(to, (*path, rel), {*seen, to})
+
+        go(s, (), {s})
+        return found
+
+    expected = Counter((r, p) for s, r, o in facts if s != o for p in paths(s, r, o))
+    triples = spark.createDataFrame(facts, "s int, r int, o int")
+    assert {(x.r, tuple(x.path)): x.n for x in rules.closed_relation_paths(triples, triples, max_len).collect()} == dict(expected)
+
+
+def test_evaluated_rules(spark):
+    facts = some_facts(5, n=150)
+    quads = spark.createDataFrame(facts, QUADS)
+    asked = [(0, [1], []), (2, [1, 2], []), (0, [1, 2], [[0, 2]]), (0, [7, 1], []), (9, [1], None)]
+    rows = rules.evaluated(spark.createDataFrame(asked, "head_rel int, body_rels array<int>, var_constraints array<array<int>>"), quads, 6, 2).collect()
+    got = {(r.head_rel, tuple(r.body_rels), tuple(map(tuple, r.var_constraints))): (r.body_supp, r.rule_supp, r.conf) for r in rows}
+    assert len(got) == len(asked) and got[0, (7, 1), ()] == (0, 0, 0.0) and got[9, (1,), ()][1:] == (0, 0.0) and got[9, (1,), ()][0] > 0
+    for r in rules.chain_rules(quads, 1, 6).unionByName(rules.chain_rules(quads, 2, 6)).collect():
+        key = (r.head_rel, tuple(r.body_rels), tuple(map(tuple, r.var_constraints)))
+        assert key not in got or got[key] == (r.body_supp, r.rule_supp, r.conf)

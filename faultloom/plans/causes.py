@@ -56,13 +56,16 @@ _SCORES = (
 
 
 def relation_edges(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Edges (s, o, t) with names as ids, and nodes: has_* and precedes at the time of the later end."""
+    """Edges (s, o, t) with names as ids, and nodes: has_* and precedes at the time of the later end, calls at their minute."""
     n, e = small(s, d)
     at = n.filter("event_ts is not null").groupBy(F.col("id").alias("dst")).agg(F.min("event_ts").alias("t"))
-    return n, cut(e.join(at, "dst").select(F.col("src").alias("s"), F.col("dst").alias("o"), "t", (F.col("edge_type") == "precedes").alias("causal")), "edges")
+    timed = e.join(at, "dst").select(F.col("src").alias("s"), F.col("dst").alias("o"), "t", (F.col("edge_type") == "precedes").alias("causal"))
+    name = lambda c: F.concat(F.lit("svc:"), c)
+    called = tel.calls(s, d).select(name("src").alias("s"), name("dst").alias("o"), F.col("minute_ts").alias("t"), F.lit(False).alias("causal"))
+    return n, cut(timed.unionByName(called), "edges")
 
 
-_REL = _SMALL + ", v_at AS (SELECT id, min(event_ts) AS t FROM v_nodes WHERE event_ts IS NOT NULL GROUP BY 1), v_r AS (SELECT src AS s, dst AS o, t, edge_type = 'precedes' AS causal FROM v_se JOIN v_at ON v_at.id = dst)"
+_REL = _SMALL + ", v_at AS (SELECT id, min(event_ts) AS t FROM v_nodes WHERE event_ts IS NOT NULL GROUP BY 1), v_r AS (SELECT src AS s, dst AS o, t, edge_type = 'precedes' AS causal FROM v_se JOIN v_at ON v_at.id = dst UNION ALL SELECT 'svc:' || src, 'svc:' || dst, minute_ts, false FROM v_traced)"
 
 
 def starts(n: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from faultloom.functions.times import minute_bucket
 from faultloom.operators import anomaly, causal, graph
 from faultloom.plans import bindings as b
 from faultloom.plans.bindings import BASE_FROM, TARGET_FROM, TARGET_TO, sql
+from faultloom.sources.shared import cut
 
 
 def anomalies(s: SparkSession, d: str) -> DataFrame:
@@ -84,18 +85,17 @@ def _edge_times(s, d):
 
 
 def _ids(s, d):
-    n, e = tkg(s, d, False)
-    return graph.node_ids(n)
+    return graph.node_ids(tkg(s, d)[0])
 
 
 def _relations(s, d):
-    n, e = tkg(s, d, False)
+    n, e = (cut(x, "graph") for x in tkg(s, d))
     timed = graph.edge_times(n, e)
-    return graph.relation_edges(timed, {"has_log": 0, "has_metric": 1, "precedes": 2}, graph.node_ids(n))
+    return graph.relation_edges(timed, {"has_log": 0, "has_metric": 1, "precedes": 2, "calls": 3}, graph.node_ids(n))
 
 
 def _components(s, d):
-    n, e = tkg(s, d, False)
+    n, e = (cut(x, "graph") for x in tkg(s, d))
     return graph.weak_components(n, e).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -166,16 +166,16 @@ QUERIES: dict = {
     ),
     "grf6_weak_components": (
         _components,
-        "WITH RECURSIVE " + sql("", "v_events", more=f"{QUIET}, pairs AS (SELECT DISTINCT src AS id, dst AS other FROM v_edges UNION SELECT dst, src FROM v_edges), reach(id, other) AS (SELECT id, id FROM v_nodes UNION SELECT r.id, p.other FROM reach r JOIN pairs p ON r.other = p.id)").removeprefix("WITH ")
+        "WITH RECURSIVE " + sql("", *GRAPH, more=f"{NODES}, pairs AS (SELECT DISTINCT src AS id, dst AS other FROM v_edges UNION SELECT dst, src FROM v_edges), reach(id, other) AS (SELECT id, id FROM v_nodes UNION SELECT r.id, p.other FROM reach r JOIN pairs p ON r.other = p.id)").removeprefix("WITH ")
         + "SELECT component, count(*) AS n FROM (SELECT id, min(other) AS component FROM reach GROUP BY id) GROUP BY 1",
     ),
     "grf7_minutes": (lambda s, d: tkg(s, d)[0].select("minute_ts").distinct(), sql("SELECT DISTINCT minute_ts FROM v_nodes", *GRAPH, more=NODES)),
-    "grf8_node_ids": (_ids, sql("SELECT * FROM v_ids", "v_events", more=f"{QUIET}, {IDS}")),
+    "grf8_node_ids": (_ids, sql("SELECT * FROM v_ids", *GRAPH, more=f"{NODES}, {IDS}")),
     "grf8_relation_edges": (
         _relations,
         sql(
-            "SELECT s.int_id AS s, CASE edge_type WHEN 'has_log' THEN 0 WHEN 'has_metric' THEN 1 ELSE 2 END AS r, o.int_id AS o, coalesce(least(a.ts, z.ts), 0) AS t FROM v_edges e JOIN v_ids s ON s.id = src JOIN v_ids o ON o.id = dst LEFT JOIN (SELECT minute_ts, id, min(event_ts) AS ts FROM v_nodes GROUP BY 1, 2) a ON a.id = e.src AND a.minute_ts = e.minute_ts LEFT JOIN (SELECT minute_ts, id, min(event_ts) AS ts FROM v_nodes GROUP BY 1, 2) z ON z.id = e.dst AND z.minute_ts = e.minute_ts",
-            "v_events", more=f"{QUIET}, {IDS}",
+            "SELECT s.int_id AS s, CASE edge_type WHEN 'has_log' THEN 0 WHEN 'has_metric' THEN 1 WHEN 'precedes' THEN 2 ELSE 3 END AS r, o.int_id AS o, coalesce(least(a.ts, z.ts), 0) AS t FROM v_edges e JOIN v_ids s ON s.id = src JOIN v_ids o ON o.id = dst LEFT JOIN (SELECT minute_ts, id, min(event_ts) AS ts FROM v_nodes GROUP BY 1, 2) a ON a.id = e.src AND a.minute_ts = e.minute_ts LEFT JOIN (SELECT minute_ts, id, min(event_ts) AS ts FROM v_nodes GROUP BY 1, 2) z ON z.id = e.dst AND z.minute_ts = e.minute_ts",
+            *GRAPH, more=f"{NODES}, {IDS}",
         ),
     ),
     "flt16_trim": (

@@ -2,8 +2,11 @@
 
 Every document is measured, the failures of its host are aggregated, the host's failure rate is
 shrunk with an empirical beta prior fitted to all hosts by the method of moments, and the host's
-verdict is joined back: a document is kept if it passes the base rules itself and its host's
-shrunk rate is at most ``max_host_rate``.
+verdict is joined back: a document is kept if it passes the base rules itself and its host doesn't
+stand out. A host does if its failure rate lies above the prior's mean by more than ``min_margin``, with a
+posterior chance of ``CERTAIN`` standard deviations (95 of 100; by the normal form of the posterior beta). What counts is
+what hosts have in common: a corpus whose hosts are alike loses none of them, however strict the rules
+are, and a small host needs a far higher rate than a large one.
 
 Defined results: a null or empty text has zero words and fails the base rules; a null host is a
 host of its own; equal rows are separate documents; an empty table gives an empty result; other
@@ -22,6 +25,9 @@ SYMBOLS = "#*$%&|<>"
 #: Prior strength (pseudo-documents) is kept within these bounds.
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1e6
 
+#: A chance of 95 of 100 in standard deviations, on one side.
+CERTAIN = 1.645
+
 
 def _covered(positions: Column, span: int) -> Column:
     """How many of the places p .. p + span - 1 the sorted positions cover."""
@@ -88,7 +94,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     )
 
 
-def host_verdicts(measured: DataFrame, failed: Column, max_host_rate: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, failed: Column, min_margin: float = 0.15) -> DataFrame:
     """(host, n_docs, n_failed, host_rate, host_kept): failure rates shrunk to what hosts have in common.
 
     The prior Beta(a, b) has the mean m and variance v of the hosts' raw rates; its strength
@@ -104,7 +110,9 @@ def host_verdicts(measured: DataFrame, failed: Column, max_host_rate: float = 0.
     strength = spread / moments["v"] - 1 if moments["v"] else MAX_STRENGTH
     strength = min(max(strength, MIN_STRENGTH), MAX_STRENGTH)
     shrunk = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= max_host_rate)
+    rate = F.col("host_rate")
+    least = rate - CERTAIN * F.sqrt(rate * (1 - rate) / (F.col("n_docs") + F.lit(strength + 1)))
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_kept", least <= mean + min_margin)
 
 
 def quality_rules(
@@ -116,7 +124,7 @@ def quality_rules(
     max_repeat_percent: int = 50,
     max_symbol_percent: int = 10,
     max_dup_lines: int = 10,
-    max_host_rate: float = 0.5,
+    min_margin: float = 0.15,
 ) -> DataFrame:
     """Measures, base_failed, and kept for each document.
 
@@ -134,7 +142,7 @@ def quality_rules(
         | (100 * F.col("n_symbols") > max_symbol_percent * F.col("word_chars"))
         | (F.col("n_dup_lines") > max_dup_lines)
     )
-    verdicts = host_verdicts(measured, failed, max_host_rate).select(F.col("host").alias("of_host"), "host_rate", "host_kept")
+    verdicts = host_verdicts(measured, failed, min_margin).select(F.col("host").alias("of_host"), "host_rate", "host_kept")
     joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")), "left")
     return joined.select(
         "doc_id",
@@ -180,7 +188,7 @@ WITH split AS (
 ), prior AS (
   SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS k FROM moments
 ), verdicts AS (
-  SELECT source, (f + m * k) / (n + k) <= 0.5 AS host_kept FROM hosts, prior
+  SELECT source, r - 1.645::DOUBLE * sqrt(r * (1 - r) / (n + k + 1)) <= m + 0.15::DOUBLE AS host_kept FROM (SELECT *, (f + m * k) / (n + k) AS r FROM hosts, prior)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND host_kept AS kept

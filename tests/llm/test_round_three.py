@@ -250,3 +250,26 @@ def test_large_hosts_are_dealt(spark, monkeypatch):
     rows = [(k, "http://a.com/", f"<div><p>{note}</p><p>{' '.join(f'v{k}y{j}' for j in range(40))}</p></div>") for k in range(60)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 60 and all(r.text == " ".join(f"v{r.page_id}y{j}" for j in range(40)) for r in got)
+
+
+# op10: hosts that stand out
+
+
+def test_hosts_that_stand_out_fall(spark):
+    """Twenty hosts alike, one with many bad documents, and small ones with few: the SQL twin agrees, and only the bad one falls."""
+    import duckdb
+
+    from faultloom.llm import quality_rules
+
+    rng = np.random.default_rng(0)
+    good = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10_000, 80))
+    bad = lambda: "short text"
+    rows = [(f"h{k}", bad() if i % 6 == 0 else good()) for k in range(20) for i in range(60)]
+    rows += [("worse", bad() if i % 5 < 3 else good()) for i in range(100)] + [("tiny", bad()), ("tiny", bad()), ("tiny", good())] + [(None, good())] * 3
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = sorted(map(tuple, quality_rules.quality_rules(docs).collect()))
+    kept = {rows[r[0]][0] for r in got if r[-1]}
+    assert "worse" not in kept and kept == {f"h{k}" for k in range(20)} | {"tiny", None}
+    assert sum(r[-1] != (not r[-2]) for r in got) == 40  # good documents of the bad host
+    documents = docs.toPandas()  # noqa: F841 - read by the query
+    assert sorted(duckdb.sql(quality_rules.ORACLE_SQL).fetchall()) == got

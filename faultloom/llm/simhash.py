@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from faultloom.llm._common import discard, written
@@ -41,6 +41,8 @@ LANES = 8
 #: The order of shingles is by how often their slot of SLOTS was met in one in SAMPLE documents.
 SAMPLE, SLOTS = 64, 1 << 20
 MOST_SEEN = 1_000_000
+#: Bits of the table that tells which texts have to move: 2 MB, a power of two.
+MARKS = 1 << 24
 #: Rounds in which groups that meet in a cell are compared by one member each, before all pairs that are left.
 ROUNDS = 2
 #: Cells of at most FEW nodes give their pairs at once; larger ones go through the rounds first.
@@ -256,27 +258,35 @@ def cell_links(cells: DataFrame, radius: int) -> DataFrame:
     return spread.mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
 
 
+def _written_links(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """Distinct links (hi, lo) as a table, and what tells whether two such tables are equal: their number and two sums
+    over 64-bit hashes of the rows, taken while they are written."""
+    seen = Observation()
+    mixed = F.xxhash64("hi", "lo")
+    sums = [F.count(F.lit(1)).alias("n"), F.bit_xor(mixed).alias("xor"), F.sum(mixed.cast("decimal(38,0)")).alias("sum")]
+    table = written(links.filter("hi <> lo").distinct().observe(seen, *sums), "links")
+    return table, tuple(seen.get[k] for k in ("n", "xor", "sum"))
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches, itself included.
 
     Large-star joins every node's larger neighbours to its smallest, small-star its smaller ones; both
     are aggregations and joins on nodes. A hub's neighbours are never gathered: only minima are.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "links")
+    now, known = _written_links(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "other")
         least = both.groupBy("node").agg(F.min("other").alias("least"))
         least = least.select("node", F.least("node", "least").alias("least"))
-        large = both.filter("other > node").join(least, "node").select(F.col("other").alias("hi"), F.col("least").alias("lo")).distinct()
+        # Joined by their keys' order: no table of a round passes through the driver.
+        large = both.filter("other > node").join(least.hint("merge"), "node").select(F.col("other").alias("hi"), F.col("least").alias("lo"))
         small_least = large.groupBy("hi").agg(F.min("lo").alias("least"))
-        small = large.join(small_least, "hi")
+        small = large.join(small_least.hint("merge"), "hi")
         small = small.select(F.col("lo").alias("hi"), F.col("least").alias("lo")).union(small_least.select("hi", F.col("least").alias("lo")))
-        after = written(small.filter("hi <> lo").distinct(), "links")
-        # Both are without repeats, so they are equal if as many and one lies in the other.
-        changed = after.count() != now.count() or not after.join(now, ["hi", "lo"], "left_anti").isEmpty()
-        discard(edges.sparkSession, now)
-        now = after
-        if not changed:
+        before, was, (now, known) = now, known, _written_links(small)
+        discard(edges.sparkSession, before)
+        if known == was:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -330,6 +340,16 @@ def _seat(i: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", F.md5(F.coalesce(text, F.lit(""))), F.when(text.isNull(), "null").otherwise("text"), named)))
 
 
+def _may_be(rows: DataFrame, seats: DataFrame) -> DataFrame:
+    """rows with ``_may_be``: false where a row's seat is surely none of seats. A table of MARKS bits, at most MARKS / 64 rows, goes
+    to every task, so that of the texts only those move that a join may keep; the fuller it is, the more do."""
+    bit = F.pmod(F.xxhash64("seat"), F.lit(MARKS))
+    cells = seats.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("_cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits"))
+    joined = rows.withColumn("_cell", F.shiftright(bit, 6)).join(F.broadcast(cells), "_cell", "left")
+    marked = F.col("_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))) != 0
+    return joined.withColumn("_may_be", F.coalesce(marked, F.lit(False))).drop("_cell", "_bits")
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a similarity of NEAR: by size and parities as far as these
     rule it out, then by the sets themselves, which are made again from the texts of one row a node."""
@@ -349,7 +369,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int
     used = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
     used = used.join(classes.select("node", "first"), "node").select("first.seat")
     used = written(used, "used")  # a table's size is known before the texts move
-    texts = rows.join(used, "seat", "left_semi").select("text")
+    texts = _may_be(rows, used).filter("_may_be").join(used, "seat", "left_semi").select("text")
     made = written(texts.mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
     discard(rows.sparkSession, used)
     joined = close
@@ -500,13 +520,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seats = made.groupBy("seat").agg(F.count(F.lit(1)).alias("n"))
     stays = best.select(F.col("first.seat").alias("seat"), F.lit(True).alias("stays"))
     # Rows that go are fewer than those that stay: a table of known size, which Spark broadcasts if it is small.
-    odd = seats.join(stays, "seat", "left").filter("stays is null or n > 1").select(F.col("seat").alias("_near_seat"), "stays")
+    odd = seats.join(stays, "seat", "left").filter("stays is null or n > 1").select("seat", "stays")
     odd = written(odd, "odd")
     for t in (made, classes, tree):
         discard(spark, t)
-    seated = docs.withColumn("_near_seat", _seat(F.col(id_col), text))
-    kept = seated.join(odd.select("_near_seat"), "_near_seat", "left_anti")
-    equal = odd.filter("stays").select("_near_seat")
+    seated = docs.select(F.struct("*").alias("row"), _seat(F.col(id_col), text).alias("seat"))
+    marked = _may_be(seated, odd)
+    # Rows that surely stay don't move; the others meet the table of those that go or are repeated.
+    doubtful = marked.filter("_may_be").join(odd, "seat", "left_anti").select("row")
+    kept = marked.filter("not _may_be").select("row").unionByName(doubtful)
+    equal = odd.filter("stays").select("seat")
     if not equal.isEmpty():
-        kept = kept.unionByName(seated.join(equal, "_near_seat", "left_semi").dropDuplicates(["_near_seat"]))
-    return kept.drop("_near_seat")
+        again = _may_be(seated, equal).filter("_may_be").join(equal, "seat", "left_semi")
+        kept = kept.unionByName(again.dropDuplicates(["seat"]).select("row"))
+    return kept.select("row.*")

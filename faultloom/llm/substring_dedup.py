@@ -24,7 +24,7 @@ Steps 2 and 3 compare words, never hashes of them. Hashes (64 bits) choose ancho
 an anchor with several texts from one with one, and deal rows to tasks.
 
 Scale: equal runs and equal suffixes are merged in each batch before they move, and an anchor sends at
-most two rows a task to its pruning, so a passage that a third of all documents share is a few rows a
+most three rows a task to its pruning, so a passage that a third of all documents share is a few rows a
 batch. A text of any length is read in pieces of ``PIECE_WORDS`` words that overlap by a window.
 
 Defined results: a null or empty text has no words and loses none; the digest of no words is that of
@@ -187,6 +187,7 @@ def _anchored(kind: str, window: int, gram: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int | None] = {}  # anchor -> its only text so far, None for several
+        twice: set[int] = set()  # anchors with one text that has been met again
         for batch in rows:
             texts = _texts(batch.column(2))
             for x, y in _parts(texts):
@@ -208,9 +209,12 @@ def _anchored(kind: str, window: int, gram: int):
                         elif (only := seen[h]) is None:
                             state = BRANCHING
                         elif only == r:
-                            state = REPEATED
+                            # The second occurrence keeps the first from being pruned.
+                            state = REPEATED if h in twice else PROBE
+                            twice.add(h)
                         else:
                             state, seen[h] = PROBE, None
+                            twice.discard(h)
                         place.append(k)
                         lows.append(low)
                         highs.append(high)
@@ -240,10 +244,14 @@ def _worded(kind: str):
                 for k in _in_order(batch, x, y):
                     text = plain(texts[k])
                     begins, ends = word_bounds(text)
+                    key = (batch.column(0)[k], batch.column(1)[k])
                     for t in todo[k].as_py():
                         low, high = t["low"], t["high"]
                         words = text[begins[low] : ends[high - 1]]
                         first = found.get(words)
+                        same = first is not None and first[1] == low and (batch.column(0)[first[0]], batch.column(1)[first[0]]) == key
+                        if same and (first[0] != k or not t["branching"]):
+                            continue  # a repeated row: the same leaf
                         if first is None or t["branching"]:
                             # A run that branches is known by any of its copies, so those go on too.
                             found.setdefault(words, (k, low))
@@ -387,7 +395,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     ranged = ("id", "row", "low", "high")
 
     found = base.mapInArrow(*_anchored(kind, window, gram))
-    anchor = Window.partitionBy("h")  # at most two rows a task
+    anchor = Window.partitionBy("h")  # at most three rows a task
     found = found.withColumn("n", F.count(F.lit(1)).over(anchor)).withColumn("several", F.min("r").over(anchor) != F.max("r").over(anchor))
     found = found.filter((F.col("state") != PROBE) | (F.col("n") > 1))
     branching = (F.col("state") == BRANCHING) | ((F.col("state") == PROBE) & F.col("several"))

@@ -157,6 +157,23 @@ def test_substring_dedup(spark, window):
     assert counted(got) == counted(brute_dedup(rows, window))
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_substring_dedup_over_batches_of_one_task(spark, batch):
+    """A passage whose copies lie in different batches of one task; a row that repeats beside copies of its text."""
+    rng = __import__("random").Random(6)
+    shared = [sentence(rng, 40) for _ in range(3)]
+    rows = [(k, " ".join([sentence(rng, 9), shared[k % 3], sentence(rng, k % 30)])) for k in range(40)] + [(100 + k, shared[0]) for k in range(5)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert counted(substring_dedup.deduplicate(docs).collect()) == counted(brute_dedup(rows, 20))
+        again = spark.createDataFrame([rows[0], (200, rows[0][1]), rows[0]], "doc_id long, text string").repartition(3)
+        n = len(rows[0][1].split())
+        assert sorted(r.n_removed for r in substring_dedup.deduplicate(again).collect()) == [0, n, n]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_substring_dedup_odd_rows(spark):
     rows = substring_dedup.deduplicate(odd_docs(spark)).collect()
     assert len(rows) == len(odd_rows())

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -556,3 +557,28 @@ def test_evaluated_rules(spark):
     for r in rules.chain_rules(quads, 1, 6).unionByName(rules.chain_rules(quads, 2, 6)).collect():
         key = (r.head_rel, tuple(r.body_rels), tuple(map(tuple, r.var_constraints)))
         assert key not in got or got[key] == (r.body_supp, r.rule_supp, r.conf)
+
+
+def test_length_two_rules_in_tiles(spark, monkeypatch):
+    """Chains are counted in many small tiles and pieces, and never become rows."""
+    rng = random.Random(8)
+    facts = sorted({(rng.randrange(12), rng.randrange(4), rng.randrange(12), rng.randrange(40)) for _ in range(700)})
+    for name, value in (("TILE", 100), ("WALKS", 7), ("CELLS", 30)):
+        monkeypatch.setattr(rules, name, value)
+    last = {}
+    for s, r, o, t in facts:
+        last[s, o, r] = max(t, last.get((s, o, r), -1))
+    body, hit = Counter(), Counter()
+    for s, r, o, t in facts:
+        for s2, r2, o2, t2 in facts:
+            if o == s2 and t <= t2 <= t + 5:
+                body[r, r2] += 1
+                hit.update((h, r, r2) for h in range(4) if last.get((s, o2, h), -1) > t2)
+    quads = spark.createDataFrame(facts + facts[:50], "s int, r int, o int, t int")
+    plans = []
+    monkeypatch.setattr(rules, "cut", lambda df, name, cut=rules.cut: (plans.append((name, df)), cut(df, name))[1])
+    got = {(x.head_rel, x.b0, x.b1): (x.body_supp, x.rule_supp) for x in rules.length_two_rules(quads, 5).collect()}
+    assert got == {(h, a, b): (body[a, b], n) for (h, a, b), n in hit.items()}
+    assert rules.length_two_rules(quads.filter("t < 0"), 5).count() == 0
+    support = next(df for name, df in plans if name == "support")
+    assert "Join" not in support._jdf.queryExecution().optimizedPlan().toString()

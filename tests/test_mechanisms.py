@@ -582,3 +582,18 @@ def test_length_two_rules_in_tiles(spark, monkeypatch):
     assert rules.length_two_rules(quads.filter("t < 0"), 5).count() == 0
     support = next(df for name, df in plans if name == "support")
     assert "Join" not in support._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_support_of_one_rule_makes_no_chain_rows(spark, monkeypatch):
+    facts = some_facts(9)
+    made = []
+    monkeypatch.setattr(rules, "chain", lambda *a, **k: made.append(a))
+    last = {}
+    for s, r, o, t in facts:
+        last[s, o, r] = max(t, last.get((s, o, r), -1))
+    walks = [(a, c) for a in facts for c in facts if a[1] == 0 and c[1] == 2 and a[2] == c[0] and a[3] <= c[3] <= a[3] + 6]
+    hits = sum(last.get((a[0], c[2], 1), -1) > c[3] for a, c in walks)
+    got = rules.rule_support(spark.createDataFrame(facts + facts[:9], QUADS), 1, [0, 2], (), 6).first()
+    assert (got.body_supp, got.rule_supp, got.body_rels) == (len(walks), hits, [0, 2]) and not made
+    none = rules.rule_support(spark.createDataFrame(facts, QUADS), 1, [0, 77], (), 6).first()
+    assert (none.body_supp, none.rule_supp, none.conf) == (0, 0, 0.0)

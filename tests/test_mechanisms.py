@@ -597,3 +597,10 @@ def test_support_of_one_rule_makes_no_chain_rows(spark, monkeypatch):
     assert (got.body_supp, got.rule_supp, got.body_rels) == (len(walks), hits, [0, 2]) and not made
     none = rules.rule_support(spark.createDataFrame(facts, QUADS), 1, [0, 77], (), 6).first()
     assert (none.body_supp, none.rule_supp, none.conf) == (0, 0, 0.0)
+
+
+def test_closed_paths_of_an_entity_with_itself(spark):
+    quads = spark.createDataFrame([(1, 0, 1, 5), (1, 1, 2, 5), (2, 2, 1, 5), (2, 3, 3, 5), (3, 4, 1, 5), (3, 5, 2, 5)], QUADS)
+    pairs = spark.createDataFrame([(1, 1), (1, 3)], "s int, o int")
+    got = {(r.s, r.o, tuple(r.path)) for r in rules.closed_paths(quads, pairs, 3).collect()}
+    assert got == {(1, 1, (1, 2)), (1, 1, (1, 3, 4)), (1, 3, (1, 3))}

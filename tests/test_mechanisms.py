@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultloom.operators import causal, graph, reason, rules
+from faultloom.operators import causal, expand, graph, reason, rules
 from faultloom.streaming import events, live
 
 QUADS = "s int, r int, o int, t int"
@@ -604,3 +604,18 @@ def test_closed_paths_of_an_entity_with_itself(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 3)], "s int, o int")
     got = {(r.s, r.o, tuple(r.path)) for r in rules.closed_paths(quads, pairs, 3).collect()}
     assert got == {(1, 1, (1, 2)), (1, 1, (1, 3, 4)), (1, 3, (1, 3))}
+
+
+def test_pairs_in_windows_equal_joined_maps(spark):
+    """Candidates beside the objects of their windows: as by a join of both maps, but the wide rows aren't shuffled."""
+    quads = spark.createDataFrame(some_facts(10), QUADS)
+    queries = spark.createDataFrame([(k, k % 5, 3 + 4 * k) for k in range(10)], "query_id long, s int, t int")
+    cands = spark.createDataFrame([(k, c, 0.1 * c + 0.01 * k) for k in range(8) for c in (0, 3, 7, 50 + k)], "query_id long, cand int, score double")
+    made = expand.pairs_in_windows(cands, queries, quads, 6)
+    recency = expand.window_recency(queries, quads, 6)
+    rows = lambda df: sorted((r.query_id, r.cand, round(r.score, 9)) for r in df.collect())
+    assert rows(expand.scaled(made)) == rows(expand.expand_scaled(cands, recency))
+    assert rows(expand.summed(made)) == rows(expand.expand_added(cands, recency))
+    assert rows(expand.merged_models(made, 0.4)) == rows(expand.merge_models(cands, recency, 0.4))
+    assert rows(expand.preferred(made)) == rows(expand.prefer(recency, cands))
+    assert "FullOuter" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -47,6 +47,8 @@ MARKS = 1 << 24
 ROUNDS = 2
 #: Cells of at most FEW nodes give their pairs at once; larger ones go through the rounds first.
 FEW = 8
+#: So many links (16 MB) are united in one task; more take rounds.
+UNITED = 1 << 20
 HASHES_AT_ONCE = 1 << 16
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -268,13 +270,29 @@ def _written_links(links: DataFrame) -> tuple[DataFrame, tuple]:
     return table, tuple(seen.get[k] for k in ("n", "xor", "sum"))
 
 
+def _united(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of links (hi, lo) that fit in a task: by union and find over the nodes in their order."""
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in rows if batch.num_rows]
+    if held:
+        hi, lo = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, at = np.unique(np.concatenate((hi, lo)), return_inverse=True)
+        parent = np.arange(len(nodes))
+        _join(parent, at[: len(hi)], at[len(hi) :])
+        root = np.fromiter((_find(parent, k) for k in range(len(nodes))), np.int64, len(nodes))
+        linked = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["node", "root"])
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches, itself included.
 
     Large-star joins every node's larger neighbours to its smallest, small-star its smaller ones; both
-    are aggregations and joins on nodes. A hub's neighbours are never gathered: only minima are.
+    are aggregations and joins on nodes. A hub's neighbours are never gathered: only minima are. Links that one
+    task can hold, at most ``UNITED``, are united there, to the same roots in one job.
     """
     now, known = _written_links(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+    if known[0] <= UNITED:
+        return now.coalesce(1).mapInArrow(_united, "node long, root long")
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "other")
         least = both.groupBy("node").agg(F.min("other").alias("least"))
@@ -433,13 +451,24 @@ def _pairs_of_few(sized: DataFrame) -> DataFrame:
     return met.select(F.explode(partners(F.col("m"))).alias("x")).select("x.*").distinct()
 
 
+def _tied_by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(a, b): the nodes that fingerprints of at most RADIUS differing bits tie together: those of one fingerprint to its smallest
+    node, and these along the links of fingerprints."""
+    smallest = classes.groupBy("fp").agg(F.min("node").alias("a"))
+    equal = classes.join(smallest, "fp").filter("node <> a").select("a", F.col("node").alias("b"))
+    named = links(smallest.select("fp")).toDF("fp", "other").join(smallest, "fp").select("other", "a")
+    near = named.join(smallest.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.union(near)
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest id, of equal ids by a digest; of equal rows one.
 
     Texts are near-duplicates at a similarity (Jaccard, sets of shingles) of 0.8 or more; groups are the
     components of those links, each of them decided by the sets. Equal sets are one node. Each set goes to
-    the cells of its leading shingles, so similar sets meet in one. Each node is compared first with the
-    one that it follows in most cells, then cells of few nodes pair by pair. Then, in ROUNDS rounds, groups that meet in a larger cell are compared by
+    the cells of its leading shingles, so similar sets meet in one. Each node is compared first with those that its SimHash
+    (of the same shingles, RADIUS bits apart at most; found by ``links``, as in op7) ties it to, and with the
+    one that it follows in most cells; what a fingerprint can't tell at this similarity is left to the cells: then cells of few nodes pair by pair. Then, in ROUNDS rounds, groups that meet in a larger cell are compared by
     one member each, drawn anew for each cell, each group with the next one: a group of very many near copies becomes
     one without giving its pairs. What is still apart after that is compared pair by pair.
     """
@@ -459,15 +488,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if len(seen) < MOST_SEEN:
                         seen.add(node)
                 size, lanes, wider = pa.array([len(x) for x in found], pa.int64()), _lists([parities(x) for x in found]), _lists([wide(x) for x in found])
+                fps = pa.array(np.array([majority(x) for x in found], np.uint64).view(np.int64))
                 part = batch.slice(begin, len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(nodes), size, lanes, wider, _lists(first)], ["id", "seat", "node", "size", "lanes", "wide", "cells"]
+                    [part.column(0), part.column(1), pa.array(nodes), size, lanes, wider, fps, _lists(first)], ["id", "seat", "node", "size", "lanes", "wide", "fp", "cells"]
                 )
                 begin += len(found)
 
-    made = rows.mapInArrow(sketches, f"id {kind}, seat binary, node long, size long, lanes array<long>, wide array<long>, cells array<long>")
+    made = rows.mapInArrow(sketches, f"id {kind}, seat binary, node long, size long, lanes array<long>, wide array<long>, fp long, cells array<long>")
     made = written(made, "sketches")
-    seat, what = F.struct("id", "seat"), F.struct("size", "lanes", "wide")
+    seat, what = F.struct("id", "seat"), F.struct("size", "lanes", "wide", "fp")
     classes = written(made.groupBy("node").agg(F.min(seat).alias("first"), F.min(what).alias("x")).select("node", "first", "x.*"), "classes")
 
     along, all_of = Window.partitionBy("cell").orderBy("node"), Window.partitionBy("cell")
@@ -477,7 +507,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = shared.filter("before IS NOT NULL").groupBy(F.col("node").alias("b"), F.col("before").alias("a")).agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     spark = docs.sparkSession
-    linked = _similar(pairs, classes, rows, shingle)
+    linked = _similar(_tied_by_fingerprint(classes).union(pairs).distinct(), classes, rows, shingle)
     tree = written(components(linked), "tree")
     discard(spark, linked)
 

@@ -190,11 +190,15 @@ def store_window(s: SparkSession, d: str) -> DataFrame:
     return n.select("id", "node_type", "minute_ts").unionByName(e.select(F.concat_ws(">", "src", "dst").alias("id"), F.col("edge_type").alias("node_type"), "minute_ts"))
 
 
+#: Rows of a file of problems, which one task reads.
+PER_FILE = 500_000
+
+
 def instructions(s: SparkSession, d: str) -> DataFrame:
     """Problem texts and the windows that they name, a problem for each order's first line of text."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     rows = b.read(s, d, "orders").select("o_orderkey", F.concat(F.lit("On "), day, F.lit(' the "shop", said,\nfailed between 10:00 and 10:30')).alias("instruction"), F.lit("x").alias("scoring_points"))
-    path = out(rows.orderBy("o_orderkey").select("instruction", "scoring_points").coalesce(1), "problems", "csv", **TEXT)
+    path = out(rows.orderBy("o_orderkey").select("instruction", "scoring_points"), "problems", "csv", maxRecordsPerFile=PER_FILE, **TEXT)
     read = readers.problems(s, path, 1 << 30)
     return read.select(F.col("row_no").cast("long").alias("row_no"), times.window_in_text(F.col("instruction"))["start"].alias("start"))
 

@@ -12,6 +12,7 @@ from faultloom import schema
 from faultloom.functions.attrs import clean_attrs
 from faultloom.functions.text import log_level, log_line, log_message
 from faultloom.functions.times import parse_time, seconds_from_any
+from faultloom.sources.shared import cut
 
 # Keys of JSON log lines; the first that is present counts.
 TIME_KEYS, SERVICE_KEYS = ("timestamp", "time", "ts", "@timestamp"), ("service", "service_name", "svc", "component")
@@ -86,10 +87,16 @@ def span_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
 
 
 def problems(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """(row_no, instruction, scoring_points) of rows 1 .. n: the first row (0) is skipped. The rows before the last
-    wanted one are all that is numbered."""
-    rows = spark.read.schema(schema.PROBLEM_CSV).csv(path, header=True, multiLine=True, escape='"').limit(n + 1)
-    numbered = rows.withColumn("row_no", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+    """(row_no, instruction, scoring_points) of rows 1 .. n of a file, or of a folder's files in order of their names: the first
+    row (0) is skipped. Texts may have line ends, so a file can't be split; rows are numbered by their place in the file
+    and the sizes of the files before, so only these sizes meet in one task."""
+    rows = spark.read.schema(schema.PROBLEM_CSV).csv(path, header=True, multiLine=True, escape='"')
+    # The ids of a file's rows follow each other, as one task reads it whole.
+    rows = cut(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id")), "problems")
+    sizes = rows.groupBy("_file").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(sizes.select("_file", "_first", before.alias("_before"))), "_file")
+    numbered = placed.withColumn("row_no", F.col("_id") - F.col("_first") + F.col("_before")).drop("_file", "_id", "_first", "_before")
     return numbered.filter(F.col("row_no").between(1, n))
 
 

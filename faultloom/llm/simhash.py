@@ -44,8 +44,8 @@ MOST_SEEN = 1_000_000
 #: Bits of the table that tells which texts have to move: 2 MB, a power of two.
 MARKS = 1 << 24
 #: Rounds in which groups that meet in a cell are compared by one member each, before all pairs that are left.
-ROUNDS = 2
-#: Cells of at most FEW nodes give their pairs at once; larger ones go through the rounds first.
+ROUNDS = 1
+#: Cells of at most FEW nodes are compared pair by pair at once; larger ones go through the rounds first.
 FEW = 8
 #: So many links (16 MB) are united in one task; more take rounds.
 UNITED = 1 << 20
@@ -433,22 +433,85 @@ def _within(apart: Column, a: Column, b: Column) -> Column:
     return apart * (p + q) <= (q - p) * (a + b)
 
 
-def _lanes_apart(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(F.get(a, F.lit(n)).bitwiseXOR(F.get(b, F.lit(n)))) for n in range(LANES)), F.lit(0))
+def _close(cell: np.ndarray, root: np.ndarray, size: np.ndarray, begin: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of unlike groups within equal cells that sizes and parities don't rule out.
 
+    Rows are sorted by cell and size; a row's wide parities are those of ``lanes`` from ``begin`` up to the next row's. Pairs are compared one
+    distance in the order at a time, first by LANES lanes each, and are rows only if they stay.
+    """
+    p, q = NEAR
+    width = np.diff(np.append(begin, len(lanes)))
+    narrow = np.zeros((len(cell), LANES), np.uint64)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        for at in range(0, len(rows), max(1, HASHES_AT_ONCE * LANES // w)):
+            part = rows[at : at + max(1, HASHES_AT_ONCE * LANES // w)]
+            narrow[part] = np.bitwise_xor.reduce(lanes[begin[part, None] + np.arange(w)].reshape(len(part), w // LANES, LANES), axis=1)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    left, far = np.arange(len(cell)), 1
+    while len(left):
+        left = left[left + far < len(cell)]
+        left = left[(cell[left] == cell[left + far]) & (q * size[left] >= p * size[left + far])]  # later rows are larger still
+        for at in range(0, len(left), HASHES_AT_ONCE):
+            a = left[at : at + HASHES_AT_ONCE]
+            a = a[root[a] != root[a + far]]
+            most = lambda a: (q - p) * (size[a] + size[a + far])  # noqa: B023, E731
+            a = a[_apart(narrow[a], narrow[a + far]).astype(np.int64) * (p + q) <= most(a)]
+            found.append((a[width[a + far] == LANES], a[width[a + far] == LANES] + far))
+            for w in np.unique(width[a + far]).tolist():
+                if w == LANES:
+                    continue
+                rows = a[width[a + far] == w]
+                for k in range(0, len(rows), max(1, HASHES_AT_ONCE * LANES // w)):
+                    one = rows[k : k + max(1, HASHES_AT_ONCE * LANES // w)]
+                    apart = np.zeros(len(one), np.int64)
+                    for of in (w, w // 2):  # sizes are near, so the smaller set has as many lanes or half of them
+                        mine = np.flatnonzero(width[one] == of)
+                        other = lanes[begin[one[mine] + far, None] + np.arange(w)]
+                        other = other if of == w else other[:, :of] ^ other[:, of:]
+                        apart[mine] = np.bitwise_count(lanes[begin[one[mine], None] + np.arange(of)] ^ other).sum(axis=1, dtype=np.int64)
+                    one = one[apart * (p + q) <= most(one)]
+                    found.append((one, one + far))
+        far += 1
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _close_in_cells(cells: DataFrame) -> DataFrame:
+    """(a, b): the pairs of unlike groups that meet in a cell and that sizes and parities don't rule out; cells (cell, node, root, size, wide).
+    Pairs that are ruled out are never rows."""
 
-def _pairs_of_few(sized: DataFrame) -> DataFrame:
-    """The pairs (a, b) of unlike groups within cells of at most FEW nodes that size and lanes don't rule out."""
+    def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come sorted; whole cells are gathered until they are many rows."""
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-    def partners(m: Column) -> Column:
-        def fits(a: Column, b: Column) -> Column:
-            near = (a["node"] < b["node"]) & (a["root"] != b["root"]) & _sized(a["size"], b["size"])
-            return near & _within(_lanes_apart(a["lanes"], b["lanes"]), a["size"], b["size"])
+        def flush(part: pa.Table) -> pa.RecordBatch:
+            cell, node, root, sizes = (part.column(k).to_numpy() for k in range(4))
+            wider = part.column(4).combine_chunks()
+            lengths = wider.value_lengths().to_numpy()
+            a, b = _close(cell, root, sizes, np.cumsum(lengths, dtype=np.int64) - lengths, wider.flatten().to_numpy().view(np.uint64))
+            a, b = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            pairs = np.unique(np.stack((a, b), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        return F.flatten(F.transform(m, lambda a: F.transform(F.filter(m, lambda b: fits(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b")))))
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < 50_000:
+                continue
+            whole = pa.Table.from_batches(held)
+            cell = whole.column(0).to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+            if cut:
+                yield flush(whole.slice(0, cut))
+            held, size = whole.slice(cut).to_batches(), len(cell) - cut
+        if held:
+            yield flush(pa.Table.from_batches(held))
 
-    met = sized.groupBy("cell").agg(F.collect_list(F.struct("node", "root", "size", "lanes")).alias("m"))
-    return met.select(F.explode(partners(F.col("m"))).alias("x")).select("x.*").distinct()
+    spread = cells.select("cell", "node", "root", "size", "wide").repartition("cell").sortWithinPartitions("cell", "size")
+    return spread.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _tied_by_fingerprint(classes: DataFrame) -> DataFrame:
@@ -468,9 +531,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components of those links, each of them decided by the sets. Equal sets are one node. Each set goes to
     the cells of its leading shingles, so similar sets meet in one. Each node is compared first with those that its SimHash
     (of the same shingles, RADIUS bits apart at most; found by ``links``, as in op7) ties it to, and with the
-    one that it follows in most cells; what a fingerprint can't tell at this similarity is left to the cells: then cells of few nodes pair by pair. Then, in ROUNDS rounds, groups that meet in a larger cell are compared by
-    one member each, drawn anew for each cell, each group with the next one: a group of very many near copies becomes
-    one without giving its pairs. What is still apart after that is compared pair by pair.
+    one that it follows in most cells; what a fingerprint can't tell at this similarity is left to the cells: in ROUNDS rounds, groups that meet
+    in a cell of more than FEW nodes are compared by one member each, drawn anew for each cell, each group with the next one: a group of very many
+    near copies becomes one without giving its pairs. What is still apart after that is compared pair by pair within each cell, in
+    arrays, and only pairs that sizes and parities leave become rows.
     """
     kind = dict(docs.dtypes)[id_col]
     text = F.col(text_col)
@@ -487,17 +551,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     first.append(x[:0] if node in seen else leading(x, often))
                     if len(seen) < MOST_SEEN:
                         seen.add(node)
-                size, lanes, wider = pa.array([len(x) for x in found], pa.int64()), _lists([parities(x) for x in found]), _lists([wide(x) for x in found])
+                size, wider = pa.array([len(x) for x in found], pa.int64()), _lists([wide(x) for x in found])
                 fps = pa.array(np.array([majority(x) for x in found], np.uint64).view(np.int64))
                 part = batch.slice(begin, len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(nodes), size, lanes, wider, fps, _lists(first)], ["id", "seat", "node", "size", "lanes", "wide", "fp", "cells"]
+                    [part.column(0), part.column(1), pa.array(nodes), size, wider, fps, _lists(first)], ["id", "seat", "node", "size", "wide", "fp", "cells"]
                 )
                 begin += len(found)
 
-    made = rows.mapInArrow(sketches, f"id {kind}, seat binary, node long, size long, lanes array<long>, wide array<long>, fp long, cells array<long>")
+    made = rows.mapInArrow(sketches, f"id {kind}, seat binary, node long, size long, wide array<long>, fp long, cells array<long>")
     made = written(made, "sketches")
-    seat, what = F.struct("id", "seat"), F.struct("size", "lanes", "wide", "fp")
+    seat, what = F.struct("id", "seat"), F.struct("size", "wide", "fp")
     classes = written(made.groupBy("node").agg(F.min(seat).alias("first"), F.min(what).alias("x")).select("node", "first", "x.*"), "classes")
 
     along, all_of = Window.partitionBy("cell").orderBy("node"), Window.partitionBy("cell")
@@ -517,34 +581,22 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = left.withColumn("lo", F.min("root").over(all_of)).withColumn("hi", F.max("root").over(all_of))
         return written(left.withColumn("n", F.count(F.lit(1)).over(all_of)).filter("lo <> hi").select("cell", "node", "root", "n"), "open")
 
-    sketch = classes.select("node", "size", "lanes")
     left = open_cells(shared)
     discard(spark, shared)
-    linked = _similar(_pairs_of_few(left.filter(F.col("n") <= FEW).join(sketch, "node")), classes, rows, shingle)
-    now = written(components(linked.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))), "tree")
-    discard(spark, linked, tree)
-    tree, cells = now, left.filter(F.col("n") > FEW)
     for k in range(ROUNDS + 1):
-        left, before = open_cells(cells), left
-        discard(spark, before)
-        if left.isEmpty():
-            break
         if k < ROUNDS:
-            member = left.groupBy("cell", "root").agg(F.min_by("node", F.xxhash64("node", "cell", F.lit(k))).alias("b"))
+            member = left.filter(F.col("n") > FEW).groupBy("cell", "root").agg(F.min_by("node", F.xxhash64("node", "cell", F.lit(k))).alias("b"))
             order = Window.partitionBy("cell").orderBy(F.xxhash64("root", "cell", F.lit(k)), "root")
             meet = member.withColumn("a", F.lag("b").over(order)).filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            sized = left.join(sketch, "node")
-            x, y = (sized.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "size", "lanes")]) for side in "ab")
-            meet = x.join(y, "cell").filter("a_node < b_node AND a_root <> b_root").filter(_sized(F.col("a_size"), F.col("b_size")))
-            apart = _lanes_apart(F.col("a_lanes"), F.col("b_lanes"))
-            meet = meet.filter(_within(apart, F.col("a_size"), F.col("b_size"))).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-        linked, cells = _similar(meet, classes, rows, shingle), left.select("cell", "node")
-        if linked.isEmpty():
-            continue
+            meet = _close_in_cells(left.join(classes.select("node", "size", "wide"), "node"))
+        linked = _similar(meet, classes, rows, shingle)
         now = written(components(linked.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))), "tree")
         discard(spark, linked, tree)
         tree = now
+        if k < ROUNDS:
+            left, before = open_cells(left), left
+            discard(spark, before)
 
     best = classes.select("node", "first").join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     seats = made.groupBy("seat").agg(F.count(F.lit(1)).alias("n"))

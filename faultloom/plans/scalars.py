@@ -166,7 +166,7 @@ QUERIES: dict = {
         sql("SELECT b0 AS rel FROM v_rules WHERE conf > 0.05 UNION SELECT (b0 + 5) % 10 FROM v_rules WHERE conf > 0.05", "v_train", more=links._RULES),
     ),
     "ag28_rule_differences": (
-        lambda s, d: rules.difference_statistics(links.found_rules(s, d).filter("b0 < 4"), links.found_rules(s, d).filter("b1 < 6"), ["head_rel", "b0", "b1"]),
+        lambda s, d: (lambda r: rules.difference_statistics(r.filter("b0 < 4"), r.filter("b1 < 6"), ["head_rel", "b0", "b1"]))(links.found_rules(s, d)),
         sql("SELECT count(*) FILTER (WHERE b0 < 4 AND b1 < 6) AS both, count(*) FILTER (WHERE b0 < 4 AND NOT b1 < 6) AS only_before, count(*) FILTER (WHERE b1 < 6 AND NOT b0 < 4) AS only_after FROM v_rules", "v_train", more=links._RULES),
     ),
     "h3_rules_by_head": (

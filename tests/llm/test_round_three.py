@@ -273,3 +273,32 @@ def test_hosts_that_stand_out_fall(spark):
     assert sum(r[-1] != (not r[-2]) for r in got) == 40  # good documents of the bad host
     documents = docs.toPandas()  # noqa: F841 - read by the query
     assert sorted(duckdb.sql(quality_rules.ORACLE_SQL).fetchall()) == got
+
+
+def test_large_hosts_are_judged_whole(spark, monkeypatch):
+    """Hosts over many batches give what one suffix array over the whole host gives, also for texts near half of the pages."""
+    from faultloom.llm import html_text
+
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))
+    blocks = [word(n) for n in (12, 3, 1, 30)]
+    rows = []
+    for k in range(61):
+        parts = [word(40), word(25)]
+        parts += [b for b, odds in zip(blocks, (1, 0.51, 0.49, 0.5)) if rng.random() < odds]
+        rng.shuffle(parts)
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        rows.append((k, "http://big.example/" + str(k), f"<article>{body}</article>" if k % 7 == 0 else f"<body>{body}</body>"))
+    rows += [(100 + k, "http://few.example/" + str(k), f"<p>{word(400)}</p><p>{blocks[0]}</p>") for k in range(4)]
+    rows += [(200, "http://one.example/", f"<p>{word(900)}</p>"), (201, None, f"<p>{blocks[3]}</p>"), (202, "http://small.example/", f"<p>{blocks[3]}</p>"), (203, "http://small.example/2", f"<p>{blocks[3]}</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    counted = []
+    monkeypatch.setattr(html_text, "written", lambda df, name, made=html_text.written: (counted.append(name), made(df, name))[1])
+    frequent = html_text.frequent
+    for size, named in ((1200, frequent), (5000, frequent), (5000, lambda pages, share: frequent(pages, 2 * share))):  # the last leaves more to count
+        monkeypatch.setattr(html_text, "BATCH_BYTES", size)
+        monkeypatch.setattr(html_text, "frequent", named)
+        assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == whole
+    assert "host-counts" in counted
+    assert any(blocks[3] in text or blocks[1] in text for text in whole.values()) and not any(blocks[0] in whole[k] for k in range(1, 7))
